@@ -111,7 +111,7 @@ WITH tab AS (
 raw AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 bytes AS (SELECT doc_id, n, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::UBIGINT) AS b FROM raw),
 crc AS (SELECT doc_id, n, CAST(xor(list_reduce([4294967295::UBIGINT] || b,
-          lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM bytes, tab),
+          lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM bytes, tab),
 score AS (
   SELECT doc_id, i, -(1.0 / ln((('0x' || substr(md5(doc_id || '/' || i), 1, 12))::BIGINT + 0.5) / 281474976710656.0)) AS s
   FROM documents, range({SHARDS + 1}) r(i)),
