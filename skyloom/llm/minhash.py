@@ -3,9 +3,9 @@
 A set's shingle hashes are dealt into bins by their high bits, the smallest hash of a bin being its signature; an empty
 bin borrows from a bin that a hash of (bin, attempt) picks, the same for all sets, until that one is not empty.
 Signatures are cut into bands; sets that agree in a band share a bucket.  Within a bucket each set is compared with
-one centre only, so a bucket of n sets makes n - 1 candidate pairs; sets that the centre does not confirm form a star
-of their own, in ``rounds`` rounds.  Sets that no star has taken by then - crowds of unlike sets with much wording in
-common - are compared among themselves by an exact prefix join.  Candidates are confirmed on full sets.
+one centre only, so a bucket of n sets makes n - 1 candidate pairs.  Buckets whose sets the stars of all bands have not
+brought into one component - unlike sets with much wording in common - are settled by an exact prefix join across the
+components.  Candidates are confirmed on full sets.
 
 Equal sets are folded into one before, so that thousands of copies count as one.
 """
@@ -135,7 +135,7 @@ def confirm(rows: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator
 
 
 def near_duplicates(
-    documents: DataFrame, *, size: int = 5, percent: int = 75, bands: int = 40, depth: int = 4, rounds: int = 4
+    documents: DataFrame, *, size: int = 5, percent: int = 75, bands: int = 40, depth: int = 4
 ) -> DataFrame:
     """Classes of documents whose sets of ``size``-word shingles are linked, directly or over others.
 
@@ -168,29 +168,18 @@ def near_duplicates(
         .select("rep", "key", "low"),
         "crowd",
     )
-    judged: list[DataFrame] = []
-    for turn in range(rounds):
-        pairs = crowd.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-        if turn:
-            if crowd.isEmpty():
-                break
-            for old in judged:
-                pairs = pairs.join(old, ["a", "b"], "left_anti")
-        judged.append(materialise(compare(pairs, own, size, percent), "judged"))
-        # Sets that their centre has not confirmed make a new star without it.
-        failed = union(judged).where("NOT linked").select(F.col("a").alias("low"), F.col("b").alias("rep"))
-        crowd = materialise(
-            crowd.where("rep <> low")
-            .join(failed, ["low", "rep"], "left_semi")
-            .selectExpr("rep", "key", "min(rep) OVER (PARTITION BY key, low) AS next", "count(*) OVER (PARTITION BY key, low) AS n")
-            .where("n > 1")
-            .select("rep", "key", F.col("next").alias("low")),
-            "crowd",
-        )
-    if not crowd.isEmpty():
-        judged.append(materialise(compare(prefix_pairs(crowd.select("rep").distinct(), own, size, percent), own, size, percent), "judged"))
-    links = union(judged).where("linked").select("a", "b")
-    roots = components(links.union(copies))
+    # The texts that take part, once; merged, not broadcast, as their number follows the corpus.
+    involved = crowd.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = materialise(own.where("doc_id IS NOT NULL").join(involved, "doc_id", "left_semi"), "texts")
+    stars = crowd.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    links = materialise(compare(stars, texts, size, percent).where("linked").select("a", "b"), "links")
+    roots = materialise(components(links), "roots")
+    # What no star has decided: buckets whose sets are not yet in one component.
+    rooted = crowd.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = rooted.selectExpr("rep", "root", "min(root) OVER (PARTITION BY key) AS r0", "max(root) OVER (PARTITION BY key) AS r1")
+    open_ = materialise(rooted.where("r0 <> r1").select("rep", "root").distinct(), "open")
+    rest = compare(prefix_pairs(open_, texts, size, percent), texts, size, percent)
+    roots = components(links.union(rest.where("linked").select("a", "b")).union(copies))
     return (
         signed.select("doc_id", "n_shingles")
         .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -203,18 +192,11 @@ def near_duplicates(
     )
 
 
-def union(tables: list[DataFrame]) -> DataFrame:
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
-    return every
-
-
 def prefix_pairs(open_: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
-    """All pairs of the sets in question that can reach the threshold, for crowded buckets of unlike sets.
+    """All pairs, across components, of the sets in question that can reach the threshold.
 
     Two linked sets share a shingle among the first n - ceil(n * percent / 100) + 1 of each, in one order of all
-    shingles; from the rarest on, those few are shared by few.
+    shingles; from the rarest on, those few are shared by few.  A shingle whose sets are all in one component has nothing to decide and makes no pairs.
     """
 
     def shingles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,21 +206,21 @@ def prefix_pairs(open_: DataFrame, own: DataFrame, size: int, percent: int) -> D
             ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["rep", "h"])
 
-    texts = own.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text")
+    texts = own.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     rows = materialise(texts.mapInArrow(shingles, "rep long, h long").distinct(), "shingles")
     often = rows.groupBy("h").agg(F.count("*").alias("df"))
     ordered = rows.join(often, "h").selectExpr(
         "rep", "h", "row_number() OVER (PARTITION BY rep ORDER BY df, h) AS i", "count(*) OVER (PARTITION BY rep) AS n"
     )
-    first = ordered.where(f"i <= n - ceil(n * {percent} / 100) + 1").select("rep", "h")
-    return (
-        first.select(F.col("rep").alias("a"), "h").join(first.select(F.col("rep").alias("b"), "h"), "h").where("a < b").select("a", "b").distinct()
-    )
+    first = ordered.where(f"i <= n - ceil(n * {percent} / 100) + 1").join(open_, "rep").select("rep", "h", "root")
+    first = materialise(first, "first")
+    mixed = first.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
+    left, right = (first.join(mixed, "h", "left_semi").select(F.col("rep").alias(x), F.col("root").alias(f"r{x}"), "h") for x in "ab")
+    return left.join(right, "h").where("a < b AND ra <> rb").select("a", "b").distinct()
 
 
-def compare(pairs: DataFrame, own: DataFrame, size: int, percent: int, slices: int = 64) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, slices: int = 64) -> DataFrame:
     """Texts meet their pairs: members one by one, centres once per slice of their star, so that no star is one task's."""
-    texts = own.where("doc_id IS NOT NULL")
     sliced = materialise(pairs.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(slices)).cast("int")), "pairs")
     members = sliced.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     centres = (
