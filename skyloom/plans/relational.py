@@ -16,7 +16,7 @@ from skyloom.sources import landed as S
 # ---------------------------------------------------------------- sources and sinks
 
 
-@query("s1_grouped_json", "SELECT CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS \"group\", count(*) AS n, sum(p_size) AS total FROM part GROUP BY 1")
+@query("s1_grouped_json", "SELECT CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS \"group\", count(*) AS n, sum(p_size)::BIGINT AS total FROM part GROUP BY 1")
 def s1(spark: SparkSession, d: str) -> DataFrame:
     path = landing(spark)
     part = table(spark, d, "part").select(F.when(F.col("p_size") > 25, "large").otherwise("small").alias("group"), F.floor(F.col("p_partkey") / 1000).alias("k"), F.struct("p_partkey", "p_size").alias("r"))
@@ -205,7 +205,7 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p11_scales_and_grades",
-    """SELECT p_partkey, (p_size - 1) / 49.0 * 100 AS pct, CASE WHEN p_size >= 14 THEN least(-300, -100.0 + p_size - 20) END AS axis_lo,
+    """SELECT p_partkey, (p_size - 1) / 49.0 * 100 AS pct, CASE WHEN p_size >= 14 THEN least(-300.0::DOUBLE, -100.0::DOUBLE + p_size - 20) END AS axis_lo,
     CASE WHEN p_size >= 1 THEN floor(p_retailprice / 2 * p_size / 100 + 0.5)::BIGINT END AS thickness, p_retailprice * 2 / (2 * p_size) AS width,
     CASE WHEN p_size / 50.0 >= 0.55 THEN 'good' WHEN p_size / 50.0 >= 0.10 THEN 'small' ELSE 'barely resolved' END AS grade,
     CASE WHEN p_size * 3 >= 137 THEN 'C5' WHEN p_size * 3 >= 113 THEN 'C4' WHEN p_size * 3 >= 96 THEN 'C3' WHEN p_size * 3 >= 83 THEN 'C2' WHEN p_size * 3 >= 64 THEN 'C1' WHEN p_size * 3 >= 34 THEN 'TS' ELSE 'TD' END AS tier,
@@ -299,7 +299,7 @@ def j8(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j11_drift_check",
-    "SELECT s_suppkey, round(CASE WHEN s_suppkey % 5 = 0 THEN 0.01 ELSE 0.001 END, 4) AS drift, s_suppkey % 5 <> 0 AS ok FROM supplier WHERE s_suppkey % 7 <> 0"
+    "SELECT s_suppkey, round(CASE WHEN s_suppkey % 5 = 0 THEN 0.01 ELSE 0.001 END::DOUBLE, 4) AS drift, s_suppkey % 5 <> 0 AS ok FROM supplier WHERE s_suppkey % 7 <> 0"
     " UNION ALL SELECT s_suppkey, NULL, false FROM supplier WHERE s_suppkey % 7 = 0",
 )
 def j11(spark: SparkSession, d: str) -> DataFrame:
@@ -495,7 +495,7 @@ def t7(spark: SparkSession, d: str) -> DataFrame:
     return T.extract_pairs(table(spark, d, "pages"), "html", r'(\w+)="([^"]+)"').select("page_id", "key", "value")
 
 
-SECT = "s AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations)"
+SECT = "s AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS section FROM conversations)"
 
 
 @query("w5_sectionise", f"WITH {SECT} SELECT conv_id, turn, section, CASE WHEN section = 0 THEN 'hero' ELSE md5(first_value(text) OVER (PARTITION BY conv_id, section ORDER BY turn)) END AS title FROM s")
