@@ -55,7 +55,7 @@ def count_words(rows: Iterator[pa.RecordBatch], classes: int, flush: int = 400_0
 
 
 def encode(rows: Iterator[pa.RecordBatch], symbols: dict[bytes, int], classes: int) -> Iterator[pa.RecordBatch]:
-    """Per document: its symbols as little-endian int32, and its words outside the symbol table with their counts."""
+    """Per document: its symbols as little-endian uint16, and its words outside the symbol table with their counts."""
     top = len(symbols)
     kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
@@ -79,7 +79,7 @@ def encode(rows: Iterator[pa.RecordBatch], symbols: dict[bytes, int], classes: i
                         rare[w := words[i]] += 1
                         got[i] = top + word_class(w, classes)
             part.append(
-                (doc.as_py(), held.as_py(), np.array(got, "<i4").tobytes(), [{"word": w, "n": n} for w, n in rare.items()])
+                (doc.as_py(), held.as_py(), np.array(got, "<u2").tobytes(), [{"word": w, "n": n} for w, n in rare.items()])
             )
             size += len(got)
             if size > 500_000:
@@ -170,7 +170,7 @@ class Hmm:
 def baum_welch(coded: DataFrame, share: np.ndarray, states: int, rounds: int) -> Hmm:
     """Expectation in tasks, partial counts summed by symbol, maximisation on the bounded tables of the model."""
     model, n_sym = Hmm.start(share, states), len(share)
-    schema = "sym int, " + ", ".join(f"c{j} double" for j in range(states))
+    schema = "sym int, " + ", ".join(f"c{j} float" for j in range(states))  # partial counts; their sums are doubles
     train = coded.where("NOT held_out").select("syms")
     for _ in range(rounds):
 
@@ -181,7 +181,7 @@ def baum_welch(coded: DataFrame, share: np.ndarray, states: int, rounds: int) ->
                 size = 0
                 for x in [*batch.column(0), None]:
                     if x is not None:
-                        texts.append(np.frombuffer(x.as_py(), "<i4"))
+                        texts.append(np.frombuffer(x.as_py(), "<u2"))
                         size += len(texts[-1])
                     if texts and (x is None or size > 300_000):
                         for total, more in zip((first, moves, counts), model.expected(*spans(texts)), strict=True):
@@ -192,7 +192,7 @@ def baum_welch(coded: DataFrame, share: np.ndarray, states: int, rounds: int) ->
             syms = np.concatenate([at, [-1], -2 - np.arange(states)]).astype(np.int32)
             rows_out = np.concatenate([counts[at], first[None], moves])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(syms), *(pa.array(rows_out[:, j]) for j in range(states))],
+                [pa.array(syms), *(pa.array(rows_out[:, j].astype(np.float32)) for j in range(states))],
                 names=["sym", *(f"c{j}" for j in range(states))],
             )
 
@@ -222,7 +222,7 @@ def hmm_scores(
     held: int = 2,
     states: int = 6,
     rounds: int = 4,
-    max_symbols: int = 65_536,
+    max_symbols: int = 63_000,
     classes: int = 2_048,
 ) -> DataFrame:
     """Score whole texts by a hidden Markov model trained on the documents outside the held-out fold.
@@ -232,6 +232,8 @@ def hmm_scores(
     scored one by one.  An empty table gives an empty result; with no training rows every word is unseen.  Other
     columns are ignored.  Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
+    if max_symbols + 1 + classes > 1 << 16:
+        raise ValueError("symbols are kept in 16 bits")
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (crc_mod("doc_id", folds) == held).alias("held_out"),
@@ -279,7 +281,7 @@ def hmm_scores(
         for batch in rows:
             ids, held, syms = (batch.column(i) for i in range(3))
             for at in range(0, len(ids), 4_000):
-                texts = [np.frombuffer(x.as_py(), "<i4") for x in syms.slice(at, 4_000)]
+                texts = [np.frombuffer(x.as_py(), "<u2") for x in syms.slice(at, 4_000)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, 4_000),
