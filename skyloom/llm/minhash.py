@@ -195,8 +195,8 @@ def near_duplicates(
 def prefix_pairs(open_: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
     """All pairs, across components, of the sets in question that can reach the threshold.
 
-    Two linked sets share a shingle among the first n - ceil(n * percent / 100) + 1 of each, in one order of all
-    shingles; from the rarest on, those few are shared by few.  A shingle whose sets are all in one component has nothing to decide and makes no pairs.
+    Two linked sets share a shingle among the first n - ceil(n * percent / 100) + 1 of the larger and yet fewer of the
+    smaller one (the prefix lemma of set-similarity joins), in one order of all shingles; from the rarest on, those few are shared by few.  A shingle whose sets are all in one component has nothing to decide and makes no pairs.
     """
 
     def shingles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,11 +212,15 @@ def prefix_pairs(open_: DataFrame, own: DataFrame, size: int, percent: int) -> D
     ordered = rows.join(often, "h").selectExpr(
         "rep", "h", "row_number() OVER (PARTITION BY rep ORDER BY df, h) AS i", "count(*) OVER (PARTITION BY rep) AS n"
     )
-    first = ordered.where(f"i <= n - ceil(n * {percent} / 100) + 1").join(open_, "rep").select("rep", "h", "root")
+    first = ordered.where(f"i <= n - ceil(n * {percent} / 100) + 1").join(open_, "rep").select("rep", "h", "root", "i", "n")
     first = materialise(first, "first")
     mixed = first.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
-    left, right = (first.join(mixed, "h", "left_semi").select(F.col("rep").alias(x), F.col("root").alias(f"r{x}"), "h") for x in "ab")
-    return left.join(right, "h").where("a < b AND ra <> rb").select("a", "b").distinct()
+    # The smaller set of a pair needs its first n - ceil(2 * percent * n / (100 + percent)) + 1 only.
+    large = first.join(mixed, "h", "left_semi").select("h", *(F.col(c).alias(f"x_{c}") for c in ("rep", "root", "n")))
+    small = first.where(f"i <= n - ceil(2 * {percent} * n / (100 + {percent})) + 1").join(mixed, "h", "left_semi")
+    small = small.select("h", *(F.col(c).alias(f"y_{c}") for c in ("rep", "root", "n")))
+    pairs = large.join(small, "h").where("x_root <> y_root AND (y_n < x_n OR (y_n = x_n AND y_rep < x_rep))")
+    return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, slices: int = 64) -> DataFrame:
