@@ -163,11 +163,12 @@ def near_duplicates(
     )
     buckets = sets.select("rep", F.explode("bands").alias("key"))
     crowd = materialise(
-        buckets.selectExpr("rep", "key", "min(rep) OVER (PARTITION BY key) AS low", "count(*) OVER (PARTITION BY key) AS n")
-        .where("n > 1")
-        .select("rep", "key", "low"),
-        "crowd",
+        buckets.selectExpr("rep", "key", "count(*) OVER (PARTITION BY key) AS n").where("n > 1").select("rep", "key", "n"), "crowd"
     )
+    # A bucket's centre is the set with the most company over all bands: of edited copies, the one nearest to them all.
+    weight = crowd.groupBy("rep").agg(F.sum("n").alias("weight"))
+    crowd = crowd.join(weight, "rep").selectExpr("rep", "key", "max_by(rep, struct(weight, -rep)) OVER (PARTITION BY key) AS low")
+    crowd = materialise(crowd, "stars")
     # The texts that take part, once; merged, not broadcast, as their number follows the corpus.
     involved = crowd.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     texts = materialise(own.where("doc_id IS NOT NULL").join(involved, "doc_id", "left_semi"), "texts")
@@ -216,10 +217,12 @@ def prefix_pairs(open_: DataFrame, own: DataFrame, size: int, percent: int) -> D
     first = materialise(first, "first")
     mixed = first.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
     # The smaller set of a pair needs its first n - ceil(2 * percent * n / (100 + percent)) + 1 only.
-    large = first.join(mixed, "h", "left_semi").select("h", *(F.col(c).alias(f"x_{c}") for c in ("rep", "root", "n")))
+    large = first.join(mixed, "h", "left_semi").select("h", *(F.col(c).alias(f"x_{c}") for c in ("rep", "root", "n", "i")))
     small = first.where(f"i <= n - ceil(2 * {percent} * n / (100 + {percent})) + 1").join(mixed, "h", "left_semi")
-    small = small.select("h", *(F.col(c).alias(f"y_{c}") for c in ("rep", "root", "n")))
-    pairs = large.join(small, "h").where("x_root <> y_root AND (y_n < x_n OR (y_n = x_n AND y_rep < x_rep))")
+    small = small.select("h", *(F.col(c).alias(f"y_{c}") for c in ("rep", "root", "n", "i")))
+    # At the first shingle in common, what is left of both must reach the overlap that the threshold asks for.
+    reach = f"(100 + {percent}) * (1 + least(x_n - x_i, y_n - y_i)) >= {percent} * (x_n + y_n)"
+    pairs = large.join(small, "h").where(f"x_root <> y_root AND {reach} AND (y_n < x_n OR (y_n = x_n AND y_rep < x_rep))")
     return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
