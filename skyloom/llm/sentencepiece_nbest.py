@@ -202,7 +202,7 @@ def n_best(p: Pieces, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
 class Chunks:
     """Chunk -> (best score, pieces, ids as bytes, gap to the second best, decoded text), in two generations of bounded size."""
 
-    def __init__(self, p: Pieces, n: int, most: int = 200_000) -> None:
+    def __init__(self, p: Pieces, n: int, most: int = 450_000) -> None:
         self.p, self.n, self.most = p, n, most
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
