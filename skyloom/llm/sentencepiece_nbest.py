@@ -15,7 +15,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -83,6 +84,27 @@ class Pieces:
             cache[path] = p
         return cache[path]
 
+    @cached_property
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The trie as sorted keys (node, character), the node each leads to, and the piece that ends there or -1."""
+        keys, to, piece, todo, n = [], [], [], [(0, self.trie)], 1
+        while todo:
+            at, node = todo.pop()
+            for c, child in node.items():
+                if c:
+                    keys.append(at << 21 | ord(c))
+                    to.append(n)
+                    piece.append(child.get("", -1))
+                    todo.append((n, child))
+                    n += 1
+        order = np.argsort(keys)
+        return np.array(keys, np.int64)[order], np.array(to, np.int64)[order], np.array(piece, np.int32)[order]
+
+    @cached_property
+    def score_of(self) -> np.ndarray:
+        """Scores of the pieces; the last one, for -1, is that of no piece."""
+        return np.array([*self.scores, float("-inf")])
+
     @cached_property
     def byte_of(self) -> dict[int, int]:
         return {i: b for b, i in enumerate(self.bytes_)}
@@ -90,6 +112,8 @@ class Pieces:
     def spell(self, ids: list[int]) -> str:
         """Pieces joined, runs of byte pieces as UTF-8, space marks as spaces."""
         raw, names = self.byte_of, self.names
+        if raw.keys().isdisjoint(ids):
+            return "".join([names[i] for i in ids]).replace(SPACE, " ")
         out = b"".join([names[i].encode() if i not in raw else bytes([raw[i]]) for i in ids])
         return out.decode("utf-8", "replace").replace(SPACE, " ")
 
@@ -179,6 +203,82 @@ def best_and_gap(p: Pieces, text: str) -> tuple[float, list[int], float | None]:
     return best[n], path, None if second[n] == low else best[n] - second[n]
 
 
+STOP = 0x1FFFFF  # stands after each chunk; no character
+
+
+def best_and_gaps(p: Pieces, chunks: list[str]) -> list[tuple[float, list[int], float | None]]:
+    """best_and_gap of many chunks, of like lengths at best: one step of the forward pass for the same place of all."""
+    keys, to, piece = p.steps
+    size, m = np.array([len(c) for c in chunks], np.int64), len(chunks)
+    most = int(size.max())
+    longest = min(p.longest, most)
+    grid = np.full((m, most + 1), STOP, np.int64)
+    grid[np.arange(most + 1) < size[:, None]] = np.frombuffer("".join(chunks).encode("utf-32-le", "replace"), "<u4")
+    chars = grid.T.ravel()  # by place, then chunk
+    came_by = np.full((longest, (most + 1) * m), -1, np.int32)  # the piece of each length that ends at a place
+    gain = np.full((longest, (most + 1) * m), -np.inf)
+    letters = start = np.flatnonzero(chars != STOP)
+    node = np.zeros(len(start), np.int64)
+    for length in range(longest):
+        key = node << 21 | chars[start + length * m]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        there = keys[at] == key
+        start, at = start[there], at[there]
+        if not len(start):
+            break
+        end = start + (length + 1) * m
+        came_by[length, end] = piece[at]
+        gain[length, end] = p.score_of[piece[at]]
+        node = to[at]
+    lone = letters[came_by[0, letters + m] < 0]  # characters that are no piece go as bytes
+    gain[0, lone + m] = p.unknown_score * (1 + (chars[lone, None] >= (0x80, 0x800, 0x10000)).sum(1))
+    gain = gain.reshape(longest, most + 1, m)
+    used = (gain > -np.inf).any(2)
+
+    best, second, came = np.full((most + 1, m), -np.inf), np.full((most + 1, m), -np.inf), np.zeros((most + 1, m), np.int64)
+    best[0] = 0.0
+    for place in range(1, most + 1):
+        for length in range(min(place, longest)):
+            if used[length, place]:
+                s, b, o = gain[length, place], best[place], second[place]
+                v = best[place - length - 1] + s
+                better = v > b  # among equals the shortest piece
+                second[place] = np.where(better, np.maximum(second[place - length - 1] + s, b), np.maximum(o, v))
+                came[place][better] = length
+                np.maximum(b, v, out=b)
+
+    paths = np.empty((m, most), np.int32)
+    every = np.arange(m)
+    count, place, live, spelled = np.zeros(m, np.int64), size.copy(), every, np.zeros(m, bool)
+    while len(live):
+        now = place[live]
+        length = came[now, live]
+        count[live] += 1
+        i = paths[live, -count[live]] = came_by[length, now * m + live]
+        spelled[live[i < 0]] = True
+        place[live] = now - length - 1
+        live = live[place[live] > 0]
+    total, other = best[size, every], second[size, every]
+    out = []
+    for c, ids, k, t, o, own in zip(chunks, paths.tolist(), count.tolist(), total.tolist(), other.tolist(), spelled.tolist(), strict=True):
+        ids = ids[most - k :]
+        out.append((t, with_bytes(p, c, ids) if own else ids, None if o == float("-inf") else t - o))
+    return out
+
+
+def with_bytes(p: Pieces, chunk: str, ids: list[int]) -> list[int]:
+    """-1 becomes the bytes of the character that stands there."""
+    out, place = [], 0
+    for i in ids:
+        if i >= 0:
+            out.append(i)
+            place += len(p.names[i])
+        else:
+            out += [p.bytes_[b] for b in chunk[place].encode("utf-8", "replace")]
+            place += 1
+    return out
+
+
 def n_best(p: Pieces, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """Up to n segmentations by falling score, by backward A*.  Among equal scores the order is always the same."""
     edges, best, _ = viterbi(p, text)
@@ -200,7 +300,7 @@ def n_best(p: Pieces, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
 
 
 class Chunks:
-    """Chunk -> (best score, pieces, ids as bytes, gap to the second best, decoded text), in two generations of bounded size."""
+    """Chunk -> (best score, ids as bytes, gap to the second best, whether they decode to it), in two generations of bounded size."""
 
     def __init__(self, p: Pieces, n: int, most: int = 450_000) -> None:
         self.p, self.n, self.most = p, n, most
@@ -218,14 +318,30 @@ class Chunks:
 
     def find(self, chunk: str) -> tuple:
         e = self.young.get(chunk) or self.old.get(chunk)
-        if e is None:
-            score, ids, gap = best_and_gap(self.p, chunk)
-            e = (score, len(ids), np.array(ids, "<i4").tobytes(), gap, self.p.spell(ids))
+        return self.keep(chunk, e or self.entry(chunk, *best_and_gap(self.p, chunk)))
+
+    def entry(self, chunk: str, score: float, ids: list[int], gap: float | None) -> tuple:
+        return score, array("i", ids).tobytes(), float("inf") if gap is None else gap, self.p.spell(ids) == chunk.replace(SPACE, " ")
+
+    def keep(self, chunk: str, e: tuple) -> tuple:
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         self.young[chunk] = e
         return e
 
+    def learn(self, texts: list[list[str]], cells: int = 8_000, long: int = 64) -> None:
+        """Search the new chunks of some texts together; long ones wait until their text's turn."""
+        new = set().union(*texts).difference(self.young)
+        for c in [c for c in new if c in self.old]:
+            self.keep(c, self.old[c])
+            new.discard(c)
+        short = sorted((c for c in new if len(c) <= long), key=len)
+        while short:
+            part = short[-max(1, cells // len(short[-1])) :]
+            del short[-len(part) :]
+            for c, found in zip(part, best_and_gaps(self.p, part), strict=True):
+                self.keep(c, self.entry(c, *found))
+
     def n_best(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
         got = self.lists.get(chunk)
         if got is None:
@@ -249,36 +365,59 @@ def best_sums(options: list[list[float]], n: int) -> list[tuple[float, tuple[int
     return out
 
 
-def text_n_best(chunks: Chunks, text: str, n: int) -> tuple[list[tuple[float, dict[int, int]]], list[tuple], list[str]]:
-    """n best of a whole text: (score, {chunk's place: rank in that chunk's list, where not the best}) each.
+def text_parts(p: Pieces, text: str) -> list[str]:
+    """The chunks of a text as it is encoded: a space before it, spaces as marks."""
+    return p.joined.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+
+def text_n_best(chunks: Chunks, parts: list[str], n: int) -> tuple[list[tuple[float, dict[int, int]]], Sequence[bytes], bool]:
+    """n best of a whole text, given in chunks: (score, {chunk's place: rank in that chunk's list, where not the best}) each.
 
     A hypothesis other than the best gives up at least a gap in every chunk it changes; so the n best change only
-    chunks among those of the n - 1 smallest gaps.
+    chunks among those of the n - 1 smallest gaps.  Also the chunks' best ids, and whether all decode to their chunks.
     """
-    if not text:
-        return [(0.0, {})], [], []
-    parts = chunks.p.joined.findall(SPACE + text.replace(" ", SPACE))
-    entries = chunks.all(parts)
-    total = sum(e[0] for e in entries)
-    gaps = [(e[3], i) for i, e in enumerate(entries) if e[3] is not None]
-    at = [i for _, i in heapq.nsmallest(n - 1, gaps)]
-    options = [[s - entries[i][0] for s, _ in chunks.n_best(parts[i])] for i in at]
-    return [(total + s, {i: r for i, r in zip(at, ranks, strict=True) if r}) for s, ranks in best_sums(options, n)], entries, parts
+    if not parts:
+        return [(0.0, {})], [], True
+    scores, ids, gaps, whole = zip(*chunks.all(parts), strict=True)
+    total, left = sum(scores), np.array(gaps)
+    at = []
+    while len(at) < n - 1 and left[i := int(left.argmin())] < np.inf:
+        at.append(i)
+        left[i] = np.inf
+    options = [[s - scores[i] for s, _ in chunks.n_best(parts[i])] for i in at]
+    best = [(total + s, {i: r for i, r in zip(at, ranks, strict=True) if r}) for s, ranks in best_sums(options, n)]
+    return best, ids, all(whole)
 
 
 def segmentations(chunks: Chunks, text: str, n: int) -> list[tuple[float, list[int]]]:
     """The n best segmentations of a text, as scores and ids."""
-    found, entries, parts = text_n_best(chunks, text, n)
+    parts = text_parts(chunks.p, text)
+    found, best, _ = text_n_best(chunks, parts, n)
     out = []
     for score, changed in found:
         ids: list[int] = []
-        for i, e in enumerate(entries):
+        for i, raw in enumerate(best):
             r = changed.get(i)
-            ids += np.frombuffer(e[2], "<i4").tolist() if r is None else chunks.n_best(parts[i])[r][1]
+            ids += np.frombuffer(raw, "<i4").tolist() if r is None else chunks.n_best(parts[i])[r][1]
         out.append((score, ids))
     return out
 
 
+def in_groups(p: Pieces, chunks: Chunks, batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int | None, str, list[str]]]:
+    """(doc_id, text, chunks) of each row; the new chunks of about ``most`` characters are searched together."""
+    group, size = [], 0
+    for doc, raw in zip(batch.column(0), batch.column(1), strict=True):
+        text = (raw.as_py() or b"").decode("utf-8", "replace")
+        group.append((doc.as_py(), text, text_parts(p, text)))
+        size += len(text)
+        if size >= most:
+            chunks.learn([parts for _, _, parts in group])
+            yield from group
+            group, size = [], 0
+    chunks.learn([parts for _, _, parts in group])
+    yield from group
+
+
 def encode_n_best(documents: DataFrame, model_path: str, *, n: int = 3, with_ids: bool = False) -> DataFrame:
     """Segment whole texts; decode the best segmentation back and compare.
 
@@ -295,19 +434,18 @@ def encode_n_best(documents: DataFrame, model_path: str, *, n: int = 3, with_ids
         chunks = worker_cache("chunks").setdefault((model_path, n), Chunks(p, n))
         for batch in rows:
             out = []
-            for doc, raw in zip(batch.column(0), batch.column(1), strict=True):
-                text = (raw.as_py() or b"").decode("utf-8", "replace")
-                found, entries, _ = text_n_best(chunks, text, n)
-                ids = b"".join([e[2] for e in entries])
+            for doc, text, parts in in_groups(p, chunks, batch):
+                found, best, whole = text_n_best(chunks, parts, n)
+                ids = b"".join(best)
                 out.append(
                     (
-                        doc.as_py(),
+                        doc,
                         len(text),
-                        sum([e[1] for e in entries]),
+                        len(ids) // 4,
                         [s for s, _ in found],
                         zlib.crc32(ids),
                         len(found[1][1]) if len(found) > 1 else 0,
-                        text == "".join([e[4] for e in entries])[1:],  # no character spans two chunks
+                        whole and SPACE not in text,  # no character spans two chunks
                         ids if with_ids else None,
                     )
                 )

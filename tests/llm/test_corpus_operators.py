@@ -337,6 +337,14 @@ def test_n_best_equals_enumeration(text):
     assert len({tuple(ids) for _, ids in found}) == len(found)
 
 
+def test_chunks_searched_together_equal_single_searches():
+    p = sp.Pieces.load(TOKENIZER)
+    chunks = ["▁the", "▁▁", "x", "▁中文q", "▁don't,stop", "a" * 40, "\U0001f600\U0001f600", "▁cafés", "\x00\x01", "▁internationalisation"]
+    assert sp.best_and_gaps(p, chunks) == [sp.best_and_gap(p, c) for c in chunks]
+    short = [c[:1] for c in chunks]
+    assert sp.best_and_gaps(p, short) == [sp.best_and_gap(p, c) for c in short]
+
+
 def test_segmentation_odd_rows(spark, odd):
     got = sp.encode_n_best(odd, TOKENIZER, with_ids=True).collect()
     assert len(got) == odd.count() and all(r["round_trip"] for r in got)
