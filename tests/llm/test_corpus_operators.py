@@ -290,6 +290,37 @@ def test_similar_vectors(spark):
     assert embeddings.similar_vectors(e.where("false")).count() == 0
 
 
+def test_similar_vectors_in_a_dense_cone_of_unlinked_ones(spark):
+    rng = np.random.default_rng(12)
+    size = 64
+
+    def turned(x, c):
+        """Vectors of cosine ``c`` to those of ``x``."""
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        side = rng.standard_normal(x.shape)
+        side -= (side * x).sum(1, keepdims=True) * x
+        return c * x + np.sqrt(1 - c * c) * side / np.linalg.norm(side, axis=1, keepdims=True)
+
+    cone = turned(np.repeat(rng.standard_normal((1, size)), 1_500, axis=0), 0.88)
+    wide = rng.standard_normal((3_000, size))
+    x = np.concatenate([cone, wide, turned(cone[:300], 0.91), turned(wide[:300], 0.91)])
+    e = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    # Few tiles, so that the passes are taken; and the default, all pairs.
+    for options, least in (({"block": 64}, 0.98), ({}, 1.0)):
+        got = {r["vec_id"]: r["n_links"] for r in embeddings.similar_vectors(e, **options).collect()}
+        right = [got[i] == link[i].sum() for i in range(len(x)) if link[i].any()]
+        assert len(right) >= 1_200 and np.mean(right) >= least
+        assert all(got[i] <= link[i].sum() for i in range(len(x)))
+
+
+def test_choice_of_what_is_compared_in_full():
+    assert embeddings.least_work([(1.0, 10.0, 5.0), (9.0, 100.0, 1e9)]) == (5.0 + 100.0**2 / 2, 1.0)
+    assert embeddings.least_work([(1.0, 10.0, 1e9)]) == (50.0, -1.0)
+
+
 def test_toxicity_finds_the_words_and_spares_the_rest(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"n{i}" for i in range(200)]
