@@ -2,9 +2,10 @@
 
 Two models, of toxic and of ordinary texts, share their lowest order: the continuation counts (distinct left
 neighbours) over both classes.  A class's unigram continuation counts back off to it, a class's bigrams (by the
-distinct words before them) back off to the class's unigrams, by absolute discounting.  Expressions with few contexts over both classes are kept by neither
-model, so rare expressions are judged by the shared counts alone and say nothing for or against a class.  Copies of a
-text add no new contexts, so a text that is repeated thousands of times weighs as one.
+distinct texts that hold them) back off to the class's unigrams, by absolute discounting; a class that lacks a context
+backs off in full.  Words of few contexts and bigrams of few texts over both classes are kept by neither model, so they
+are judged by the shared counts alone and say nothing for or against a class; a kept bigram may end in such a word.
+Copies of a text count once, so a text that is repeated thousands of times weighs as one.
 
 A text's log-likelihoods are compared after normalisation by length: over the whole text, and over its most toxic
 span of a few tokens, since a long text may be toxic in one line.  A logistic curve fitted on other labelled rows
@@ -13,6 +14,7 @@ turns both into a probability.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -64,23 +66,29 @@ def features(model: KneserNey, words: list[bytes], span: int) -> tuple[float, fl
     return float(total[-1] / len(r)), float(top / span)
 
 
-def distinct_trigrams(rows: Iterator[pa.RecordBatch], flush: int = 300_000) -> Iterator[pa.RecordBatch]:
-    """(word before left, left, word, toxic), each at least once, in parts of bounded size."""
+def normal_texts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        texts = [b" ".join(expressions(t.as_py())) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), batch.column(1)], names=["text", "toxic"])
+
+
+def bigram_texts(rows: Iterator[pa.RecordBatch], flush: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """(left, word, toxic, n): number of texts that hold the bigram, in parts of bounded size."""
 
-    def out(c: set) -> pa.RecordBatch:
-        far, left, word, toxic = zip(*c, strict=True)
+    def out(c: Counter) -> pa.RecordBatch:
+        left, word, toxic = zip(*c, strict=True)
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(x, pa.binary()) for x in (far, left, word)), pa.array(toxic, pa.int32())], names=["f", "l", "w", "toxic"]
+            [*(pa.array(x, pa.binary()) for x in (left, word)), pa.array(toxic, pa.int32()), pa.array(c.values(), pa.int64())], names=["l", "w", "toxic", "n"]
         )
 
-    seen: set = set()
+    seen: Counter = Counter()
     for batch in rows:
         for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-            words, y = expressions(text.as_py()), toxic.as_py()
-            seen.update((a, b, c, y) for a, b, c in zip([START, START, *words], [START, *words], words, strict=False))
+            words, y = text.as_py().split(), toxic.as_py()
+            seen.update({(a, b, y) for a, b in zip([START, *words], words, strict=False)})
             if len(seen) > flush:
                 yield out(seen)
-                seen = set()
+                seen = Counter()
     if seen:
         yield out(seen)
 
@@ -100,11 +108,13 @@ def least_kept(table: DataFrame, column: str, room: int, floor: int) -> int:
 def fit_kneser_ney(train: DataFrame, *, min_count: int = 8, max_entries: int = 150_000, discount: float = 0.75) -> KneserNey:
     """train: text binary, toxic int.  Counts in Spark; the kept expressions (max_entries of each order) are collected."""
     grams = materialise(
-        train.mapInArrow(distinct_trigrams, "f binary, l binary, w binary, toxic int")
-        .groupBy("f", "l", "w")
-        .agg(*(F.max(F.when(F.col("toxic") == y, 1).otherwise(0)).alias(f"n{y}") for y in (0, 1)))
+        train.mapInArrow(normal_texts, "text binary, toxic int")
+        .groupBy(F.sha2("text", 256), "toxic")
+        .agg(F.any_value("text").alias("text"))
+        .select("text", "toxic")
+        .mapInArrow(bigram_texts, "l binary, w binary, toxic int, n long")
         .groupBy("l", "w")
-        .agg(*(F.sum(f"n{y}").alias(f"n{y}") for y in (0, 1))),
+        .agg(*(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1))),
         "grams",
     )
     seen0, seen1 = ((F.col(f"n{y}") > 0).cast("long") for y in (0, 1))
@@ -130,34 +140,41 @@ def fit_kneser_ney(train: DataFrame, *, min_count: int = 8, max_entries: int = 1
     uni = {w: x - base for w, x in uni.items()}
 
     lefts = grams.groupBy("l").agg(*(F.sum(f"n{y}").alias(f"n{y}") for y in (0, 1)), F.sum(seen0).alias("t0"), F.sum(seen1).alias("t1"))
-    lefts = lefts.withColumn("n", F.col("n0") + F.col("n1")).where("n0 > 0 AND n1 > 0")
+    lefts = materialise(lefts.withColumn("n", F.col("n0") + F.col("n1")), "lefts")
+    # That a class lacks a context speaks only where min_count of it were to be expected.
+    n = lefts.agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n"))).first()
+    lefts = lefts.where(" AND ".join(f"(n{y} > 0 OR n * {n[f'n{y}'] / n['n']!r}D >= {min_count})" for y in (0, 1)))
     least = least_kept(lefts, "n", max_entries, min_count * 4)
-    mass = {bytes(r["l"]): [(discount * r[f"t{y}"] / r[f"n{y}"], r[f"n{y}"]) for y in (0, 1)] for r in lefts.where(F.col("n") >= least).collect()}
+    mass = {}
+    for r in lefts.where(F.col("n") >= least).collect():
+        mass[bytes(r["l"])] = [(discount * r[f"t{y}"] / r[f"n{y}"] if r[f"n{y}"] else 1.0, max(r[f"n{y}"], 1)) for y in (0, 1)]
     whole = grams.withColumn("n", F.col("n0") + F.col("n1"))
     least = least_kept(whole, "n", max_entries, min_count)
     bi = {}
-    for r in whole.where(F.col("n") >= least).collect():
+    for r in whole.where(F.col("n") >= least).join(words.select("w", "k"), "w").collect():
         left, w = bytes(r["l"]), bytes(r["w"])
-        if left in mass and w in p:
-            q = [max(r[f"n{y}"] - discount, 0) / mass[left][y][1] + mass[left][y][0] * p[w][y] for y in (0, 1)]
+        if left in mass:
+            lower = p.get(w) or [back[y] * r["k"] / t["k"] for y in (0, 1)]
+            q = [max(r[f"n{y}"] - discount, 0) / mass[left][y][1] + mass[left][y][0] * lower[y] for y in (0, 1)]
             bi[left + b" " + w] = float(np.log(q[1] / q[0])) - base
     # The mass that contexts leave to backoff is shared: it says how varied a context is, not how toxic.
     return KneserNey(uni, bi, {})
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of (1, *x), by Newton's method with a small ridge; steps are halved until the loss falls."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1e-2, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights of (1, *x), each row standing for ``rows`` (one), by Newton's method with a small ridge; steps are halved until the loss falls."""
     z = np.c_[np.ones(len(x)), x]
     w = np.zeros(z.shape[1])
+    c = np.ones(len(x)) if rows is None else rows
 
     def loss(w: np.ndarray) -> float:
         m = z @ w
-        return float(np.logaddexp(0, m).sum() - y @ m + ridge / 2 * w @ w)
+        return float(c @ np.logaddexp(0, m) - (c * y) @ m + ridge / 2 * w @ w)
 
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        grad = z.T @ (p - y) + ridge * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), grad)
+        grad = z.T @ (c * (p - y)) + ridge * w
+        step = np.linalg.solve((z * (c * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), grad)
         size, now = 1.0, loss(w)
         while size > 1e-6 and loss(w - size * step) > now:
             size /= 2
@@ -168,17 +185,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float =
 
 
 def labelled_sample(labels: DataFrame, folds: int, parts: tuple[int, ...], rows: int) -> DataFrame:
-    """Up to about ``rows`` labelled ids of the folds, by a hash of the id; all of them while there are no more."""
+    """Up to about ``rows`` labelled ids of the folds, by a hash of the id; all of them while there are no more.
+
+    Above, the rarer class is taken first, up to half of the rows.  ``stands_for``: the rows of its class for each taken.
+    """
     own = (
         labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
         .where(crc_mod("doc_id", folds).isin(list(parts)))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    there = own.count()
-    if there > rows:
-        own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1e6 * rows / there))
-    return own
+    there = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
+    share = F.lit(1.0)
+    if sum(there.values()) > rows:
+        for y, n in there.items():
+            most = max(rows / 2, rows - (sum(there.values()) - n))
+            share = F.when(F.col("toxic") == y, F.lit(min(1.0, most / n))).otherwise(share)
+    own = own.withColumn("stands_for", 1 / share)
+    return own.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share * 1_000_000)
 
 
 def toxicity_scores(
@@ -196,8 +220,8 @@ def toxicity_scores(
     """Probability that a whole text is toxic, for every document.
 
     Labels are learned from rows outside the held-out fold only: two of the other folds feed the two language models
-    (about ``max_train_rows`` labelled rows at most, by hash of the id), the last one the logistic curve (about
-    ``max_fit_rows``); these bounds keep the model small enough to broadcast, whatever the corpus.  Scoring reads the
+    (about ``max_train_rows`` labelled rows at most, by hash of the id, the rarer class first), the last one the logistic
+    curve (about ``max_fit_rows``, weighted back to the classes' shares); these bounds keep the model small enough to broadcast, whatever the corpus.  Scoring reads the
     text alone.  Null and empty texts have no words and get the curve's value at zero; without toxic or without
     ordinary training rows every score is 0.  Columns named in ``keep`` go along.  A null doc_id keeps its row.  Repeated rows are scored one by one.
     Returns doc_id, held_out, score, predicted, and the log ratios whole and span.
@@ -209,9 +233,9 @@ def toxicity_scores(
 
     def rows_of(which: tuple[int, ...], most: int) -> DataFrame:
         # The sample's bound is a parameter, so its ids may be sent to every executor.
-        return docs.join(F.broadcast(labelled_sample(labels, folds, which, most)), "doc_id").select(F.col("_bytes").alias("text"), "toxic")
+        return docs.join(F.broadcast(labelled_sample(labels, folds, which, most)), "doc_id").select(F.col("_bytes").alias("text"), "toxic", "stands_for")
 
-    model = fit_kneser_ney(rows_of(tuple(parts[:-1]), max_train_rows))
+    model = fit_kneser_ney(rows_of(tuple(parts[:-1]), max_train_rows).select("text", "toxic"))
 
     def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -219,9 +243,9 @@ def toxicity_scores(
             cols = [pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], "whole", "span"])
 
-    fit = rows_of((parts[-1],), max_fit_rows).mapInArrow(measure, "toxic int, whole double, span double").toPandas()
-    if model.unigrams and fit["toxic"].nunique() == 2:
-        w = fit_logistic(fit[["whole", "span"]].to_numpy(), fit["toxic"].to_numpy(float))
+    fit = rows_of((parts[-1],), max_fit_rows).mapInArrow(measure, "toxic int, stands_for double, whole double, span double").toPandas()
+    if (model.unigrams or model.bigrams) and fit["toxic"].nunique() == 2:
+        w = fit_logistic(fit[["whole", "span"]].to_numpy(), fit["toxic"].to_numpy(float), rows=fit["stands_for"].to_numpy())
         score = 1 / (1 + F.exp(-(F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("whole") + F.lit(float(w[2])) * F.col("span"))))
     else:
         score = F.lit(0.0)

@@ -344,6 +344,28 @@ def test_toxicity_finds_the_words_and_spares_the_rest(spark):
     assert toxicity.toxicity_scores(d.where("false"), lab).count() == 0
 
 
+def test_toxicity_of_a_fixed_line(spark):
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(800):
+        w = [f"n{k}" for k in rng.integers(0, 100, 40)]
+        if i % 6 == 0:  # always the same words before its words
+            w[10:10] = ["n0", "zig", "zag", "zog"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 6 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.toxicity_scores(d, spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    assert sum(r["predicted"] == (r["doc_id"] % 6 == 0) for r in got) >= 0.97 * len(got)
+    assert all(r["predicted"] for r in got if r["doc_id"] % 6 == 0)
+
+
+def test_rare_labels_are_taken_first(spark):
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "int(id % 200 = 0) AS toxic")
+    taken = toxicity.labelled_sample(labels, 4, (0, 1, 2, 3), 2_000).groupBy("toxic").agg(F.count("*"), F.sum("stands_for")).collect()
+    n = {r[0]: (r[1], r[2]) for r in taken}
+    assert n[1] == (100, 100.0) and 1_700 < n[0][0] < 2_100 and abs(n[0][1] - 19_900) < 2_000
+
+
 def all_paths(p, text):
     edges = sp.viterbi(p, text)[0]
     out = []
