@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -12,30 +17,33 @@ def replay_cache(requests: DataFrame, key: str, order: list[str], ts: str, ttl:
 
     A stored copy younger than the ttl is a HIT and stores nothing.  Else the feed is fetched: a success stores, as
     REVALIDATED or, the first time, as MISS; a failure serves the stored copy as STALE-ERR; without one it is MISS-ERR,
-    or has no label where the fetch itself threw.  Times are seconds.  The fold keeps one key's requests together; use
-    the stateful stream for keys with long histories.
+    or has no label where the fetch itself threw.  Times are seconds.  A key's requests pass in order through one task,
+    which carries the stored time only; rows leave as they come.
     """
     thrown = F.lit(False) if thrown is None else thrown
-    rows = requests.withColumn("_thrown", thrown)
-    item = F.struct(*order, F.col(ts).cast("double").alias("_t"), F.col(ttl).cast("double").alias("_ttl"), F.col(ok).alias("_ok"), F.col("_thrown"), F.struct(*requests.columns).alias("_row"))
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("h"))
-    kind = "struct<c: double, out: array<struct<i: int, state: string, age: double>>>"
-    start = F.from_json(F.lit('{"c": null, "out": []}'), kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        c, r = acc["c"], x["r"]
-        fresh = F.coalesce((r["_t"] - c >= 0) & (r["_t"] - c < r["_ttl"]), F.lit(False))
-        state = (
-            F.when(fresh, "HIT").when(r["_ok"] & c.isNotNull(), "REVALIDATED").when(r["_ok"], "MISS").when(c.isNotNull(), "STALE-ERR").when(~r["_thrown"], "MISS-ERR")
-        )
-        age = F.when(fresh, F.floor(r["_t"] - c).cast("double")).when(r["_ok"], F.lit(0.0))
-        one = F.array(F.struct(x["i"].alias("i"), state.alias("state"), age.alias("age")))
-        return F.struct(F.when(fresh | ~r["_ok"], c).otherwise(r["_t"]).alias("c"), F.concat(acc["out"], one).alias("out"))
-
-    numbered = F.transform("h", lambda r, i: F.struct(i.alias("i"), r.alias("r")))
-    folded = grouped.withColumn("f", F.aggregate(numbered, start, step))
-    zipped = F.arrays_zip(F.col("h._row").alias("row"), F.col("f.out").alias("out"))
-    return folded.select(F.explode(zipped).alias("z")).select("z.row.*", "z.out.state", "z.out.age")
+    names = requests.columns
+    inputs = [F.col(key).alias("_key"), F.col(ts).cast("double").alias("_t"), F.col(ttl).cast("double").alias("_ttl"), F.col(ok).alias("_ok"), thrown.alias("_thrown")]
+    rows = requests.select(*names, *inputs).repartition(key).sortWithinPartitions(key, *order)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stored = object(), None
+        for batch in batches:
+            states, ages = [], []
+            for k, t, life, good, threw in zip(*(c.to_pylist() for c in batch.columns[len(names) :]), strict=True):
+                if k != now:
+                    now, stored = k, None
+                if None not in (stored, t, life) and 0 <= t - stored < life:
+                    state, age = "HIT", float(math.floor(t - stored))
+                elif good:
+                    state, age, stored = ("MISS" if stored is None else "REVALIDATED"), 0.0, t
+                else:
+                    state, age = ("STALE-ERR" if stored is not None else "MISS-ERR" if threw is False else None), None
+                states.append(state)
+                ages.append(age)
+            out = [*batch.columns[: len(names)], pa.array(states, pa.string()), pa.array(ages, pa.float64())]
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "state", "age"])
+
+    return rows.mapInArrow(replay, StructType(list(requests.schema.fields)).add("state", "string").add("age", "double"))
 
 
 def last_good_value(df: DataFrame, key: str, order: list[str], value: str, ok: Column) -> DataFrame:

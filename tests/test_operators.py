@@ -143,6 +143,16 @@ def test_replay_states(spark):
     assert got == {1: ("MISS", 0.0), 2: ("HIT", 5.0), 3: ("STALE-ERR", None), 4: ("REVALIDATED", 0.0), 5: ("HIT", 1.0), 9: ("MISS-ERR", None)}
 
 
+def test_replay_of_a_long_history(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("k"), "id", F.col("id").cast("double").alias("t"), F.lit(10.0).alias("ttl"), F.lit(True).alias("ok"))
+    out = feeds.replay_cache(df, "k", ["t", "id"], "t", "ttl", "ok")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # no history in one row
+    got = {r[0]: r[1] for r in out.groupBy("state").count().collect()}
+    assert got == {"MISS": 1, "REVALIDATED": n // 10 - 1, "HIT": n - n // 10}
+
+
 def test_stream_replays_as_batch(spark, tmp_path):
     from skyloom.streaming.feeds import replay_cache_stream
 
