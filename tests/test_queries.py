@@ -48,3 +48,8 @@ def test_query_equals_sql(spark, duck, name):
 def test_shuffle_is_a_permutation_that_the_seed_decides(spark):
     a, b = ([r[0] for r in QUERIES["o3_shuffle_rows"](spark, DATA).collect()] for _ in range(2))
     assert a == b and a != sorted(a) and len(set(a)) == len(a)
+
+
+def test_long_titles_keep_their_end(spark, tmp_path):
+    spark.range(1).selectExpr("id AS page_id", "concat('<title>', repeat('x', 1000100), '</title>') AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["t5_extract_between"](spark, str(tmp_path)).selectExpr("length(title)").first()[0] == 1_000_100
