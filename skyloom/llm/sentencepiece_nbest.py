@@ -5,6 +5,9 @@ pieces' scores.  The forward pass gives every node the best score of any path to
 end and always extends the hypothesis of greatest (score so far + forward score of its node); as the forward scores are
 exact, hypotheses come out in order of their scores, and the first n to reach the start are the n best.
 
+The backward search runs on the n - 1 chunks that can change in a text's n best (see text_n_best); all other chunks
+stand in their best segmentation, which the forward pass has found, with the gap to the second best.
+
 No piece crosses a place where a run of space marks begins (nor, in most vocabularies, where signs meet letters), so a
 text's lattice falls apart into chunks there: each distinct chunk is searched once, and a text's n best are the n best
 sums over its chunks.
@@ -16,11 +19,13 @@ import heapq
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,33 +111,43 @@ class Pieces:
         return np.array([*self.scores, float("-inf")])
 
     @cached_property
-    def byte_of(self) -> dict[int, int]:
-        return {i: b for b, i in enumerate(self.bytes_)}
-
-    def spell(self, ids: list[int]) -> str:
-        """Pieces joined, runs of byte pieces as UTF-8, space marks as spaces."""
-        raw, names = self.byte_of, self.names
-        if raw.keys().isdisjoint(ids):
-            return "".join([names[i] for i in ids]).replace(SPACE, " ")
-        out = b"".join([names[i].encode() if i not in raw else bytes([raw[i]]) for i in ids])
-        return out.decode("utf-8", "replace").replace(SPACE, " ")
+    def spelled(self) -> list[bytes]:
+        """What each id stands for in UTF-8, space marks being spaces; a byte piece is its byte, a special piece nothing."""
+        out = [b""] * len(self.names)
+        for x, i in self.ids.items():
+            out[i] = x.replace(SPACE, " ").encode()
+        for b, i in enumerate(self.bytes_):
+            out[i] = bytes([b])
+        return out
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        """The UTF-8 text of ids (little-endian int32), without the leading space that encoding adds."""
+        return b"".join(map(self.spelled.__getitem__, array("i", ids))).removeprefix(b" ")
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids, without the leading space that encoding adds."""
-        text = self.spell(ids)
-        return text[1:] if text[:1] == " " else text
+        return self.decode_bytes(array("i", ids).tobytes()).decode("utf-8", "replace")
 
 
 Edge = tuple[int, int, float, tuple[int, ...]]  # start, end, score, ids
 
 
-def viterbi(p: Pieces, text: str) -> tuple[list[Edge], list[float], list[Edge | None]]:
-    """All edges by start, the best score up to each place, and the last edge of a best path there (ties: the shortest).
+def edges_into(p: Pieces, text: str, end: int) -> list[Edge]:
+    """The edges that end at a place, the longest first.  A character that is no piece itself may go as its UTF-8 bytes."""
+    ids, scores, out, i = p.ids, p.scores, [], None
+    for start in range(max(0, end - p.longest), end):
+        i = ids.get(text[start:end])
+        if i is not None:
+            out.append((start, end, scores[i], (i,)))
+    if i is None:
+        raw = text[end - 1].encode("utf-8", "replace")
+        out.append((end - 1, end, p.unknown_score * len(raw), tuple(p.bytes_[b] for b in raw)))
+    return out
+
 
-    A character that is no piece itself may go as its UTF-8 bytes.
-    """
+def forward(p: Pieces, text: str) -> Sequence[float]:
+    """Viterbi: the best score of any path to each place."""
     n, trie, scores = len(text), p.trie, p.scores
-    best, last, edges = [0.0] + [float("-inf")] * n, [None] * (n + 1), []
+    best = array("d", [0.0]) + array("d", [float("-inf")]) * n
     for start in range(n):
         so_far, node, end, alone = best[start], trie, start, False
         while end < n:
@@ -143,17 +158,13 @@ def viterbi(p: Pieces, text: str) -> tuple[list[Edge], list[float], list[Edge |
             i = node.get("")
             if i is not None:
                 alone = alone or end == start + 1
-                edge = (start, end, scores[i], (i,))
-                edges.append(edge)
-                if so_far + edge[2] >= best[end]:
-                    best[end], last[end] = so_far + edge[2], edge
+                if so_far + scores[i] > best[end]:
+                    best[end] = so_far + scores[i]
         if not alone:
-            raw = text[start].encode("utf-8", "replace")
-            edge = (start, start + 1, p.unknown_score * len(raw), tuple(p.bytes_[b] for b in raw))
-            edges.append(edge)
-            if so_far + edge[2] >= best[start + 1]:
-                best[start + 1], last[start + 1] = so_far + edge[2], edge
-    return edges, best, last
+            v = so_far + p.unknown_score * len(text[start].encode("utf-8", "replace"))
+            if v > best[start + 1]:
+                best[start + 1] = v
+    return best
 
 
 def best_and_gap(p: Pieces, text: str) -> tuple[float, list[int], float | None]:
@@ -162,7 +173,8 @@ def best_and_gap(p: Pieces, text: str) -> tuple[float, list[int], float | None]:
     The forward pass keeps the two best paths to each place, without the list of edges: this is the common case.
     """
     n, trie, scores, low = len(text), p.trie, p.scores, float("-inf")
-    best, second, came, by = [0.0] + [low] * n, [low] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    best, second = array("d", [0.0]) + array("d", [low]) * n, array("d", [low]) * (n + 1)
+    came, by = array("q", [0]) * (n + 1), array("i", [0]) * (n + 1)
     for start in range(n):
         first, other, node, end = best[start], second[start], trie, start
         alone = False
@@ -280,33 +292,45 @@ def with_bytes(p: Pieces, chunk: str, ids: list[int]) -> list[int]:
 
 
 def n_best(p: Pieces, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """Up to n segmentations by falling score, by backward A*.  Among equal scores the order is always the same."""
-    edges, best, _ = viterbi(p, text)
-    into: list[list[Edge]] = [[] for _ in best]
-    for edge in edges:
-        into[edge[1]].append(edge)
+    """Up to n segmentations by falling score, by backward A*.  Among equal scores the order is always the same.
+
+    A place is left n times at most, as the n best paths use n of the ends from there at most: so ties cost no more than
+    n visits of each place, and a long text needs no table of all its edges.
+    """
+    best = forward(p, text)
     found: list[tuple[float, tuple[int, ...]]] = []
+    left: Counter = Counter()
     serial = 0
-    heap = [(-best[-1], 0, len(text), 0.0, ())]
+    heap = [(-best[-1], 0, len(text), 0.0, None)]
     while heap and len(found) < n:
         _, _, place, score, tail = heapq.heappop(heap)
         if place == 0:
-            found.append((score, tuple(i for ids in tail for i in ids)))
+            ids = []
+            while tail:
+                ids += tail[0]
+                tail = tail[1]
+            found.append((score, tuple(ids)))
             continue
-        for start, _, s, ids in into[place]:
-            serial -= 1  # the newest first among equals: the search goes deep, as the Viterbi path does
-            heapq.heappush(heap, (-(score + s + best[start]), serial, start, score + s, (ids, *tail)))
+        left[place] += 1
+        if left[place] <= n:
+            for start, _, s, ids in edges_into(p, text, place):
+                serial -= 1  # the newest first among equals: the search goes deep, as the Viterbi path does
+                heapq.heappush(heap, (-(score + s + best[start]), serial, start, score + s, (ids, tail)))
     return found
 
 
 class Chunks:
-    """Chunk -> (best score, ids as bytes, gap to the second best, whether they decode to it), in two generations of bounded size."""
+    """What is known of chunks: best score, its ids as bytes, gap to the second best; and n best lists of some.
+
+    Each is kept in two generations of about ``most_bytes`` at most: when the young one is full, it becomes the old one,
+    whose entries come back as they are asked for.  Chunks of over ``long`` characters are not kept.
+    """
 
-    def __init__(self, p: Pieces, n: int, most: int = 450_000) -> None:
-        self.p, self.n, self.most = p, n, most
+    def __init__(self, p: Pieces, n: int, most_bytes: int = 24 << 20, long: int = 1_000) -> None:
+        self.p, self.n, self.most_bytes, self.long = p, n, most_bytes, long
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
-        self.lists: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.size = 0
 
     def all(self, parts: list[str]) -> list[tuple]:
         got = list(map(self.young.get, parts))
@@ -317,38 +341,50 @@ class Chunks:
         return got
 
     def find(self, chunk: str) -> tuple:
-        e = self.young.get(chunk) or self.old.get(chunk)
-        return self.keep(chunk, e or self.entry(chunk, *best_and_gap(self.p, chunk)))
-
-    def entry(self, chunk: str, score: float, ids: list[int], gap: float | None) -> tuple:
-        return score, array("i", ids).tobytes(), float("inf") if gap is None else gap, self.p.spell(ids) == chunk.replace(SPACE, " ")
+        e = self.young.get(chunk)
+        if e is None:
+            e = self.old.get(chunk)
+            e = self.keep(chunk, e or entry(*best_and_gap(self.p, chunk)))
+        return e
 
     def keep(self, chunk: str, e: tuple) -> tuple:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[chunk] = e
+        if len(chunk) <= self.long:
+            if self.size >= self.most_bytes:
+                self.old, self.young, self.size = self.young, {}, 0
+            self.young[chunk] = e
+            self.size += ENTRY_BYTES + 4 * len(chunk) + len(e[1])
         return e
 
     def learn(self, texts: list[list[str]], cells: int = 8_000, long: int = 64) -> None:
         """Search the new chunks of some texts together; long ones wait until their text's turn."""
         new = set().union(*texts).difference(self.young)
-        for c in [c for c in new if c in self.old]:
-            self.keep(c, self.old[c])
+        again = [(c, e) for c in new if (e := self.old.get(c)) is not None]  # before any is kept, which may drop the old
+        for c, e in again:
+            self.keep(c, e)
             new.discard(c)
         short = sorted((c for c in new if len(c) <= long), key=len)
         while short:
             part = short[-max(1, cells // len(short[-1])) :]
             del short[-len(part) :]
             for c, found in zip(part, best_and_gaps(self.p, part), strict=True):
-                self.keep(c, self.entry(c, *found))
-
-    def n_best(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
-        got = self.lists.get(chunk)
-        if got is None:
-            if len(self.lists) >= self.most // 4:
-                self.lists.clear()
-            got = self.lists[chunk] = n_best(self.p, chunk, self.n)
-        return got
+                self.keep(c, entry(*found))
+
+    def n_best(self, chunk: str) -> list[tuple[float, Sequence[int]]]:
+        """The n best of a chunk, the first being the one that ``find`` has, so that ties never give one path twice."""
+        e = self.find(chunk)
+        if len(e) == 3:
+            top = (e[0], tuple(np.frombuffer(e[1], "<i4").tolist()))
+            found = [top, *(x for x in n_best(self.p, chunk, self.n) if x[1] != top[1])][: self.n]
+            e = self.keep(chunk, (*e, [(s, array("i", ids)) for s, ids in found]))
+            self.size += len(chunk) <= self.long and 4 * ENTRY_BYTES
+        return e[3]
+
+
+ENTRY_BYTES = 300  # of Python objects about an entry, but for its characters and ids
+
+
+def entry(score: float, ids: list[int], gap: float | None) -> tuple:
+    return score, array("i", ids).tobytes(), float("inf") if gap is None else gap
 
 
 def best_sums(options: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -370,29 +406,29 @@ def text_parts(p: Pieces, text: str) -> list[str]:
     return p.joined.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def text_n_best(chunks: Chunks, parts: list[str], n: int) -> tuple[list[tuple[float, dict[int, int]]], Sequence[bytes], bool]:
+def text_n_best(chunks: Chunks, parts: list[str], n: int) -> tuple[list[tuple[float, dict[int, int]]], Sequence[bytes]]:
     """n best of a whole text, given in chunks: (score, {chunk's place: rank in that chunk's list, where not the best}) each.
 
     A hypothesis other than the best gives up at least a gap in every chunk it changes; so the n best change only
-    chunks among those of the n - 1 smallest gaps.  Also the chunks' best ids, and whether all decode to their chunks.
+    chunks among those of the n - 1 smallest gaps.  Also the chunks' best ids.
     """
     if not parts:
-        return [(0.0, {})], [], True
-    scores, ids, gaps, whole = zip(*chunks.all(parts), strict=True)
-    total, left = sum(scores), np.array(gaps)
-    at = []
+        return [(0.0, {})], []
+    found = chunks.all(parts)
+    scores, ids, left = [e[0] for e in found], [e[1] for e in found], np.array([e[2] for e in found])
+    total, at = sum(scores), []
     while len(at) < n - 1 and left[i := int(left.argmin())] < np.inf:
         at.append(i)
         left[i] = np.inf
     options = [[s - scores[i] for s, _ in chunks.n_best(parts[i])] for i in at]
     best = [(total + s, {i: r for i, r in zip(at, ranks, strict=True) if r}) for s, ranks in best_sums(options, n)]
-    return best, ids, all(whole)
+    return best, ids
 
 
 def segmentations(chunks: Chunks, text: str, n: int) -> list[tuple[float, list[int]]]:
     """The n best segmentations of a text, as scores and ids."""
     parts = text_parts(chunks.p, text)
-    found, best, _ = text_n_best(chunks, parts, n)
+    found, best = text_n_best(chunks, parts, n)
     out = []
     for score, changed in found:
         ids: list[int] = []
@@ -403,18 +439,19 @@ def segmentations(chunks: Chunks, text: str, n: int) -> list[tuple[float, list[i
     return out
 
 
-def in_groups(p: Pieces, chunks: Chunks, batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int | None, str, list[str]]]:
+def in_groups(p: Pieces, chunks: Chunks, batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[int | None, bytes, str, list[str]]]:
     """(doc_id, text, chunks) of each row; the new chunks of about ``most`` characters are searched together."""
     group, size = [], 0
     for doc, raw in zip(batch.column(0), batch.column(1), strict=True):
-        text = (raw.as_py() or b"").decode("utf-8", "replace")
-        group.append((doc.as_py(), text, text_parts(p, text)))
+        raw = raw.as_py() or b""
+        text = raw.decode("utf-8", "replace")
+        group.append((doc.as_py(), raw, text, text_parts(p, text)))
         size += len(text)
         if size >= most:
-            chunks.learn([parts for _, _, parts in group])
+            chunks.learn([parts for *_, parts in group])
             yield from group
             group, size = [], 0
-    chunks.learn([parts for _, _, parts in group])
+    chunks.learn([parts for *_, parts in group])
     yield from group
 
 
@@ -422,11 +459,13 @@ def encode_n_best(documents: DataFrame, model_path: str, *, n: int = 3, with_ids
     """Segment whole texts; decode the best segmentation back and compare.
 
     Returns doc_id, n_chars, n_pieces (of the best), scores (up to n, falling), ids_crc32 (of the best ids as
-    little-endian int32), changed (pieces' chunks in which the second best differs), round_trip; ids with
-    ``with_ids``.  Spaces are kept as they are, a leading one is added in encoding and taken off in decoding.  Null
-    and empty texts have no pieces, one segmentation of score 0 and no ids.  A literal U+2581 reads as a space and so
-    does not survive the round trip (false).  Repeated rows and null ids stay row by row; an empty table gives an
-    empty result.  Other columns are ignored.
+    little-endian int32), changed (chunks in which the second best differs), round_trip (the best ids decode to the
+    text's very bytes); ids with ``with_ids``.  Spaces are kept as they are, a leading one is added in encoding and taken
+    off in decoding.  Null and empty texts have no pieces, one segmentation of score 0 and no ids.  Long texts, and long
+    runs without any place to cut, are searched whole, in memory in proportion to their length.  Ties: the best
+    segmentation has the shortest last pieces; others of equal scores come in one fixed order.  A literal U+2581 reads as
+    a space and so does not survive the round trip (false); nor do bytes that are no UTF-8.  Repeated rows and null ids
+    stay row by row; an empty table gives an empty result.  Other columns are ignored.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,8 +473,8 @@ def encode_n_best(documents: DataFrame, model_path: str, *, n: int = 3, with_ids
         chunks = worker_cache("chunks").setdefault((model_path, n), Chunks(p, n))
         for batch in rows:
             out = []
-            for doc, text, parts in in_groups(p, chunks, batch):
-                found, best, whole = text_n_best(chunks, parts, n)
+            for doc, raw, text, parts in in_groups(p, chunks, batch):
+                found, best = text_n_best(chunks, parts, n)
                 ids = b"".join(best)
                 out.append(
                     (
@@ -445,7 +484,7 @@ def encode_n_best(documents: DataFrame, model_path: str, *, n: int = 3, with_ids
                         [s for s, _ in found],
                         zlib.crc32(ids),
                         len(found[1][1]) if len(found) > 1 else 0,
-                        whole and SPACE not in text,  # no character spans two chunks
+                        p.decode_bytes(ids) == raw,
                         ids if with_ids else None,
                     )
                 )
@@ -461,3 +500,13 @@ def encode_n_best(documents: DataFrame, model_path: str, *, n: int = 3, with_ids
     out = rows.mapInArrow(run, schema)
     return out if with_ids else out.drop("ids")
 
+
+def decode_pieces(encoded: DataFrame, model_path: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """Decode a column of ids (little-endian int32 as binary) to texts; null ids give a null text.  All columns stay."""
+
+    @F.pandas_udf("string")
+    def decode(col: pd.Series) -> pd.Series:
+        p = Pieces.load(model_path)
+        return col.map(lambda x: None if x is None else p.decode_bytes(x).decode("utf-8", "replace"))
+
+    return encoded.withColumn(out, decode(ids))

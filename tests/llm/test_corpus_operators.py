@@ -367,7 +367,7 @@ def test_rare_labels_are_taken_first(spark):
 
 
 def all_paths(p, text):
-    edges = sp.viterbi(p, text)[0]
+    edges = [e for end in range(1, len(text) + 1) for e in sp.edges_into(p, text, end)]
     out = []
 
     def walk(place, score):
@@ -398,6 +398,39 @@ def test_chunks_searched_together_equal_single_searches():
     assert sp.best_and_gaps(p, short) == [sp.best_and_gap(p, c) for c in short]
 
 
+def test_cache_of_chunks_rolls_over_and_changes_nothing():
+    p = sp.Pieces.load(TOKENIZER)
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abcdetn"), rng.integers(1, 7))) for _ in range(30)) for _ in range(40)] * 3
+    small = sp.Chunks(p, 3, most_bytes=4 * sp.ENTRY_BYTES)
+    for i in range(0, len(texts), 4):
+        small.learn([sp.text_parts(p, t) for t in texts[i : i + 4]])
+        for t in texts[i : i + 4]:
+            got = sp.segmentations(small, t, 3)
+            assert got == sp.segmentations(sp.Chunks(p, 3), t, 3)
+            assert len({tuple(x) for _, x in got}) == 3
+    assert len(small.young) <= 10 and len(small.old) <= 10
+
+
+def test_long_runs_without_a_cut_and_with_ties():
+    p = sp.Pieces.load(TOKENIZER)
+    for run in ("a" * 20_000, "ab中" * 5_000, "-" * 3_000):
+        chunks = sp.Chunks(p, 3)
+        found = sp.segmentations(chunks, run, 3)
+        scores = [s for s, _ in found]
+        assert scores == sorted(scores, reverse=True) and len({tuple(ids) for _, ids in found}) == 3
+        assert all(p.decode(ids) == run for _, ids in found)
+        assert not chunks.young or max(map(len, chunks.young)) <= chunks.long
+
+
+def test_decoding_a_column_of_ids(spark, odd):
+    rows = sp.decode_pieces(sp.encode_n_best(odd, TOKENIZER, with_ids=True), TOKENIZER).collect()
+    want = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    assert len(rows) == odd.count() and all(r["text"] == want[r["doc_id"]] for r in rows)
+    marked = docs(spark, ["a▁b", "a b"])
+    assert [r["round_trip"] for r in sp.encode_n_best(marked, TOKENIZER).orderBy("doc_id").collect()] == [False, True]
+
+
 def test_segmentation_odd_rows(spark, odd):
     got = sp.encode_n_best(odd, TOKENIZER, with_ids=True).collect()
     assert len(got) == odd.count() and all(r["round_trip"] for r in got)
