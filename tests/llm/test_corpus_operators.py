@@ -54,7 +54,7 @@ def test_hmm_expected_counts_equal_enumeration():
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)
     m = hmm.Hmm(norm(rng.random(2), 0), norm(rng.random((2, 2)), 1), norm(rng.random((4, 2)), 0))
     text = np.array([0, 3, 1, 1])
-    first, moves, counts = m.expected(*hmm.spans([text]))
+    first, moves, counts = m.expected(hmm.Spans.of([text]))
     want_first, want_moves, want_counts, total = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0
     for path in np.ndindex(2, 2, 2, 2):
         p = m.pi[path[0]] * m.emit[text[0], path[0]]
@@ -70,6 +70,81 @@ def test_hmm_expected_counts_equal_enumeration():
         assert np.allclose(got, want / total, atol=1e-5)
 
 
+def plain_forward_backward(m, text):
+    """Scaled recursions over one whole text, step by step."""
+    k = len(m.pi)
+    a, c = np.zeros((len(text), k)), np.zeros(len(text))
+    for t, w in enumerate(text):
+        a[t] = (m.pi if t == 0 else a[t - 1] @ m.trans) * m.emit[w]
+        c[t] = a[t].sum()
+        a[t] /= c[t]
+    b = np.ones((len(text), k))
+    moves, counts = np.zeros((k, k)), np.zeros((len(m.emit), k))
+    for t in range(len(text) - 2, -1, -1):
+        ahead = m.emit[text[t + 1]] * b[t + 1] / c[t + 1]
+        b[t] = m.trans @ ahead
+        moves += m.trans * np.outer(a[t], ahead)
+    for t, w in enumerate(text):
+        counts[w] += a[t] * b[t]
+    return a[0] * b[0], moves, counts, np.log10(c).sum()
+
+
+@pytest.mark.parametrize("size", [3, 7, 1000])
+def test_hmm_recursions_run_through_the_spans_of_a_text(size):
+    rng = np.random.default_rng(3)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    m = hmm.Hmm(norm(rng.random(4), 0), norm(rng.random((4, 4)) ** 3, 1), norm(rng.random((9, 4)) ** 3, 0))
+    texts = [rng.integers(0, 9, n) for n in (1, 2, 3, 4, 6, 7, 20, 21, 22, 50)]
+    got = m.expected(hmm.Spans.of(texts, size))
+    for g, w in zip(got, zip(*(plain_forward_backward(m, t)[:3] for t in texts), strict=True), strict=True):
+        assert np.allclose(g, sum(w), rtol=2e-4, atol=2e-4)
+
+
+@pytest.mark.parametrize("limit", [20, 70_000])
+def test_hmm_scores_equal_brute_force(spark, odd, limit):
+    """Training of two rounds over whole texts, and the score of every text, word by word."""
+    states, classes = 3, 16
+    got = hmm.hmm_scores(odd, states=states, rounds=2, max_symbols=limit, classes=classes).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    rows = [(r["doc_id"], re.findall(rb"[^\x20\x09-\x0d]+", (r["text"] or "").encode().lower()) + [b"\n"]) for r in odd.collect()]
+    c = collections.Counter(w for i, ws in rows if not held(i) for w in ws)
+    by_step = collections.defaultdict(list)
+    for w, n in c.items():
+        if n > 1:
+            by_step[math.floor(16 * math.log2(n))].append(w)
+    top, room = [], limit
+    for step in sorted(by_step, reverse=True):
+        room -= len(by_step[step])
+        if room < 0:
+            break
+        top += [w for w in by_step[step] if w != b"\n"]
+    top = [b"\n", *sorted(top, key=lambda w: (-c[w], w))]
+    symbol = {w: i for i, w in enumerate(top)}
+    cls = lambda w: zlib.crc32(w[-3:]) % classes
+    share, inside = np.array([*(c[w] for w in top), *[0] * classes], float), collections.defaultdict(lambda: [0, 0])
+    for w, n in c.items():
+        if w not in symbol:
+            share[len(top) + cls(w)] += n
+            inside[cls(w)][0] += n
+            inside[cls(w)][1] += 1
+    share = (share + 1) / (sum(c.values()) + len(share))
+    code = lambda ws: [symbol.get(w, len(top) + cls(w)) for w in ws]
+    m = hmm.Hmm.start(share, states)
+    for _ in range(2):
+        first, moves, counts = np.ones(states), np.eye(states) + 0.1, share[:, None] * np.full(states, 50.0)
+        for i, ws in rows:
+            if not held(i):
+                for total, more in zip((first, moves, counts), plain_forward_backward(m, code(ws))[:3], strict=True):
+                    total += more
+        m = hmm.Hmm(first / first.sum(), moves / moves.sum(1, keepdims=True), counts / counts.sum(0))
+    want = []
+    for i, ws in rows:
+        rare = sum(math.log10((c[w] + 1) / (inside[cls(w)][0] + inside[cls(w)][1] + 1)) for w in ws if w not in symbol)
+        want.append((str(i), plain_forward_backward(m, code(ws))[3] + rare))
+    for (i, x), (j, y) in zip(sorted((str(r["doc_id"]), r["score"]) for r in got), sorted(want), strict=True):
+        assert i == j and math.isclose(x, y, rel_tol=1e-3, abs_tol=1e-3)
+
+
 def test_hmm_base_scores(spark, odd):
     got = hmm.hmm_scores(odd, states=2, rounds=1, max_symbols=20, classes=16).collect()
     assert len(got) == odd.count()
