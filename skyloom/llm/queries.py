@@ -128,22 +128,22 @@ FROM al
 
 
 def op5_sql(depth: int = 4, many: int = 8, prevail: float = 0.5, z: float = 1.96, least: int = 5) -> str:
-    """The same tree in SQL, level by level."""
+    """The same tree in SQL, level by level, for paths of ``depth`` segments at most (the tables' have three)."""
     fits = []
     for v, h, p in sorted(url_templates.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])):
         fits.append((f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v))
     case = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + " END"
     s = [f"s{k}" for k in range(1, depth + 1)]
-    # A split in at most `depth` parts: the last one keeps the rest.
-    cells = [f"coalesce(w[{k}], '')" for k in range(1, depth)] + [f"coalesce(array_to_string(w[{depth}:], '/'), '')"]
-    seg = ", ".join(f"CASE WHEN regexp_matches({c}, '{url_templates.NUMBER}') THEN '*' ELSE {c} END AS s{k}" for k, c in enumerate(cells, 1))
+    seg = ", ".join(
+        f"CASE WHEN regexp_matches(coalesce(w[{k}], ''), '{url_templates.NUMBER}') THEN '*' ELSE coalesce(w[{k}], '') END AS s{k}" for k in range(1, depth + 1)
+    )
     steps, last = [], "shapes0"
-    steps.append(f"shapes0 AS (SELECT host, {', '.join(s)}, count(*) AS n, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad, "
+    steps.append(f"shapes0 AS MATERIALIZED (SELECT host, {', '.join(s)}, count(*) AS n, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad, "
                  f"{', '.join(f'{x} AS t{k}' for k, x in enumerate(s, 1))} FROM r GROUP BY ALL)")
-    for merge in (False, True):
-        for k in range(1, depth + 1):
+    for k in range(1, depth + 1):
+        for merge in (False, True):
             node = ", ".join(["host", *(f"t{j}" for j in range(1, k))])
-            me = f"x{int(merge)}{k}"
+            me = f"x{k}{int(merge)}"
             steps.append(f"c_{me} AS (SELECT {node}, t{k}, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM {last} GROUP BY {node}, t{k})")
             if merge:
                 steps.append(
@@ -159,7 +159,7 @@ def op5_sql(depth: int = 4, many: int = 8, prevail: float = 0.5, z: float = 1.96
                 on = node
             cols = ", ".join(f"l.{c}" for c in ["host", *s, "n", "good", "bad", *(f"t{j}" for j in range(1, depth + 1) if j != k)])
             match = " AND ".join(f"l.{c.strip()} = k.{c.strip()}" for c in on.split(","))
-            steps.append(f"{me} AS (SELECT {cols}, CASE WHEN k.host IS NOT NULL AND l.t{k} <> '' THEN '*' ELSE l.t{k} END AS t{k} FROM {last} l LEFT JOIN k_{me} k ON {match})")
+            steps.append(f"{me} AS MATERIALIZED (SELECT {cols}, CASE WHEN k.host IS NOT NULL AND l.t{k} <> '' THEN '*' ELSE l.t{k} END AS t{k} FROM {last} l LEFT JOIN k_{me} k ON {match})")
             last = me
     t = ", ".join(f"t{k}" for k in range(1, depth + 1))
     return f"""
@@ -169,11 +169,13 @@ v AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGH
 r AS (SELECT page_id, host, path, {case(1)} AS rule, {case(2)} AS said, {seg}
       FROM (SELECT *, CASE WHEN path = '' THEN [] ELSE string_split(substr(path, 2), '/') END AS w FROM v)),
 {', '.join(steps)},
-p AS (SELECT host, {t}, (sum(bad) + 4.0 * 0.25) / (sum(bad) + sum(good) + 4.0) AS rate FROM {last} GROUP BY ALL)
+p AS (SELECT host, {t}, sum(bad) AS bad, sum(bad) + sum(good) AS own FROM {last} GROUP BY ALL),
+e AS (SELECT {t}, (sum(bad / own::DOUBLE) + 2.0 * 0.25) / (count(*) + 2.0) AS vote FROM p WHERE own > 0 GROUP BY ALL),
+q AS (SELECT host, {t}, (bad + 4.0 * coalesce(vote, 0.25)) / (own + 4.0) AS rate FROM p LEFT JOIN e USING ({t}))
 SELECT page_id, host, path, rule,
-       coalesce(said, CASE WHEN rate > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(said, CASE WHEN rate > 0.8 THEN 'block' ELSE 'allow' END) AS verdict,
        '/' || regexp_replace(concat_ws('/', {t}), '/+$', '') AS template
-FROM r JOIN {last} USING (host, {', '.join(s)}) JOIN p USING (host, {t})
+FROM r JOIN {last} USING (host, {', '.join(s)}) JOIN q USING (host, {t})
 """
 
 

@@ -1,9 +1,13 @@
 """URL filters by path templates, in DataFrame expressions only.
 
-A host's paths make a tree of segments.  Segments that look like numbers become wildcards at once; where a node has
-many children and none prevails, its children do.  Then branches of a node whose labelled rates do not differ
-significantly from the node's are merged into one wildcard branch.  A template is what is left of a path; it is
-rejected if its labelled examples, smoothed towards a prior, are mostly bad.
+A host's paths make a tree of segments, which is worked down level by level.  Segments that look like numbers become
+wildcards at once; where a node has many children and none prevails, its children do.  Then branches of the node whose
+labelled rates do not differ significantly from the node's are merged into one wildcard branch, and what was below them
+is one subtree.  A template is what is left of a path; it is rejected if its labelled examples are bad almost purely.
+
+A template's purity is smoothed twice: a host's own examples towards the vote of all hosts that have labelled examples
+of the same template, one vote a host, and that vote towards a prior.  So a template of a host without labels is judged
+by what the template is elsewhere, and no host, however large, outvotes the others.
 
 All statistics are kept on distinct (host, path shape) rows with counts, not on pages; look-ups from pages are salted,
 since one host may hold a third of them.
@@ -56,7 +60,7 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: Colu
 
 
 def path_templates(
-    shapes: DataFrame, *, depth: int = 4, many: int = 8, prevail: float = 0.5, z: float = 1.96, least: int = 5
+    shapes: DataFrame, depth: int, *, many: int = 8, prevail: float = 0.5, z: float = 1.96, least: int = 5
 ) -> DataFrame:
     """shapes: host, s1..s{depth}, n, good, bad.  Adds t1..t{depth}, the template's segments.
 
@@ -64,35 +68,34 @@ def path_templates(
     '*'.  Then a child with ``least`` labels or more whose bad rate is within z standard errors of its node's becomes
     '*' as well.
     """
+    shape = F.struct(*(f"s{j}" for j in range(1, depth + 1)))
     t = shapes.withColumns({f"t{k}": F.col(f"s{k}") for k in range(1, depth + 1)})
-    for merge in (False, True):
-        for k in range(1, depth + 1):
-            node = ["host", *(f"t{j}" for j in range(1, k))]
-            child = t.groupBy(*node, f"t{k}").agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")))
-            if merge:
-                whole = child.groupBy(*node).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count("*").alias("kinds"))
-                rate = F.col("all_bad") / (F.col("all_bad") + F.col("all_good"))
-                own = F.col("good") + F.col("bad")
-                near = F.abs(F.col("bad") / own - rate) <= z * F.sqrt(rate * (1 - rate) / own)
-                star = (
-                    child.join(whole, node)
-                    .where((F.col("kinds") > 1) & (own >= least) & (F.col(f"t{k}") != ""))
-                    .where(near)
-                    .select(*node, f"t{k}", F.lit(True).alias("star"))
-                )
-                t = salted_join(t, star, [*node, f"t{k}"], F.struct(*(f"s{j}" for j in range(1, depth + 1))))
-            else:
-                star = (
-                    child.where(F.col(f"t{k}") != "")
-                    .groupBy(*node)
-                    .agg(F.count("*").alias("kinds"), F.max("n").alias("top"), F.sum("n").alias("all"))
-                    .where((F.col("kinds") > many) & (F.col("top") <= prevail * F.col("all")))
-                    .select(*node, F.lit(True).alias("star"))
-                )
-                t = salted_join(t, star, node, F.struct(*(f"s{j}" for j in range(1, depth + 1))))
-            # An empty segment is the end of a path and stays one.
-            starred = F.when(F.col("star") & (F.col(f"t{k}") != ""), "*").otherwise(F.col(f"t{k}"))
-            t = materialise(t.withColumn(f"t{k}", starred).drop("star"), "tree")
+    for k in range(1, depth + 1):
+        node = ["host", *(f"t{j}" for j in range(1, k))]
+        # An empty segment is the end of a path and stays one.
+        starred = F.when(F.col("star") & (F.col(f"t{k}") != ""), "*").otherwise(F.col(f"t{k}"))
+        varied = (
+            t.where(F.col(f"t{k}") != "")
+            .groupBy(*node, f"t{k}")
+            .agg(F.sum("n").alias("n"))
+            .groupBy(*node)
+            .agg(F.count("*").alias("kinds"), F.max("n").alias("top"), F.sum("n").alias("all"))
+            .where((F.col("kinds") > many) & (F.col("top") <= prevail * F.col("all")))
+            .select(*node, F.lit(True).alias("star"))
+        )
+        t = salted_join(t, varied, node, shape).withColumn(f"t{k}", starred).drop("star")
+        child = t.groupBy(*node, f"t{k}").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        whole = child.groupBy(*node).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count("*").alias("kinds"))
+        rate = F.try_divide(F.col("all_bad"), F.col("all_bad") + F.col("all_good"))
+        own = F.col("good") + F.col("bad")
+        near = F.abs(F.try_divide(F.col("bad"), own) - rate) <= z * F.sqrt(F.try_divide(rate * (1 - rate), own))
+        alike = (
+            child.where((own >= least) & (F.col(f"t{k}") != ""))
+            .join(whole.where("kinds > 1 AND all_good + all_bad > 0"), node)
+            .where(near)
+            .select(*node, f"t{k}", F.lit(True).alias("star"))
+        )
+        t = materialise(salted_join(t, alike, [*node, f"t{k}"], shape).withColumn(f"t{k}", starred).drop("star"), "tree")
     return t
 
 
@@ -100,42 +103,50 @@ def judge_urls(
     pages: DataFrame,
     rules: list[tuple[str, str, str]] | None = None,
     *,
-    depth: int = 4,
+    depth: int = 12,
     prior_bad: float = 0.25,
     weight: float = 4.0,
-    reject: float = 0.5,
+    votes: float = 2.0,
+    reject: float = 0.8,
     **shape: float,
 ) -> DataFrame:
     """Judge every url by the longest rule that fits, else by its path's template.
 
-    The urls that rules fit are the labelled examples of their templates.  A template's bad rate is (bad + weight *
-    prior_bad) / (labelled + weight); over ``reject``, its urls without a rule are blocked.  Segments after ``depth``
-    are part of the last one.  Returns page_id, host, path, rule, verdict, template, bad_rate.  Null urls and urls
-    without :// have an empty host and path and are judged like any other; null ids and repeated rows stay row by row;
-    an empty table gives an empty result.  Other columns are ignored.
+    The urls that rules fit are the labelled examples of their templates.  A template's vote over the hosts is (sum of
+    the bad rates of the hosts with examples of it + ``votes`` * prior_bad) / (such hosts + ``votes``); its bad rate on
+    a host is (bad + weight * vote) / (labelled + weight).  Over ``reject``, its urls without a rule are blocked.
+
+    Returns page_id, host, path, rule, verdict, template, bad_rate.  Null urls and urls without :// have an empty host
+    and path and are judged like any other; urls are taken whole, however long.  The tree is as deep as the deepest
+    path, up to ``depth`` levels; below, the rest of a path is one segment (its numbers are wildcards as well), which
+    varies or merges as any other.  Of rules of equal length that fit, the first by text decides.  Null ids and repeated
+    rows stay row by row; an empty table gives an empty result.  Other columns are ignored.
     """
     rules = RULES if rules is None else rules
     host, path = url_parts(pages["url"].cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
-    parts = F.split(F.substring("path", 2, 1_000_000_000), "/", depth)
-
-    def segment(k: int) -> Column:
-        s = F.when(F.col("path") == "", "").otherwise(F.coalesce(F.get(parts, F.lit(k - 1)), F.lit("")))
-        return F.when(s.rlike(NUMBER), "*").otherwise(s)
-
-    names = [f"s{k}" for k in range(1, depth + 1)]
-    rows = rows.withColumns({"rule": rule, "said": said} | {s: segment(k) for k, s in enumerate(names, 1)})
-    shapes = materialise(rows.groupBy("host", *names).agg(
+    cells = F.when(F.col("path") != "", F.split(F.substring("path", 2, 1_000_000_000), "/", -1)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumns({"rule": rule, "said": said, "cells": F.transform(cells, lambda s: F.when(s.rlike(NUMBER), "*").otherwise(s))})
+    shapes = materialise(rows.groupBy("host", "cells").agg(
         F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("good"), F.count_if(F.col("said") == "block").alias("bad")
     ), "shapes")
-    tree = path_templates(shapes, depth=depth, **shape)
-    ends = [f"t{k}" for k in range(1, depth + 1)]
-    purity = tree.groupBy("host", *ends).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-    rate = (F.col("all_bad") + weight * prior_bad) / (F.col("all_bad") + F.col("all_good") + weight)
-    judged = salted_join(tree.select("host", *names, *ends), purity, ["host", *ends], F.struct(*names)).select(
-        "host", *names, F.concat(F.lit("/"), F.regexp_replace(F.concat_ws("/", *ends), "/+$", "")).alias("template"), rate.alias("bad_rate")
+    levels = min(depth, shapes.agg(F.coalesce(F.max(F.size("cells")), F.lit(0))).first()[0]) or 1
+    names, ends = ([f"{x}{k}" for k in range(1, levels + 1)] for x in "st")
+    rest = F.array_join(F.slice("cells", levels, F.greatest(F.size("cells"), F.lit(1))), "/")
+    segments = {s: F.coalesce(F.get("cells", F.lit(k)), F.lit("")) for k, s in enumerate(names[:-1])} | {names[-1]: rest}
+    shapes = shapes.withColumns(segments).groupBy("host", *names).agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")))
+    tree = path_templates(shapes, levels, **shape)
+    purity = tree.groupBy("host", *ends).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    own = F.col("good") + F.col("bad")
+    elsewhere = purity.where(own > 0).groupBy(*ends).agg(
+        ((F.sum(F.try_divide(F.col("bad"), own)) + votes * prior_bad) / (F.count("*") + votes)).alias("vote")
+    )
+    vote = F.coalesce("vote", F.lit(prior_bad))
+    rated = salted_join(purity, elsewhere, ends, F.col("host")).select("host", *ends, ((F.col("bad") + weight * vote) / (own + weight)).alias("bad_rate"))
+    judged = salted_join(tree.select("host", *names, *ends), rated, ["host", *ends], F.struct(*names)).select(
+        "host", *names, F.concat(F.lit("/"), F.regexp_replace(F.concat_ws("/", *ends), "/+$", "")).alias("template"), "bad_rate"
     )
-    out = salted_join(rows, judged, ["host", *names], F.col("page_id"))
+    out = salted_join(rows.withColumns(segments), materialise(judged, "judged"), ["host", *names], F.col("page_id"))
     verdict = F.coalesce("said", F.when(F.col("bad_rate") > reject, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "bad_rate")

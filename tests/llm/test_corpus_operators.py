@@ -258,11 +258,31 @@ def test_url_judgements(spark):
 
 
 def test_url_templates_learn_from_labelled_siblings(spark):
-    rules = [("block", "h.net", "/a/bad/"), ("allow", "h.net", "/b/")]
-    urls = [f"http://h.net/a/bad/{i}" for i in range(30)] + [f"http://h.net/b/{i}" for i in range(30)] + ["http://h.net/a/other/1", "http://h.net/c/1"]
-    p = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_templates.judge_urls(p, rules).collect()}
-    assert got[0] == got[1] and got[0][1] == "block" and got[30][1] == "allow" and got[61][1] == "allow"
+    """Rules label one section; the section's other urls, and hosts without any labels, follow the template."""
+    rules = [("block", f"h{i}.net", "/a/bad/1") for i in range(12)] + [("allow", "net", "/b/1")]
+    urls = [f"http://h{i}.net/{p}/{n}" for i in range(12) for p in ("a/bad", "b") for n in range(100, 130)]
+    at = len(urls)
+    urls += ["http://h3.net/a/bad/7", "http://other.org/a/bad/9", "http://other.org/b/9", "http://other.org/a/9", "http://h3.net/b/7", "http://other.org/a/bad/x/9"]
+    p = spark.createDataFrame([(i, u, "h", 0) for i, u in enumerate(urls)], "page_id long, url string, host string, bad int")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["template"]) for r in url_templates.judge_urls(p, rules).collect()}
+    assert len(got) == len(urls) and got[0][1] == "block" and got[30][1] == "allow"
+    assert got[at] == (None, "block", got[0][2]) and got[at + 1] == (None, "block", "/a/bad/*")
+    assert [got[at + i][1] for i in (2, 3, 4, 5)] == ["allow"] * 4
+
+
+def test_url_templates_of_odd_urls(spark):
+    rules = [("block", "t.net", "/a"), ("allow", "s.t.net", "/"), ("allow", "b.net", "/x/"), ("block", "b.net", "/x/")]
+    deep = "http://d.net/" + "/".join(f"p{i}/{i}" for i in range(20))
+    urls = ["http://s.t.net/a", "http://b.net/x/1", deep, "http://l.net/" + "q" * 200_000, "http://r.net/z", "http://r.net/z"]
+    p = spark.createDataFrame(list(enumerate(urls)) + [(5, urls[5])], "page_id long, url string")
+    rows = url_templates.judge_urls(p, rules, depth=4).collect()
+    got = {r["page_id"]: r for r in rows}
+    assert len(rows) == 7 and got[0]["rule"] == "s.t.net/" and got[1]["rule"] == "b.net/x/"
+    assert got[2]["template"] == "/" + "/".join(f"p{i}/*" for i in range(20))
+    assert len(got[3]["path"]) == 200_001 and got[4]["verdict"] == got[5]["verdict"] == "allow"
+    # Variable segments below the fourth become wildcards as any other.
+    many = spark.createDataFrame([(i, f"http://m.net/a/b/c/d/e/name{i}x") for i in range(40)], "page_id long, url string")
+    assert {r["template"] for r in url_templates.judge_urls(many).collect()} == {"/a/b/c/d/e/*"}
 
 
 def brute_classes(rows, size=5):
