@@ -1,33 +1,38 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models.
+"""Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary texts, share their lowest order: the continuation counts (distinct left
-neighbours) over both classes.  A class's unigram continuation counts back off to it, a class's bigrams (by the
-distinct texts that hold them) back off to the class's unigrams, by absolute discounting; a class that lacks a context
-backs off in full.  Words of few contexts and bigrams of few texts over both classes are kept by neither model, so they
-are judged by the shared counts alone and say nothing for or against a class; a kept bigram may end in such a word.
-Copies of a text count once, so a text that is repeated thousands of times weighs as one.
+Two models, of toxic and of ordinary texts, each of four orders, by absolute discounting:
+- bigrams, by the number of a class's distinct texts that hold them, back off to
+- the class's words, by continuation counts (distinct left neighbours), these to
+- the class's stems, a word's first letters, by the continuation counts of their words, and these to
+- the continuation counts of both classes together, which also share a stem's probability out among its words.
+A count up to the discount leaves all its mass to the order below.  So rare expressions are smoothed by shared counts,
+and the models can be kept whole as few entries: where no count is over its discount, the log ratio of the two classes
+is the sum of those of the context's backoff mass and of the word's lower order.  Copies of a text count once.
 
 A text's log-likelihoods are compared after normalisation by length: over the whole text, and over its most toxic
-span of a few tokens, since a long text may be toxic in one line.  A logistic curve fitted on other labelled rows
-turns both into a probability.
+span of a few tokens, since a long text may be toxic in one line; the text's length goes along, as a long text has more
+spans.  A logistic curve turns these into a probability.  It is fitted to ratios by models that have not seen the texts'
+own part of the labelled rows; the final models have seen all parts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from skyloom.llm.common import crc_mod, materialise, plain_words, text_bytes
 
 START = b"^"
+BIGRAM, WORD, STEM, SHARED = 4.0, 4.0, 8.0, 0.75  # discounts of the orders
+LETTERS = 5  # of a stem
 
 
 def expressions(text: bytes | None) -> list[bytes]:
@@ -35,57 +40,115 @@ def expressions(text: bytes | None) -> list[bytes]:
     return [w for w, _ in groupby(plain_words(text))]
 
 
+def stem(word: bytes) -> bytes:
+    return word.decode("utf-8", "replace")[:LETTERS].encode()
+
+
+@dataclass
+class Counts:
+    """What two models are made of.  Pairs are of the classes ordinary and toxic.
+
+    Tables may lack entries that the discounts leave without mass of their own: bigrams and contexts where no bigram is
+    over the discount, words that are neither over it nor in such a bigram, and stems of no such word and not over theirs.
+    """
+
+    total: list[int]  # continuation counts of a class, and of both together
+    mass: list[float]  # of words, the share of continuation counts that their discount leaves to stems
+    stem_mass: list[float]  # the same of stems
+    stems: int = 0
+    discounts: tuple[float, float, float] = (BIGRAM, WORD, STEM)
+    bigrams: dict[tuple[bytes, bytes], tuple[int, int]] = field(default_factory=dict)
+    contexts: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)  # texts of all its bigrams, and what their discounts take
+    words: dict[bytes, tuple[int, int, int]] = field(default_factory=dict)  # continuation counts: ordinary, toxic, both
+    stem_words: dict[bytes, tuple[int, int, int, int]] = field(default_factory=dict)  # the same, and number of words
+
+    def p_stem(self, s: bytes, y: int) -> float:
+        c = self.stem_words.get(s)
+        shared = SHARED * self.stems / self.total[2] if c is None else (c[2] - SHARED) / self.total[2]
+        return (max(c[y] - self.discounts[2], 0) if c else 0) / self.total[y] + self.stem_mass[y] * shared
+
+    def p_word(self, w: bytes, y: int) -> float:
+        c, s = self.words.get(w), self.stem_words.get(stem(w))
+        inside = 1.0 if s is None else (c[2] - SHARED) / s[2] if c else SHARED * s[3] / s[2]  # a new word has what the others leave
+        return (max(c[y] - self.discounts[1], 0) if c else 0) / self.total[y] + self.mass[y] * self.p_stem(stem(w), y) * inside
+
+    def p(self, left: bytes, w: bytes, y: int) -> float:
+        """P(w | left) of class y."""
+        c = self.contexts.get(left)
+        if c is None or not c[y][0]:
+            return self.p_word(w, y)
+        own = self.bigrams.get((left, w), (0, 0))[y]
+        return (max(own - self.discounts[0], 0) + c[y][1] * self.p_word(w, y)) / c[y][0]
+
+    def model(self) -> KneserNey:
+        ratio = lambda p: float(np.log(p(1) / p(0)))
+        new = ratio(lambda y: self.mass[y] * self.stem_mass[y])
+        stems = {s: ratio(lambda y: self.mass[y] * self.p_stem(s, y)) for s, c in self.stem_words.items() if max(c[:2]) > self.discounts[2]}
+        words = {w: ratio(lambda y: self.p_word(w, y)) for w in self.words}
+        left = {v: ratio(lambda y: c[y][1] / c[y][0] if c[y][0] else 1.0) for v, c in self.contexts.items() if all(x[1] or not x[0] for x in c)}
+        pairs = {v + b" " + w: ratio(lambda y: self.p(v, w, y)) for v, w in self.bigrams}
+        return KneserNey(pairs, words, stems, left, new)
+
+
 @dataclass
 class KneserNey:
-    """log ratios toxic : ordinary of kept expressions, and of the backoff mass of kept contexts."""
+    """log ratios toxic : ordinary of bigrams, words and stems, and of what contexts leave to lower orders."""
 
-    unigrams: dict[bytes, float]
     bigrams: dict[bytes, float]
+    words: dict[bytes, float]
+    stems: dict[bytes, float]
     contexts: dict[bytes, float]
+    new: float
+
+    def word(self, w: bytes) -> float:
+        r = self.words.get(w)
+        return self.stems.get(stem(w), self.new) if r is None else r
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """log P_toxic - log P_ordinary of each word given the one before."""
-        uni, bi, ctx = self.unigrams, self.bigrams, self.contexts
+        bi, uni, left = self.bigrams, self.words, self.contexts
         prev, out = START, []
         for w in words:
             r = bi.get(prev + b" " + w)
             if r is None:
-                r = uni.get(w, 0.0) + ctx.get(prev, 0.0)
+                r = uni.get(w)
+                if r is None:
+                    r = self.word(w)
+                r += left.get(prev, 0.0)
             out.append(r)
             prev = w
         return np.array(out)
 
 
-def features(model: KneserNey, words: list[bytes], span: int) -> tuple[float, float]:
-    """Length-normalised log ratio of the whole text and of its most toxic span (shorter texts: over ``span`` too)."""
+def features(model: KneserNey, words: list[bytes], span: int) -> tuple[float, float, float]:
+    """Length-normalised log ratio of the whole text and of its most toxic span (shorter texts: over ``span`` too); log length."""
     if not words:
-        return 0.0, 0.0
+        return 0.0, 0.0, 0.0
     r = model.ratios(words)
     total = np.concatenate([[0.0], np.cumsum(r)])
     top = (total[span:] - total[:-span]).max() if len(r) > span else total[-1]
-    return float(total[-1] / len(r)), float(top / span)
+    return float(total[-1] / len(r)), float(top / span), float(np.log1p(len(r)))
 
 
 def normal_texts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         texts = [b" ".join(expressions(t.as_py())) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), batch.column(1)], names=["text", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), *batch.columns[1:]], names=batch.schema.names)
 
 
-def bigram_texts(rows: Iterator[pa.RecordBatch], flush: int = 300_000) -> Iterator[pa.RecordBatch]:
-    """(left, word, toxic, n): number of texts that hold the bigram, in parts of bounded size."""
+def bigram_texts(rows: Iterator[pa.RecordBatch], flush: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """(left, word, toxic, part, n): number of texts that hold the bigram, in batches of bounded size."""
 
     def out(c: Counter) -> pa.RecordBatch:
-        left, word, toxic = zip(*c, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(x, pa.binary()) for x in (left, word)), pa.array(toxic, pa.int32()), pa.array(c.values(), pa.int64())], names=["l", "w", "toxic", "n"]
-        )
+        left, word, toxic, part = zip(*c, strict=True)
+        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((left, word, toxic, part, c.values()), kinds, strict=True)], names=["l", "w", "toxic", "part", "n"])
 
     seen: Counter = Counter()
     for batch in rows:
-        for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-            words, y = text.as_py().split(), toxic.as_py()
-            seen.update({(a, b, y) for a, b in zip([START, *words], words, strict=False)})
+        for text, toxic, part in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+            words = text.split()
+            seen.update({(a, b, toxic, part) for a, b in zip([START, *words], words, strict=False)})
             if len(seen) > flush:
                 yield out(seen)
                 seen = Counter()
@@ -93,72 +156,67 @@ def bigram_texts(rows: Iterator[pa.RecordBatch], flush: int = 300_000) -> Iterat
         yield out(seen)
 
 
-def least_kept(table: DataFrame, column: str, room: int, floor: int) -> int:
-    """The smallest count, floor at least, of which at most ``room`` rows have as many."""
-    steps = table.where(F.col(column) >= floor).groupBy(F.least(column, F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).collect()
-    least = 100_001
-    for c, n in sorted(((r["c"], r["n"]) for r in steps), reverse=True):
-        room -= n
-        if room < 0:
-            break
-        least = c
-    return least
-
+def fit_kneser_ney(train: DataFrame, parts: list[int], discounts: tuple[float, float, float] = (BIGRAM, WORD, STEM)) -> list[Counts | None]:
+    """train: normal texts, toxic, part.  Models without each of the parts, and one of all; None where a class has no texts.
 
-def fit_kneser_ney(train: DataFrame, *, min_count: int = 8, max_entries: int = 150_000, discount: float = 0.75) -> KneserNey:
-    """train: text binary, toxic int.  Counts in Spark; the kept expressions (max_entries of each order) are collected."""
+    Counts are made in Spark; the entries over their discounts are collected, which the sample of training rows bounds.
+    """
+    models = [[q for q in parts if q != p] for p in parts] + [parts]
+    cells = [(y, p) for y in (0, 1) for p in parts]
     grams = materialise(
-        train.mapInArrow(normal_texts, "text binary, toxic int")
-        .groupBy(F.sha2("text", 256), "toxic")
-        .agg(F.any_value("text").alias("text"))
-        .select("text", "toxic")
-        .mapInArrow(bigram_texts, "l binary, w binary, toxic int, n long")
+        train.mapInArrow(bigram_texts, "l binary, w binary, toxic int, part int, n long")
         .groupBy("l", "w")
-        .agg(*(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1))),
+        .agg(*(F.sum(F.when((F.col("toxic") == y) & (F.col("part") == p), F.col("n")).otherwise(0)).alias(f"n{y}_{p}") for y, p in cells)),
         "grams",
     )
-    seen0, seen1 = ((F.col(f"n{y}") > 0).cast("long") for y in (0, 1))
-    words = grams.groupBy("w").agg(F.sum(seen0).alias("k0"), F.sum(seen1).alias("k1"), F.count("*").alias("k"))
-    words = materialise(words, "words")
-    t = words.agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("k0", "k1", "k")), *(F.count_if(F.col(c) > 0).alias("t" + c) for c in ("k0", "k1"))
-    ).first()
-    if not t["k0"] or not t["k1"]:
-        return KneserNey({}, {}, {})
-    back = [discount * t[f"tk{y}"] / t[f"k{y}"] for y in (0, 1)]
-
-    def share(k: int, y: int, shared: float) -> float:
-        return max(k - discount, 0) / t[f"k{y}"] + back[y] * shared
-
-    uni, p = {}, {}
-    least = least_kept(words, "k", max_entries, min_count)
-    for r in words.where(F.col("k") >= least).collect():
-        shared = r["k"] / t["k"]
-        p[w := bytes(r["w"])] = [share(r[f"k{y}"], y, shared) for y in (0, 1)]
-        uni[w] = float(np.log(p[w][1] / p[w][0]))
-    base = float(np.log(back[1] / back[0]))  # a word that neither class keeps has the shared probability in both
-    uni = {w: x - base for w, x in uni.items()}
-
-    lefts = grams.groupBy("l").agg(*(F.sum(f"n{y}").alias(f"n{y}") for y in (0, 1)), F.sum(seen0).alias("t0"), F.sum(seen1).alias("t1"))
-    lefts = materialise(lefts.withColumn("n", F.col("n0") + F.col("n1")), "lefts")
-    # That a class lacks a context speaks only where min_count of it were to be expected.
-    n = lefts.agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "n"))).first()
-    lefts = lefts.where(" AND ".join(f"(n{y} > 0 OR n * {n[f'n{y}'] / n['n']!r}D >= {min_count})" for y in (0, 1)))
-    least = least_kept(lefts, "n", max_entries, min_count * 4)
-    mass = {}
-    for r in lefts.where(F.col("n") >= least).collect():
-        mass[bytes(r["l"])] = [(discount * r[f"t{y}"] / r[f"n{y}"] if r[f"n{y}"] else 1.0, max(r[f"n{y}"], 1)) for y in (0, 1)]
-    whole = grams.withColumn("n", F.col("n0") + F.col("n1"))
-    least = least_kept(whole, "n", max_entries, min_count)
-    bi = {}
-    for r in whole.where(F.col("n") >= least).join(words.select("w", "k"), "w").collect():
-        left, w = bytes(r["l"]), bytes(r["w"])
-        if left in mass:
-            lower = p.get(w) or [back[y] * r["k"] / t["k"] for y in (0, 1)]
-            q = [max(r[f"n{y}"] - discount, 0) / mass[left][y][1] + mass[left][y][0] * lower[y] for y in (0, 1)]
-            bi[left + b" " + w] = float(np.log(q[1] / q[0])) - base
-    # The mass that contexts leave to backoff is shared: it says how varied a context is, not how toxic.
-    return KneserNey(uni, bi, {})
+    n = {(m, y): sum((F.col(f"n{y}_{p}") for p in of), F.lit(0)) for m, of in enumerate(models) for y in (0, 1)}
+    each = range(len(models))
+    words = materialise(
+        grams.groupBy("w", F.substring(F.col("w").cast("string"), 1, LETTERS).cast("binary").alias("s")).agg(
+            *(F.count_if(n[m, y] > 0).alias(f"k{m}_{y}") for m in each for y in (0, 1)), *(F.count_if(n[m, 0] + n[m, 1] > 0).alias(f"k{m}_2") for m in each)
+        ),
+        "words",
+    )
+    names = [f"k{m}_{y}" for m in each for y in (0, 1, 2)]
+    stems = materialise(words.groupBy("s").agg(*(F.sum(c).alias(c) for c in names), *(F.count_if(F.col(f"k{m}_2") > 0).alias(f"k{m}_3") for m in each)), "stems")
+    taken = lambda t, d: [F.coalesce(F.sum(F.least(F.col(f"k{m}_{y}").cast("double"), F.lit(d))), F.lit(0.0)).alias(f"d{m}_{y}") for m in each for y in (0, 1)]
+    of_words = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), *taken(words, discounts[1])).first()
+    of_stems = stems.agg(*taken(stems, discounts[2]), *(F.count_if(F.col(f"k{m}_2") > 0).alias(f"s{m}") for m in each)).first()
+
+    def any_over(columns: list[Column], least: float) -> Column:
+        return F.greatest(*columns) > least
+
+    over = grams.where(any_over(list(n.values()), discounts[0]))
+    lefts = grams.join(over.select("l").distinct().hint("shuffle_hash"), "l", "left_semi").groupBy("l").agg(
+        *(F.sum(x).alias(f"c{m}_{y}") for (m, y), x in n.items()), *(F.sum(F.least(x.cast("double"), F.lit(discounts[0]))).alias(f"d{m}_{y}") for (m, y), x in n.items())
+    )
+    kept = words.where(any_over([F.col(f"k{m}_{y}") for m in each for y in (0, 1)], discounts[1])).unionByName(
+        words.join(over.select("w").distinct().hint("shuffle_hash"), "w", "left_semi")
+    ).distinct()
+    kept_stems = stems.where(any_over([F.col(f"k{m}_{y}") for m in each for y in (0, 1)], discounts[2])).unionByName(
+        stems.join(kept.select("s").distinct().hint("shuffle_hash"), "s", "left_semi")
+    ).distinct()
+    of_bigrams, of_lefts = over.select("l", "w", *(x.alias(f"n{m}_{y}") for (m, y), x in n.items())).toPandas(), lefts.toPandas()
+    of_kept, of_kept_stems = kept.toPandas(), kept_stems.toPandas()
+
+    def model(m: int) -> Counts | None:
+        total = [of_words[f"k{m}_{y}"] for y in (0, 1, 2)]
+        if not total[0] or not total[1]:
+            return None
+        c = Counts(total, [of_words[f"d{m}_{y}"] / total[y] for y in (0, 1)], [of_stems[f"d{m}_{y}"] / total[y] for y in (0, 1)], of_stems[f"s{m}"], discounts)
+        pairs = of_bigrams[(of_bigrams[[f"n{m}_0", f"n{m}_1"]] > discounts[0]).any(axis=1)]
+        c.bigrams = {(bytes(r[0]), bytes(r[1])): tuple(r[2:]) for r in pairs[["l", "w", f"n{m}_0", f"n{m}_1"]].itertuples(index=False)}
+        near = {left for left, _ in c.bigrams}
+        c.contexts = {
+            bytes(r[0]): [(r[1], r[2]), (r[3], r[4])] for r in of_lefts[["l", f"c{m}_0", f"d{m}_0", f"c{m}_1", f"d{m}_1"]].itertuples(index=False) if bytes(r[0]) in near
+        }
+        there = of_kept[of_kept[f"k{m}_2"] > 0]
+        c.words = {bytes(r[0]): tuple(r[1:]) for r in there[["w", *(f"k{m}_{y}" for y in (0, 1, 2))]].itertuples(index=False)}
+        there = of_kept_stems[of_kept_stems[f"k{m}_2"] > 0]
+        c.stem_words = {bytes(r[0]): tuple(r[1:]) for r in there[["s", *(f"k{m}_{y}" for y in (0, 1, 2, 3))]].itertuples(index=False)}
+        return c
+
+    return [model(m) for m in each]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1e-2, rows: np.ndarray | None = None) -> np.ndarray:
@@ -211,53 +269,69 @@ def toxicity_scores(
     *,
     folds: int = 4,
     held: int = 2,
-    max_train_rows: int = 12_000,
-    max_fit_rows: int = 6_000,
-    span: int = 4,
+    max_rows: int = 12_000,
+    span: int = 2,
     threshold: float = 0.3,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Probability that a whole text is toxic, for every document.
 
-    Labels are learned from rows outside the held-out fold only: two of the other folds feed the two language models
-    (about ``max_train_rows`` labelled rows at most, by hash of the id, the rarer class first), the last one the logistic
-    curve (about ``max_fit_rows``, weighted back to the classes' shares); these bounds keep the model small enough to broadcast, whatever the corpus.  Scoring reads the
-    text alone.  Null and empty texts have no words and get the curve's value at zero; without toxic or without
-    ordinary training rows every score is 0.  Columns named in ``keep`` go along.  A null doc_id keeps its row.  Repeated rows are scored one by one.
-    Returns doc_id, held_out, score, predicted, and the log ratios whole and span.
+    Labels are learned from rows outside the held-out fold only: about ``max_rows`` labelled rows at most, by hash of the
+    id, the rarer class first (weighted back in the curve); this bound keeps the models small enough to broadcast,
+    whatever the corpus.  Each other fold is a part: its rows' ratios, for the curve, are by models of the other parts.
+
+    Scoring reads the text alone, whole, however long.  Null and empty texts have no words and get the curve's value at
+    zero; without toxic or without ordinary training rows (or without labels at all) every score is 0.  An id labelled
+    twice is toxic if one label says so; labels other than 0 and 1 and null ids teach nothing.  Copies of a text with one
+    label count once.  A null doc_id keeps its row; repeated rows are scored one by one; equal texts score equal.  An
+    empty table gives an empty result.  Other columns are ignored, but for those named in ``keep``, which go along.
+    Returns doc_id, held_out, score, predicted, and the features whole, top and length.
     """
     parts = [f for f in range(folds) if f != held]
     docs = documents.select(
         text_bytes(documents).alias("_bytes"), F.col("doc_id").cast("long").alias("doc_id"), *(documents[c].alias(f"kept_{c}") for c in keep)
     )
+    # The sample's bound is a parameter, so its ids may be sent to every executor.
+    chosen = F.broadcast(labelled_sample(labels, folds, tuple(parts), max_rows))
+    rows = docs.join(chosen, "doc_id").select(F.col("_bytes").alias("text"), "toxic", crc_mod("doc_id", folds).cast("int").alias("part"), "stands_for")
+    train = materialise(
+        rows.mapInArrow(normal_texts, "text binary, toxic int, part int, stands_for double")
+        .groupBy(F.sha2("text", 256), "toxic")
+        .agg(F.any_value("text").alias("text"), F.min("part").alias("part"), F.sum("stands_for").alias("stands_for"))
+        .select("text", "toxic", "part", "stands_for"),
+        "train",
+    )
+    counts = fit_kneser_ney(train, parts)
+    of_part = {p: c.model() for p, c in zip(parts, counts[:-1], strict=True) if c}
 
-    def rows_of(which: tuple[int, ...], most: int) -> DataFrame:
-        # The sample's bound is a parameter, so its ids may be sent to every executor.
-        return docs.join(F.broadcast(labelled_sample(labels, folds, which, most)), "doc_id").select(F.col("_bytes").alias("text"), "toxic", "stands_for")
-
-    model = fit_kneser_ney(rows_of(tuple(parts[:-1]), max_train_rows).select("text", "toxic"))
+    def own_ratios(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            text, toxic, part, weight = (c.to_pylist() for c in batch.columns)
+            got = [(y, n, *features(of_part[p], t.split(), span)) for t, y, p, n in zip(text, toxic, part, weight, strict=True) if p in of_part]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, g, strict=True)) for g in got], schema=pa.schema([("toxic", pa.int32()), *((x, pa.float64()) for x in names[1:])]))
+
+    names = ["toxic", "stands_for", "whole", "top", "length"]
+    fit = train.mapInArrow(own_ratios, "toxic int, stands_for double, whole double, top double, length double").toPandas()
+    final = counts[-1].model() if counts[-1] else None
+    score = F.lit(0.0)
+    if final and fit["toxic"].nunique() == 2:
+        w = fit_logistic(fit[names[2:]].to_numpy(), fit["toxic"].to_numpy(float), rows=fit["stands_for"].to_numpy())
+        score = 1 / (1 + F.exp(-sum((F.lit(float(x)) * F.col(c) for x, c in zip(w[1:], names[2:], strict=True)), F.lit(float(w[0])))))
 
     def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            got = [features(model, expressions(t.as_py()), span) for t in batch.column(0)]
-            cols = [pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], "whole", "span"])
-
-    fit = rows_of((parts[-1],), max_fit_rows).mapInArrow(measure, "toxic int, stands_for double, whole double, span double").toPandas()
-    if (model.unigrams or model.bigrams) and fit["toxic"].nunique() == 2:
-        w = fit_logistic(fit[["whole", "span"]].to_numpy(), fit["toxic"].to_numpy(float), rows=fit["stands_for"].to_numpy())
-        score = 1 / (1 + F.exp(-(F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("whole") + F.lit(float(w[2])) * F.col("span"))))
-    else:
-        score = F.lit(0.0)
-    passed = ["doc_id", *(f"kept_{c}" for c in keep)]
-    schema = StructType([docs.schema[c] for c in passed]).add("whole", "double").add("span", "double")
-    scored = docs.mapInArrow(measure, schema)
-    return scored.select(
+            got = [features(final, expressions(t.as_py()), span) if final else (0.0, 0.0, 0.0) for t in batch.column(0)]
+            cols = [pa.array([g[i] for g in got], pa.float64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *names[2:]])
+
+    schema = StructType([docs.schema[c] for c in ["doc_id", *(f"kept_{c}" for c in keep)]])
+    for c in names[2:]:
+        schema = schema.add(c, "double")
+    return docs.mapInArrow(measure, schema).select(
         "doc_id",
         (crc_mod("doc_id", folds) == held).alias("held_out"),
         score.alias("score"),
         (score >= threshold).cast("int").alias("predicted"),
-        "whole",
-        "span",
+        *names[2:],
         *(F.col(f"kept_{c}").alias(c) for c in keep),
     )

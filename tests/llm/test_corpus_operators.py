@@ -454,6 +454,58 @@ def test_toxicity_of_a_fixed_line(spark):
     assert all(r["predicted"] for r in got if r["doc_id"] % 6 == 0)
 
 
+def plain_models(texts, discounts, letters=5):
+    """P(word | left) of each class from whole texts, straight from the definition; and the vocabulary of each stem."""
+    bi = [collections.Counter(), collections.Counter()]
+    for words, y in texts:
+        bi[y].update(set(zip(["^", *words], words, strict=False)))
+    stem = lambda w: w[:letters]
+    k = [collections.Counter(w for _, w in b) for b in bi]
+    both = collections.Counter(w for _, w in {*bi[0], *bi[1]})
+    known, stems = sorted(both), sorted({stem(w) for w in both})
+    total = sum(both.values())
+    of_stem = {s: sum(n for w, n in both.items() if stem(w) == s) for s in stems}
+    d2, d1, d0 = discounts
+
+    def p(left, w, y):
+        ny, s = sum(k[y].values()), stem(w)
+        ks = {t: sum(n for v, n in k[y].items() if stem(v) == t) for t in stems}
+        p0 = (of_stem[s] - 0.75) / total if s in of_stem else 0.75 * len(stems) / total
+        p1 = max(ks.get(s, 0) - d0, 0) / ny + sum(min(n, d0) for n in ks.values()) / ny * p0
+        inside = 1 if s not in of_stem else (both[w] - 0.75) / of_stem[s] if w in both else 0.75 * sum(stem(v) == s for v in known) / of_stem[s]
+        p2 = max(k[y][w] - d1, 0) / ny + sum(min(n, d1) for n in k[y].values()) / ny * p1 * inside
+        row = {v: n for (u, v), n in bi[y].items() if u == left}
+        if not row:
+            return p2
+        return (max(row.get(w, 0) - d2, 0) + sum(min(n, d2) for n in row.values()) * p2) / sum(row.values())
+
+    return p, known, stems
+
+
+@pytest.mark.parametrize("discounts", [(0.75, 0.75, 0.75), (2.0, 1.5, 3.0)])
+def test_kneser_ney_equals_brute_force_and_sums_to_one(spark, discounts):
+    rng = np.random.default_rng(14)
+    vocabulary = ["alpha1", "alpha2", "alpha3", "betas", "gamma", "gammas", "deltas"]
+    texts = [(list(rng.choice(vocabulary, rng.integers(1, 9))), int(i % 3 == 0)) for i in range(30)]
+    texts = [([w for i, w in enumerate(t) if not i or t[i - 1] != w], y) for t, y in texts]
+    rows = [(" ".join(t).encode(), y, i % 2) for i, (t, y) in enumerate(texts)]
+    found = toxicity.fit_kneser_ney(spark.createDataFrame(rows, "text binary, toxic int, part int"), [0, 1], discounts)
+    for counts, own in zip(found, (texts[1::2], texts[::2], texts), strict=True):
+        p, known, stems = plain_models(own, discounts)
+        lefts = ["^", *vocabulary, "unseen"]
+        new = [*(s + "x" for s in stems), "other"]  # an unseen word of each stem, and one of none
+        model = counts.model()
+        for left in ["^", *vocabulary, "unseen"]:
+            for y in (0, 1):
+                assert math.isclose(sum(p(left, w, y) for w in [*known, *new]), 1)
+                if discounts[0] < 1:  # with these, all counts are kept
+                    assert all(math.isclose(counts.p(left.encode(), w.encode(), y), p(left, w, y), rel_tol=1e-9) for w in [*known, *new])
+            words = [left, *known, *new]
+            got = model.ratios([w.encode() for w in words])
+            want = [math.log(p(v, w, 1) / p(v, w, 0)) for v, w in zip(["^", *words], words, strict=False)]
+            assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
 def test_rare_labels_are_taken_first(spark):
     labels = spark.range(20_000).selectExpr("id AS doc_id", "int(id % 200 = 0) AS toxic")
     taken = toxicity.labelled_sample(labels, 4, (0, 1, 2, 3), 2_000).groupBy("toxic").agg(F.count("*"), F.sum("stands_for")).collect()
