@@ -14,17 +14,6 @@ OBJECT_CLASS = [
     ("^(G.*|IG|GiG|GiP|GiC|AGN|Sy1|Sy2|LIN|SBG)$", "gal"),
     ("^(SNR|HII|RNe|DNe|Neb|GNe|MoC|ISM|Cld)$", "neb"),
 ]
-#: Material states by words of a layer's description.
-MATERIAL_STATE = [
-    ("metallic h|metallic hydrogen", "Metallic"),
-    ("dilute|diffuse|fuzzy|heavy-element", "Supercritical"),
-    ("molten|liquid", "Liquid"),
-    ("ice|frozen", "Ice"),
-    ("plasma|supercritical", "Plasma"),
-    (r"gas|atmosphere|cloud|hydrogen|helium|h₂|\bh2\b|\bhe\b", "Gas"),
-    ("basalt|silicate|rock|crust|mantle|olivine|perovskite|bridgmanite", "Rock"),
-    (r"solid|crystalline|iron|nickel|fe\b", "Solid"),
-]
 
 
 def classify_first_match(col: Column, rules: list[tuple[str, str]], default: str | None, lower: bool = True) -> Column:
@@ -36,10 +25,16 @@ def classify_first_match(col: Column, rules: list[tuple[str, str]], default: str
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
-def classify_by_table(df: DataFrame, col: str, rules: DataFrame, key: str, default: str) -> DataFrame:
-    """rules: priority, pattern, label, as a table; rows are told apart by ``key``."""
-    hit = df.join(F.broadcast(rules), F.expr(f"lower({col}) RLIKE pattern")).groupBy(key).agg(F.min_by("label", "priority").alias("label"))
-    return df.join(hit, key, "left").withColumn("label", F.coalesce("label", F.lit(default)))
+def classify_by_table(df: DataFrame, cols: dict[str, str], rules: DataFrame, defaults: dict[str, str], most: int = 1_000) -> DataFrame:
+    """One label column per rule set, by the rules of a table (rule_set, priority, pattern, label), ``most`` rows of it at most.
+
+    cols: the column that a set looks at; defaults: its label where no rule fits.  A pattern looks at lower-cased text.
+    """
+    found = rules.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rules")
+    of_set = {s: [(r["pattern"], r["label"]) for r in sorted(found, key=lambda r: (r["priority"], r["pattern"])) if r["rule_set"] == s] for s in cols}
+    return df.withColumns({s: classify_first_match(F.col(c), of_set[s], defaults.get(s)) for s, c in cols.items()})
 
 
 def extract_measurements(df: DataFrame, col: str) -> DataFrame:

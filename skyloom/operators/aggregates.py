@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyloom.sources.shared import saved
+
 
 def totals_by_group(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("total"))
@@ -63,15 +65,25 @@ def running_ranges(df: DataFrame, group: str, order: str, pct: str) -> DataFrame
 
 
 def systematic_sample(df: DataFrame, group: str, order: str, caps: DataFrame) -> DataFrame:
-    """Groups over their cap keep the rows at floor(i * n / cap), i < cap; others keep all.  caps: group, cap."""
-    w = Window.partitionBy(group)
-    rows = df.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)}).join(F.broadcast(caps), group, "left")
+    """Groups over their cap keep the rows at floor(i * n / cap), i < cap; others keep all.  caps: group, cap.
+
+    Rows are numbered in slices of the (group, order) range and by the counts of the slices before, so a large group
+    is many tasks' work.  The slices are saved, as a range is drawn anew whenever it is computed.
+    """
+    sliced = saved(df.repartitionByRange(group, order).withColumn("_slice", F.spark_partition_id()), "slices")
+    counts = sliced.groupBy(F.col(group).alias("_g"), F.col("_slice").alias("_s")).agg(F.count("*").alias("_c"))
+    of_group = Window.partitionBy("_g")
+    before = F.sum("_c").over(of_group.orderBy("_s")) - F.col("_c")
+    starts = counts.select("_g", "_s", before.alias("_first"), F.sum("_c").over(of_group).alias("_n"))  # groups + slices rows at most
+    rows = sliced.withColumn("_i", F.row_number().over(Window.partitionBy("_slice", group).orderBy(order)) - 1)
+    rows = rows.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_slice") == F.col("_s"))).withColumn("_i", F.col("_i") + F.col("_first"))
+    rows = rows.join(caps, group, "left")
     step = F.col("_n") / F.col("cap")
-    # Row i is kept if some k has floor(k * step) = i: the first k with k * step >= i is the one to try, and the one before.
+    # Row i is kept if some k has floor(k * step) = i: the first k with k * step >= i is the one to try, and the ones beside.
     k = F.ceil(F.col("_i") / step)
     hit = lambda c: (c >= 0) & (c < F.col("cap")) & (F.floor(c * step) == F.col("_i"))
     kept = F.col("cap").isNull() | (F.col("_n") <= F.col("cap")) | hit(k - 1) | hit(k) | hit(k + 1)
-    return rows.where(kept).drop("_i", "_n", "cap")
+    return rows.where(kept).select(*df.columns)
 
 
 def pick_largest(df: DataFrame, group: str, order: list) -> DataFrame:
@@ -89,8 +101,12 @@ def sort_by_key(df: DataFrame, key: str) -> DataFrame:
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """A permutation that the seed decides."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    """A permutation that the seed decides: by the md5 of seed and key, alike in every engine."""
+    return df.orderBy(shuffle_key(key, seed), key)
+
+
+def shuffle_key(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
 
 
 def union_groups(tables: dict[str, DataFrame]) -> DataFrame:
@@ -105,10 +121,11 @@ def union_groups(tables: dict[str, DataFrame]) -> DataFrame:
 def components_of_cells(cells: DataFrame, threshold: int, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """4-neighbour components of the cells brighter than the threshold: image, x, y, comp (smallest cell number).
 
-    ``link`` finds the components of (a, b) links.  Cells are numbered by (y, x) within 2^20 columns, images by hash.
+    ``link`` finds the components of (a, b) links.  Cells are numbered by (y, x) within 2^20 columns; a node is an
+    image with a cell of it.
     """
     on = cells.where(F.col("lum") > threshold).withColumn("cell", F.col("y").cast("long") * (1 << 20) + F.col("x"))
-    on = on.withColumn("node", F.xxhash64("image_id").bitwiseAND(F.lit((1 << 22) - 1)) * F.lit(1 << 41) + F.col("cell"))
+    on = on.withColumn("node", F.struct("image_id", "cell"))
     pairs = None
     for dx, dy in ((1, 0), (0, 1)):
         here = on.select("image_id", F.col("x"), F.col("y"), F.col("node").alias("a"))
@@ -116,7 +133,7 @@ def components_of_cells(cells: DataFrame, threshold: int, link: Callable[[DataFr
         p = here.join(there, ["image_id", "x", "y"]).select("a", "b")
         pairs = p if pairs is None else pairs.union(p)
     roots = link(pairs)
-    out = on.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    out = on.join(roots, "node", "left").withColumn("comp", F.coalesce(F.col("root.cell"), F.col("cell")))
     return out.select("image_id", "x", "y", "lum", "comp")
 
 

@@ -1,4 +1,4 @@
-"""Sky colours: bracketed palettes, then ordered blends by the weather."""
+"""Sky colours: bracketed palettes, then blends by the weather, which are a table of data."""
 
 from __future__ import annotations
 
@@ -10,70 +10,73 @@ from skyloom.operators.joins import bracket_join
 
 STOPS = range(4)
 
+#: Fixed values, in the order of the blends: weight, mix, and by stop (0 is the zenith, 3 the horizon) the share of the
+#: weight and the target, from one colour at mix 0 to another at mix 1.
+LAYERS = [
+    ("snow", None, {0: (1.0, "#586878"), 1: (1.0, "#6a7888"), 2: (1.0, "#7a8898"), 3: (1.0, "#8890a0")}),
+    ("cloud", "cover", {0: (1.0, "#3a4a68", "#404858"), 1: (1.0, "#4a5a78", "#4a5468"), 2: (1.0, "#506080", "#546070"), 3: (1.0, "#586888", "#586478")}),
+    ("middle", None, {0: (1.0, "#3a4868"), 1: (1.0, "#4a5a80"), 2: (1.0, "#5a6a90"), 3: (1.0, "#5a7090")}),
+    ("high", None, {0: (1.0, "#4a6098"), 1: (1.0, "#5a70a8"), 2: (1.0, "#6a80b0"), 3: (1.0, "#6888b0")}),
+    ("humid", None, {0: (1.0, "#3a5890"), 1: (1.0, "#4a6898"), 2: (1.0, "#5a78a0"), 3: (1.0, "#6888a8")}),
+    ("mist", None, {0: (1.0, "#586878"), 1: (1.0, "#687888"), 2: (1.0, "#788890"), 3: (1.0, "#889098")}),
+    ("warm", "dusk", {1: (0.20, "#c86e92"), 2: (0.30, "#ffab62", "#ff8a54"), 3: (0.34, "#ff7a34", "#ff5a26")}),
+    ("dark", "dusk", {2: (0.30, "#8a6c58"), 3: (0.55, "#b0784a", "#a8663f")}),
+    ("glow", None, {1: (0.13, "#5a3a70"), 2: (0.27, "#c0586a"), 3: (0.40, "#e85226")}),
+    ("purple", None, {2: (0.22, "#4a2858"), 3: (0.22, "#5a3058")}),
+    ("violet", None, {0: (0.22, "#3a2a55"), 1: (0.26, "#8a5a82")}),
+]
+#: Values of the weather where an observation has none.
+DEFAULTS = {"cl": 0.0, "cm": 0.0, "ch": 0.0, "rh": 50.0, "vis_m": 30000.0, "pr": 0.0, "sn": 0.0}
+
 
 def smoothstep(e0: float, e1: float, x: Column) -> Column:
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - e0) / (e1 - e0)))
     return t * t * (3 - 2 * t)
 
 
-#: Target colours of the blends, by stop.
-SNOW = ("#586878", "#6a7888", "#7a8898", "#8890a0")
-OVERCAST = ("#404858", "#4a5468", "#546070", "#586478")
-BROKEN = ("#3a4a68", "#4a5a78", "#506080", "#586888")
-MIDDLE = ("#3a4868", "#4a5a80", "#5a6a90", "#5a7090")
-HIGH = ("#4a6098", "#5a70a8", "#6a80b0", "#6888b0")
-HUMID = ("#3a5890", "#4a6898", "#5a78a0", "#6888a8")
-MIST = ("#586878", "#687888", "#788890", "#889098")
+def weights(sun_alt: Column, evening: Column) -> dict[str, Column]:
+    """Weights and mixes of the layers from the columns of DEFAULTS; 0 where a layer has no say."""
+    cl, cm, ch, rh, vis, pr, sn = (F.col(c) for c in DEFAULTS)
+    zero = lambda x: F.greatest(F.lit(0.0), x)
+    only = lambda on, x: F.when(on, x).otherwise(0.0)
+    day, cover = smoothstep(-3, 4, sun_alt), smoothstep(20, 100, cl)
+    rain = F.least(F.lit(1.0), zero(pr / 1.2))
+    warm = zero(1 - F.abs(sun_alt - 1) / 9) * zero(1 - F.abs((cm + ch) / 2 - 55) / 55) * (1 - smoothstep(90, 100, cl))
+    dark = smoothstep(82, 100, cl) * zero(1 - F.abs(sun_alt) / 4)
+    return {
+        "cover": cover,
+        "dusk": only(evening, 1.0),
+        "snow": only(sn > 0, F.least(F.lit(0.8), sn / 2)),
+        "cloud": only(sn <= 0, F.least(F.lit(0.85), cover * 0.68 + rain * 0.18) * day),
+        "middle": smoothstep(30, 100, cm) * 0.35 * day,
+        "high": smoothstep(25, 100, ch) * 0.25 * day,
+        "humid": smoothstep(65, 100, rh) * 0.30 * smoothstep(1, 6, sun_alt),
+        "mist": smoothstep(8, 0, vis / 1609.34) * 0.50 * day,
+        "warm": only(warm > 0.02, warm),
+        "dark": only(dark > 0.02, dark),
+        "glow": only(evening, F.when(sun_alt >= -1, zero(1 - (sun_alt + 1) / 9)).otherwise(zero(1 + (sun_alt + 1) / 11))),
+        "purple": only(evening, zero(1 - F.abs(sun_alt + 5) / 5)),
+        "violet": only(evening, zero(1 - F.abs(sun_alt + 3) / 4)),
+    }
 
 
 def sky_gradient(obs: DataFrame, palette: DataFrame, sun_alt: str = "sun_alt") -> DataFrame:
     """Four colours from zenith to horizon.  obs: sun_alt, evening, cl, cm, ch, rh, vis_m, pr, sn; nulls have defaults.
-    palette: alt, c0..c3 as #rrggbb."""
-    defaults = {"cl": 0.0, "cm": 0.0, "ch": 0.0, "rh": 50.0, "vis_m": 30000.0, "pr": 0.0, "sn": 0.0}
-    df = bracket_join(obs, palette, sun_alt).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in defaults.items()})
-    sa, eve = F.col(sun_alt), F.coalesce("evening", F.lit(False))
-    cl, cm, ch, sn = (F.col(c) for c in ("cl", "cm", "ch", "sn"))
-    base = {}
-    for i in STOPS:
-        for j, c in enumerate(lerp_rgb(hex_to_rgb(F.col(f"c{i}")), hex_to_rgb(F.col(f"next_c{i}")), F.col("t"))):
-            base[f"k{i}{j}"] = c
-    df = df.withColumns(base)
-    rgb = lambda h: [F.lit(int(h[n : n + 2], 16)) for n in (1, 3, 5)]
+    palette: alt, c0..c3 as #rrggbb.  Each stop folds its layers over the palette's colour."""
+    df = bracket_join(obs, palette, sun_alt).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in DEFAULTS.items()})
+    df = df.withColumns({f"_{n}": w for n, w in weights(F.col(sun_alt), F.coalesce("evening", F.lit(False))).items()})
+    rgb = lambda h: [int(h[n : n + 2], 16) for n in (1, 3, 5)]
+    cell = lambda values: F.struct(*(F.lit(v).cast("double").alias(n) for n, v in zip("rgb", values, strict=True)))
 
-    def blend(df: DataFrame, targets: dict[int, list[Column]], amount: Column, on: Column | None = None) -> DataFrame:
-        new = {}
-        for i, target in targets.items():
-            own = [F.col(f"k{i}{j}") for j in range(3)]
-            mixed = lerp_rgb(own, target, amount)
-            for j in range(3):
-                new[f"k{i}{j}"] = mixed[j] if on is None else F.when(on, mixed[j]).otherwise(own[j])
-        return df.withColumns(new)
+    def layer(weight: str, mix: str | None, share: float, low: str, high: str | None = None) -> Column:
+        target = list(map(F.lit, rgb(low))) if high is None else lerp_rgb(list(map(F.lit, rgb(low))), list(map(F.lit, rgb(high))), F.col(f"_{mix}"))
+        return F.struct((F.col(f"_{weight}") * share).alias("k"), cell(target).alias("to"))
 
-    every = lambda colours: dict(enumerate(map(rgb, colours)))
-    dg = smoothstep(-3, 4, sa)
-    ca = smoothstep(20, 100, cl)
-    rain = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("pr") / 1.2))
-    cloud = {i: lerp_rgb(rgb(BROKEN[i]), rgb(OVERCAST[i]), ca) for i in STOPS}
-    df = blend(df, every(SNOW), F.least(F.lit(0.8), sn / 2), sn > 0)
-    df = blend(df, cloud, F.least(F.lit(0.85), ca * 0.68 + rain * 0.18) * dg, sn <= 0)
-    df = blend(df, every(MIDDLE), smoothstep(30, 100, cm) * 0.35 * dg)
-    df = blend(df, every(HIGH), smoothstep(25, 100, ch) * 0.25 * dg)
-    df = blend(df, every(HUMID), smoothstep(65, 100, F.col("rh")) * 0.30 * smoothstep(1, 6, sa))
-    df = blend(df, every(MIST), smoothstep(8, 0, F.col("vis_m") / 1609.34) * 0.50 * dg)
-    zero = lambda x: F.greatest(F.lit(0.0), x)
-    near = zero(1 - F.abs(sa - 1) / 9)
-    warm = near * zero(1 - F.abs((cm + ch) / 2 - 55) / 55) * (1 - smoothstep(90, 100, cl))
-    pick = lambda a, b: [F.when(eve, x).otherwise(y) for x, y in zip(rgb(a), rgb(b), strict=True)]
-    for i, target, share in ((3, pick("#ff5a26", "#ff7a34"), 0.34), (2, pick("#ff8a54", "#ffab62"), 0.30), (1, rgb("#c86e92"), 0.20)):
-        df = blend(df, {i: target}, warm * share, warm > 0.02)
-    dark = smoothstep(82, 100, cl) * zero(1 - F.abs(sa) / 4)
-    for i, target, share in ((3, pick("#a8663f", "#b0784a"), 0.55), (2, rgb("#8a6c58"), 0.30)):
-        df = blend(df, {i: target}, dark * share, dark > 0.02)
-    w = F.when(sa >= -1, zero(1 - (sa + 1) / 9)).otherwise(zero(1 + (sa + 1) / 11))
-    for i, target, share in ((3, "#e85226", 0.40), (2, "#c0586a", 0.27), (1, "#5a3a70", 0.13)):
-        df = blend(df, {i: rgb(target)}, w * share, eve & (w > 0))
-    purple, violet = zero(1 - F.abs(sa + 5) / 5), zero(1 - F.abs(sa + 3) / 4)
-    for i, target, amount in ((2, "#4a2858", purple * 0.22), (3, "#5a3058", purple * 0.22), (0, "#3a2a55", violet * 0.22), (1, "#8a5a82", violet * 0.26)):
-        df = blend(df, {i: rgb(target)}, amount, eve)
-    out = {f"sky{i}": rgb_to_hex([F.col(f"k{i}{j}") for j in range(3)]) for i in STOPS}
-    return df.select(*obs.columns, *(v.alias(k) for k, v in out.items()))
+    def blend(c: Column, x: Column) -> Column:
+        return cell([lerp_rgb([c[n]], [x["to"][n]], x["k"])[0] for n in "rgb"])
+
+    for i in STOPS:
+        layers = F.array(*(layer(weight, mix, *stops[i]) for weight, mix, stops in LAYERS if i in stops))
+        start = cell(lerp_rgb(hex_to_rgb(F.col(f"c{i}")), hex_to_rgb(F.col(f"next_c{i}")), F.col("t")))
+        df = df.withColumn(f"_sky{i}", F.aggregate(layers, start, blend))
+    return df.select(*obs.columns, *(rgb_to_hex([F.col(f"_sky{i}")[n] for n in "rgb"]).alias(f"sky{i}") for i in STOPS))

@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.sources.shared import discard, saved
 
-def saved(df: DataFrame) -> DataFrame:
-    """The table written below spark.checkpoint.dir (a temporary folder where that is unset) and read again."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{base}/cells-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def link_components(links: DataFrame, max_rounds: int = 100, salts: int = 16) -> DataFrame:
+    """(a, b) links -> (node, root): the smallest node of each component.  Labels double their reach every round.
 
-def link_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(a, b) links -> (node, root): the smallest node of each component.  Labels double their reach every round."""
-    both = saved(links.union(links.select("b", "a")).distinct().toDF("node", "other"))
-    labels = saved(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root")))
+    Nodes are of any type that has an order.  A root may be named by most nodes, so roots are looked up by salted keys.
+    """
+    both = saved(links.union(links.select("b", "a")).distinct().toDF("node", "other"), "links")
+    labels = saved(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root")), "labels")
+    salt = F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        hop = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = labels.join(near, "node").join(hop, "root", "left")
-        new = saved(new.select("node", F.least("root", "near", F.coalesce("far", "root")).alias("root"), F.col("root").alias("was")))
+        named = labels.select(F.col("root").alias("node")).distinct()
+        hop = labels.join(named, "node").select(F.col("node").alias("root"), F.col("root").alias("far"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        new = labels.join(near, "node").withColumn("salt", salt).join(hop, ["root", "salt"], "left")
+        new = saved(new.select("node", F.least("root", "near", F.coalesce("far", "root")).alias("root"), F.col("root").alias("was")), "labels")
+        discard(labels)
         labels = new.select("node", "root")
+        labels._saved_at = new._saved_at
         if new.where("root <> was").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError("components did not settle")

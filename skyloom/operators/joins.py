@@ -35,7 +35,7 @@ def append_missing(base: DataFrame, extra: DataFrame, key: str, order: str) -> D
 
 def prefix_event_join(ledger: DataFrame, events: DataFrame, ident: str, length: int = 8) -> DataFrame:
     """events: event_key, prefix, all of one length, so that an equality does."""
-    return ledger.withColumn("prefix", F.substring(ident, 1, length)).join(F.broadcast(events), "prefix")
+    return ledger.withColumn("prefix", F.substring(ident, 1, length)).join(events, "prefix")
 
 
 def segments(breakpoints: DataFrame, key: str = "alt", by: tuple[str, ...] = ()) -> DataFrame:
@@ -61,9 +61,14 @@ def event_proximity(days: Column) -> Column:
 
 
 def event_proximity_join(now: DataFrame, events: DataFrame, key: str, now_ts: str, event_ts: str) -> DataFrame:
-    """The nearest event of each row's key from 30 days back to 180 ahead."""
+    """The nearest event of each row's key from 30 days back to 180 ahead.
+
+    Rows and events meet by key and 30-day cell of the row's time; an event stands in the cells that it can be near to.
+    """
     days = F.floor((F.unix_seconds(event_ts) - F.unix_seconds(now_ts)) / 86_400 + 0.5)
-    near = now.join(events, key).withColumn("days", days).where("days >= -30 AND days < 180")
+    cell = lambda ts, shift: F.floor((F.unix_seconds(ts) + shift * 86_400) / (30 * 86_400))
+    there = events.withColumn("_cell", F.explode(F.sequence(cell(event_ts, -180), cell(event_ts, 31))))
+    near = now.withColumn("_cell", cell(now_ts, 0)).join(there, [key, "_cell"]).withColumn("days", days).where("days >= -30 AND days < 180")
     best = near.groupBy(*now.columns).agg(F.min_by("days", F.struct(F.abs("days"), -F.col("days"))).alias("days"))
     return best.withColumn("proximity", event_proximity(F.col("days")))
 
@@ -75,8 +80,11 @@ def calendar_window_join(df: DataFrame, windows: DataFrame, ts: str) -> DataFram
     return df.join(F.broadcast(windows), inside)
 
 
-def observation_grid(instants: DataFrame, bodies: DataFrame, observers: DataFrame) -> DataFrame:
-    return instants.crossJoin(F.broadcast(bodies)).crossJoin(F.broadcast(observers))
+def observation_grid(positions: DataFrame, *dimensions: DataFrame) -> DataFrame:
+    """Every row of positions for every row of each dimension: bodies, observers.  Spark broadcasts those that are small."""
+    for dim in dimensions:
+        positions = positions.crossJoin(dim)
+    return positions
 
 
 def fan_out(alerts: DataFrame, subs: DataFrame, place: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from math import pi
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators.joins import observation_grid
+
 #: Node, inclination, perihelion, axis, eccentricity, anomaly, each at the epoch and per day.
 ELEMENTS = {
     "mercury": (48.3313, 3.24587e-5, 7.0047, 5.00e-8, 29.1241, 1.01444e-5, 0.387098, 0.0, 0.205635, 5.59e-10, 168.6562, 4.0923344368),
@@ -89,7 +91,7 @@ def with_elements(df: DataFrame, e: tuple) -> DataFrame:
 
 def heliocentric_positions(bodies: DataFrame, instants: DataFrame) -> DataFrame:
     """x, y, z, r of every body (a table of elements, few rows) at every instant (with d)."""
-    return solve_orbit(instants.crossJoin(F.broadcast(bodies)))
+    return solve_orbit(observation_grid(instants, bodies))
 
 
 def sun_positions(instants: DataFrame) -> DataFrame:
@@ -167,7 +169,7 @@ def trend(df: DataFrame, minutes: int = 30) -> DataFrame:
 
 def observing_report(positions: DataFrame, observers: DataFrame) -> DataFrame:
     """Altitude, azimuth, direction, quality, trend and true elongation from the Sun of every body for every observer."""
-    df = trend(horizon_positions(positions.crossJoin(F.broadcast(observers))))
+    df = trend(horizon_positions(observation_grid(positions, observers)))
     alt, az = F.floor(F.col("alt") + 0.5).cast("int"), F.floor(F.col("az") + 0.5).cast("int")
     df = df.withColumns({"alt_deg": alt, "az_deg": az})
     a = F.col("alt_deg")

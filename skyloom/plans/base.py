@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.sources.shared import folder, shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -38,5 +38,7 @@ def sql_values(rows: list[tuple], name: str, cols: str) -> str:
 
 def landing(spark: SparkSession) -> str:
     """A new folder for landed files, below the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/landed-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "landed")
+    fs, where = folder(spark, path)
+    fs.deleteOnExit(where)
+    return path

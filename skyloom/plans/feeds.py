@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators import feeds as G
-from skyloom.operators.joins import fan_out
+from skyloom.operators.joins import fan_out, observation_grid
 from skyloom.plans.base import landing, query, table
-from skyloom.streaming.feeds import deliver_once_stream, poll_feed_stream
+from skyloom.streaming.feeds import deliver_once_stream, poll_feed_stream, replay_cache_stream, write_unsent
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 REPLAY_SQL = """WITH RECURSIVE q AS (SELECT user_id, event_id, epoch(ts) AS t, 10800.0 * (1 + user_id % 5) AS ttl, event_type <> 'error' AS ok,
@@ -122,3 +122,40 @@ def g4s(spark: SparkSession, d: str) -> DataFrame:
         F.col("user_id").alias("sub_id"), F.regexp_extract("props", "([0-9]+)", 1).alias("alert_id"), F.to_date("ts").alias("day"), F.col("ts").cast("timestamp").alias("ts")
     )
     return drain(deliver_once_stream(a, ["sub_id", "alert_id", "day"], "ts").select("sub_id", "alert_id", "day"), spark)
+
+
+@query("g1_replay_cache_stream", REPLAY_SQL + "SELECT event_id, state, age FROM f")
+def g1s(spark: SparkSession, d: str) -> DataFrame:
+    """The keyed state of a stream over what has landed; it needs the RocksDB store."""
+    e = poll_feed_stream(spark, d, EVENTS, "events.parquet")
+    requests = e.select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
+        (10800.0 * (1 + F.col("user_id") % 5)).cast("double").alias("ttl"), (F.col("event_type") != "error").alias("ok"),
+    )
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        return drain(replay_cache_stream(requests), spark).select(F.col("id").alias("event_id"), "state", "age")
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+@query("g4_deliver_durably", f"WITH {ALERT} SELECT DISTINCT sub_id, alert_id FROM a")
+def g4d(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of landed files, each delivered to a file sink by its id."""
+    out = landing(spark)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_unsent(batch, batch_id, f"{out}/sent", ["sub_id", "alert_id"], lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/inbox/delivery={n}"))
+
+    a = poll_feed_stream(spark, d, EVENTS, "events.parquet").select(F.col("user_id").alias("sub_id"), F.regexp_extract("props", "([0-9]+)", 1).alias("alert_id"))
+    a.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(a.schema).parquet(f"{out}/inbox").drop("delivery")
+
+
+@query("j9_observation_grid", "SELECT day, event_type, n_name, count(*) AS n FROM (SELECT DISTINCT ts::DATE AS day FROM events), (SELECT DISTINCT event_type FROM events), nation GROUP BY ALL")
+def j9(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    days = e.select(F.to_date("ts").alias("day")).distinct()
+    return observation_grid(days, e.select("event_type").distinct(), table(spark, d, "nation").select("n_name")).groupBy("day", "event_type", "n_name").agg(F.count("*").alias("n"))

@@ -50,6 +50,29 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return S.scan_geojson_points(spark, f"{path}/*").select(F.col("id").cast("long").alias("id"), "lon", "lat", "mag")
 
 
+@query(
+    "s3_geojson_lines",
+    "WITH p AS (SELECT l_orderkey AS id, (l_orderkey % 2) * (l_linenumber % 2) AS seg, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_tax FROM lineitem)"
+    " SELECT id, dense_rank() OVER (PARTITION BY id ORDER BY seg) - 1 AS seg, row_number() OVER (PARTITION BY id, seg ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice, l_tax) - 1 AS pos,"
+    " (l_partkey % 360)::DOUBLE AS lon, (l_quantity - 25)::DOUBLE AS lat FROM p",
+)
+def s3_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as lines, odd ones as multi-lines of two segments: landed as FeatureCollections and read again."""
+    path = landing(spark)
+    odd = F.col("l_orderkey") % 2 == 1
+    line = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.when(odd, F.col("l_linenumber") % 2).otherwise(0).alias("seg"), "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax"
+    )
+    line = line.withColumn("xy", F.array((F.col("l_partkey") % 360).cast("double"), (F.col("l_quantity") - 25).cast("double")))
+    nested = A.collect_ordered_nested(line.withColumn("pos", F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax")), "id", "seg", "pos", ["xy"])
+    segs = F.transform("lines", lambda s: F.transform(s, lambda p: p[0]))
+    shape = F.struct(F.when(F.col("id") % 2 == 1, "MultiLineString").otherwise("LineString").alias("type"), F.when(F.col("id") % 2 == 1, F.to_json(segs)).otherwise(F.to_json(F.get(segs, F.lit(0)))).alias("coordinates"))
+    text = F.format_string('{"id":"%s","geometry":{"type":"%s","coordinates":%s}}', F.col("id").cast("string"), shape["type"], shape["coordinates"])
+    files = nested.select(text.alias("f"), F.floor(F.col("id") / 1000).alias("k")).groupBy("k").agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    files.write.partitionBy("k").text(path)
+    return S.scan_geojson_lines(spark, f"{path}/*").select(F.col("id").cast("long").alias("id"), "seg", "pos", "lon", "lat")
+
+
 @query("s4_optional_source", "SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1")
 def s4(spark: SparkSession, d: str) -> DataFrame:
     schema = "s_suppkey long, s_nationkey int"
@@ -85,20 +108,25 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- predicates
 
 
+P1_ANGLES = {"inclination": 7.0, "ra_of_asc_node": 9.0, "arg_of_pericenter": 11.0, "mean_anomaly": 13.0}
+
+
 @query(
     "p1_normalise_elements",
-    "SELECT trim('  ' || o_orderpriority || ' ') AS name, epoch_ms(o_orderdate) AS epoch_ms, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 1957 + o_orderkey % 60 END AS launch_year,"
-    " count(*) AS n FROM orders GROUP BY ALL",
+    "SELECT trim('  ' || o_orderpriority || '/' || o_orderkey || ' ') AS name, epoch_ms(o_orderdate) AS epoch_ms, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 1957 + o_orderkey % 60 END AS launch_year,"
+    " round(o_orderkey / 73.0::DOUBLE, 8) AS mean_motion, round(o_orderkey / 7e6::DOUBLE, 7) AS ecc,"
+    " round(o_orderkey / 7.0::DOUBLE, 4) AS inc, round(o_orderkey / 9.0::DOUBLE, 4) AS raan, round(o_orderkey / 11.0::DOUBLE, 4) AS argp, round(o_orderkey / 13.0::DOUBLE, 4) AS ma FROM orders",
 )
 def p1(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    year = F.concat((F.lit(1957) + F.col("o_orderkey") % 60).cast("string"), F.lit("-001A"))
+    key = F.col("o_orderkey")
+    year = F.concat((F.lit(1957) + key % 60).cast("string"), F.lit("-001A"))
     raw = o.select(
-        F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")).alias("object_name"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("epoch"),
-        F.lit(15.5).alias("mean_motion"), F.lit(0.001).alias("eccentricity"), *(F.lit(1.23456).alias(c) for c in ("inclination", "ra_of_asc_node", "arg_of_pericenter", "mean_anomaly")),
-        F.when(F.col("o_orderkey") % 10 == 0, "").otherwise(year).alias("object_id"),
+        F.concat(F.lit("  "), "o_orderpriority", F.lit("/"), key, F.lit(" ")).alias("object_name"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("epoch"),
+        (key / 73.0).alias("mean_motion"), (key / 7e6).alias("eccentricity"), *((key / n).alias(c) for c, n in P1_ANGLES.items()),
+        F.when(key % 10 == 0, "").otherwise(year).alias("object_id"),
     )
-    return P.normalise_elements(raw).groupBy("name", "epoch_ms", F.col("launch_year").cast("long").alias("launch_year")).agg(F.count("*").alias("n"))
+    return P.normalise_elements(raw).withColumn("launch_year", F.col("launch_year").cast("long")).drop("object_id")
 
 
 @query("p2_on_orbit", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
@@ -252,12 +280,13 @@ def j3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j4_append_missing",
-    "SELECT s_suppkey % 60 AS k, max(s_suppkey > 60) AS appended FROM (SELECT * FROM supplier WHERE s_suppkey <= 40 UNION ALL SELECT * FROM supplier WHERE s_suppkey > 60) GROUP BY 1"
-    " HAVING count(*) FILTER (s_suppkey <= 40) = 0 UNION ALL SELECT s_suppkey % 60, false FROM supplier WHERE s_suppkey <= 40",
+    "SELECT s_suppkey AS k, s_suppkey AS id, false AS appended FROM supplier UNION ALL"
+    " SELECT c_custkey // 2, min(c_custkey), true FROM customer WHERE c_custkey // 2 NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1",
 )
 def j4(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").withColumn("name", F.concat(F.lit(" "), (F.col("s_suppkey") % 60).cast("string")))
-    return J.append_missing(s.where("s_suppkey <= 40"), s.where("s_suppkey > 60"), "name", "s_suppkey").select(F.trim("name").cast("long").alias("k"), "appended")
+    base = table(spark, d, "supplier").select(F.concat(F.lit(" "), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_suppkey").cast("long").alias("id"))
+    extra = table(spark, d, "customer").select(F.concat(F.floor(F.col("c_custkey") / 2).cast("string"), F.lit(" ")).alias("name"), F.col("c_custkey").cast("long").alias("id"))
+    return J.append_missing(base, extra, "name", "id").select(F.trim("name").cast("long").alias("k"), "id", "appended")
 
 
 @query(
@@ -360,7 +389,7 @@ def a6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a10_dedupe_first", "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("null")).alias("digest"))
     first = A.dedupe_first(docs, "digest", ["doc_id"])
     return first.join(docs.groupBy("digest").agg(F.count("*").alias("n")), "digest").select("doc_id", "n")
 
@@ -423,9 +452,9 @@ def o2(spark: SparkSession, d: str) -> DataFrame:
     return A.sort_by_key(table(spark, d, "supplier"), "s_suppkey").select("s_suppkey", "s_name")
 
 
-@query("o3_shuffle_rows")
+@query("o3_shuffle_rows", "SELECT p_partkey, md5('42/' || p_partkey) AS place FROM part ORDER BY place")
 def o3(spark: SparkSession, d: str) -> DataFrame:
-    return A.shuffle_rows(table(spark, d, "part"), "p_partkey", 42).select("p_partkey")
+    return A.shuffle_rows(table(spark, d, "part"), "p_partkey", 42).select("p_partkey", A.shuffle_key("p_partkey", 42).alias("place"))
 
 
 @query("u1_union_groups", "SELECT 'customer' AS \"group\", 0 AS group_pos, count(*) AS n FROM customer UNION ALL SELECT 'supplier', 1, count(*) FROM supplier")
@@ -448,8 +477,30 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t1_classify_by_table", "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'steel') THEN 'Solid' WHEN regexp_matches(lower(p_type), 'brass|copper') THEN 'Liquid' ELSE 'Gas' END AS label FROM part")
 def t1b(spark: SparkSession, d: str) -> DataFrame:
-    rules = values(spark, [(1, "steel", "Solid"), (2, "brass|copper", "Liquid")], "priority int, pattern string, label string")
-    return T.classify_by_table(table(spark, d, "part"), "p_type", rules, "p_partkey", "Gas").select("p_partkey", "label")
+    rules = values(spark, [("label", 1, "steel", "Solid"), ("label", 2, "brass|copper", "Liquid")], RULE)
+    return T.classify_by_table(table(spark, d, "part"), {"label": "p_type"}, rules, {"label": "Gas"}).select("p_partkey", "label")
+
+
+#: Rule sets of our own over pages and their urls: theme of the text, kind of the url, agency by host, tab.
+RULE_SETS = [
+    ("theme", 1, "list|table", "Lists"), ("theme", 2, "price|offer|sale", "Trade"), ("theme", 3, "script", "Scripted"),
+    ("kind", 1, r"\?.*page=", "paged"), ("kind", 2, r"\.html", "file"), ("kind", 3, "#", "anchor"), ("kind", 4, "/$", "folder"),
+    ("agency", 1, r"://m\.", "mobile"), ("agency", 2, r"://(www|blog)\.", "classic"), ("agency", 3, r"\.org", "public"),
+    ("tab", 1, "/(en|de)/", "1"), ("tab", 2, "/(fr|es)/", "2"),
+]
+RULE = "rule_set string, priority int, pattern string, label string"
+SET_OF = {"theme": "html", "kind": "url", "agency": "url", "tab": "url"}
+SET_DEFAULT = {"theme": "Plain", "kind": "page", "agency": "private", "tab": "0"}
+
+
+def rule_sets_sql() -> str:
+    case = lambda s: " ".join(f"WHEN regexp_matches(lower({SET_OF[s]}), '{p}') THEN '{x}'" for n, _, p, x in RULE_SETS if n == s)
+    return f"SELECT page_id, {', '.join(f'CASE {case(s)} ELSE {chr(39)}{SET_DEFAULT[s]}{chr(39)} END AS {s}' for s in SET_OF)} FROM pages"
+
+
+@query("t1_rule_sets", rule_sets_sql())
+def t1_sets(spark: SparkSession, d: str) -> DataFrame:
+    return T.classify_by_table(table(spark, d, "pages"), SET_OF, values(spark, RULE_SETS, RULE), SET_DEFAULT).select("page_id", *SET_OF)
 
 
 def measures(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.text import hex_to_rgb, lerp_rgb, rgb_to_hex
 from skyloom.operators import sky as K
-from skyloom.operators.colour import sky_gradient
+from skyloom.operators.colour import LAYERS, STOPS, sky_gradient
 from skyloom.operators.joins import bracket_join
 from skyloom.plans.base import query, sql_values, table, values
 from skyloom.plans.relational import ECL, SKY, sky
@@ -200,7 +200,50 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
     return b.select("event_id", "alt", F.round("t", 6).alias("t"), mixed.alias("horizon"))
 
 
-@query("e11_sky_gradient")
+def gradient_sql() -> str:
+    """The layers one by one over twelve channels."""
+    ss = lambda lo, hi, x: (lambda t: f"({t} * {t} * (3 - 2 * {t}))")(f"least(1.0, greatest(0.0, ({x} - {lo}) / ({hi} - {lo})))")
+    cap = lambda x: f"greatest(0.0, {x})"
+    day, near = ss(-3, 4, "sa"), cap("1 - abs(sa - 1) / 9")
+    first = {
+        "cover": ss(20, 100, "cl"), "dusk": "CASE WHEN eve THEN 1.0 ELSE 0.0 END", "snow": "CASE WHEN sn > 0 THEN least(0.8, sn / 2) ELSE 0.0 END",
+        "middle": f"{ss(30, 100, 'cm')} * 0.35 * {day}", "high": f"{ss(25, 100, 'ch')} * 0.25 * {day}", "humid": f"{ss(65, 100, 'rh')} * 0.30 * {ss(1, 6, 'sa')}",
+        "mist": f"{ss(8, 0, '(vis / 1609.34)')} * 0.50 * {day}", "warm0": f"{near} * {cap('1 - abs((cm + ch) / 2 - 55) / 55')} * (1 - {ss(90, 100, 'cl')})",
+        "dark0": f"{ss(82, 100, 'cl')} * {cap('1 - abs(sa) / 4')}",
+        "glow": f"CASE WHEN eve THEN CASE WHEN sa >= -1 THEN {cap('1 - (sa + 1) / 9')} ELSE {cap('1 + (sa + 1) / 11')} END ELSE 0.0 END",
+        "purple": f"CASE WHEN eve THEN {cap('1 - abs(sa + 5) / 5')} ELSE 0.0 END", "violet": f"CASE WHEN eve THEN {cap('1 - abs(sa + 3) / 4')} ELSE 0.0 END", "day": day,
+    }
+    then = {
+        "cloud": f"CASE WHEN sn <= 0 THEN least(0.85, cover * 0.68 + least(1.0, {cap('pr / 1.2')}) * 0.18) * day ELSE 0.0 END",
+        "warm": "CASE WHEN warm0 > 0.02 THEN warm0 ELSE 0.0 END", "dark": "CASE WHEN dark0 > 0.02 THEN dark0 ELSE 0.0 END",
+    }
+    named = lambda cells: ", ".join(f"{x}::DOUBLE AS {n}" for n, x in cells.items())
+    lerp = lambda x, y, t: f"floor({x} + ({y} - {x}) * least(1.0, greatest(0.0, {t})) + 0.5)"
+    hexed = lambda c, j: f"('0x' || substr({c}, {2 + 2 * j}, 2))::INTEGER"
+    rgb = lambda h: [int(h[n : n + 2], 16) for n in (1, 3, 5)]
+    base = {f"k{i}{j}": lerp(hexed(f"c{i}", j), hexed(f"n{i}", j), "t") for i in STOPS for j in range(3)}
+    steps, last = [], "w2"
+    for n, (weight, mix, stops) in enumerate(LAYERS):
+        cells = {}
+        for i, (share, low, *high) in stops.items():
+            for j, a in enumerate(rgb(low)):
+                to = lerp(a, rgb(high[0])[j], mix) if high else a
+                cells[f"k{i}{j}"] = lerp(f"k{i}{j}", to, f"({weight} * {share!r}::DOUBLE)")
+        steps.append(f"l{n} AS (SELECT * REPLACE ({', '.join(f'{x} AS {k}' for k, x in cells.items())}) FROM {last})")
+        last = f"l{n}"
+    nexts = ", ".join(f"lead(c{i}) OVER (ORDER BY alt) AS n{i}" for i in STOPS)
+    return f"""WITH pal AS (SELECT * FROM {sql_values(PALETTE, 'p', 'alt, c0, c1, c2, c3')}), seg AS (SELECT *, lead(alt) OVER (ORDER BY alt) AS nalt, {nexts} FROM pal),
+o AS (SELECT event_id, event_id % 2 = 0 AS eve, value * 0.8::DOUBLE - 30 AS sa, (event_id % 101)::DOUBLE AS cl, (event_id * 7 % 101)::DOUBLE AS cm, (event_id * 13 % 101)::DOUBLE AS ch,
+  CASE WHEN event_id % 5 > 0 THEN event_id * 3 % 101 ELSE 50 END::DOUBLE AS rh, CASE WHEN event_id % 4 > 0 THEN event_id * 37 % 30000 ELSE 30000 END::DOUBLE AS vis,
+  (event_id % 3)::DOUBLE / 2 AS pr, CASE WHEN event_id % 10 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS sn FROM events),
+x AS (SELECT *, least(60, greatest(-18, sa)) AS xx FROM o),
+w0 AS (SELECT x.*, seg.*, (xx - alt) / (nalt - alt) AS t FROM x JOIN seg ON nalt IS NOT NULL AND (xx > alt OR (xx = alt AND alt = -18)) AND xx <= nalt),
+w1 AS (SELECT *, {named(first)} FROM w0), w2 AS (SELECT *, {named(then)}, {named(base)} FROM w1),
+{', '.join(steps)}
+SELECT event_id, {', '.join(f"printf('#%02x%02x%02x', {', '.join(f'k{i}{j}::INTEGER' for j in range(3))}) AS sky{i}" for i in STOPS)} FROM {last}"""
+
+
+@query("e11_sky_gradient", gradient_sql())
 def e11(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     k = F.col("event_id")

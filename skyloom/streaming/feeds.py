@@ -6,7 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+from skyloom.sources.landed import path_exists
 
 
 def poll_feed_stream(spark: SparkSession, folder: str, schema: str, pattern: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -19,21 +23,26 @@ def deliver_once_stream(alerts: DataFrame, key: list[str], ts: str, delay: str =
     return alerts.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-def write_unsent(batch: DataFrame, sent_path: str, key: list[str], deliver: Callable[[DataFrame], None]) -> None:
-    """For foreachBatch: rows not in the sent table are delivered, then remembered."""
+def write_unsent(batch: DataFrame, batch_id: int, sent_path: str, key: list[str], deliver: Callable[[DataFrame, int], None]) -> None:
+    """For foreachBatch: each key is delivered by one batch, also where batches are replayed.
+
+    A batch's new keys are written first, in a folder of the batch's own, against those of the batches before; what is
+    delivered is what was written.  A marker says that it was: a replay after it delivers nothing, a replay before it the
+    same rows under the same batch id, by which a sink may know them.
+    """
     spark = batch.sparkSession
-    first = batch.dropDuplicates(key)
-    try:
-        sent = spark.read.parquet(sent_path).select(*key)
-        fresh = first.join(sent, key, "left_anti")
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fresh = first
-    fresh = fresh.persist()
-    deliver(fresh)
-    fresh.select(*key).write.mode("append").parquet(sent_path)
-    fresh.unpersist()
+    own, done = f"{sent_path}/batch={batch_id}", f"{sent_path}-delivered/batch={batch_id}"
+    if path_exists(spark, f"{done}/_SUCCESS"):
+        return
+    if not path_exists(spark, f"{own}/_SUCCESS"):
+        fresh = batch.dropDuplicates(key)
+        if path_exists(spark, f"{sent_path}/batch=*/_SUCCESS"):
+            kinds = StructType([batch.schema[k] for k in key]).add("batch", "long")
+            sent = spark.read.schema(kinds).parquet(sent_path).where(F.col("batch") < batch_id).drop("batch")
+            fresh = fresh.join(sent, key, "left_anti")
+        fresh.write.mode("overwrite").parquet(own)
+    deliver(spark.read.schema(batch.schema).parquet(own), batch_id)
+    spark.range(0).write.mode("overwrite").parquet(done)
 
 
 class CacheReplay(StatefulProcessor):

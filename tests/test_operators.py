@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,13 @@ def test_components_do_not_join_diagonally_and_ties_go_to_the_first(spark):
     assert A.pick_largest(boxes, "image_id", [F.desc("area"), "seed"]).first()["min_x"] == 0
 
 
+def test_images_of_like_names_stay_apart(spark):
+    """These two names agree in the low 22 bits of their hash."""
+    cells = [(i, x, 0, 20) for i, at in (("img12788", (0, 1)), ("img8001", (1, 2)), (None, (2, 3))) for x in at]
+    boxes = A.component_bbox(A.components_of_cells(spark.createDataFrame(cells, "image_id string, x int, y int, lum int"), 18, link_components))
+    assert {(r["image_id"], r["area"], r["min_x"], r["max_x"]) for r in boxes.collect()} >= {("img12788", 2, 0, 1), ("img8001", 2, 1, 2)}
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in link_components(links).collect()} == {0}
@@ -169,6 +177,68 @@ def test_stream_replays_as_batch(spark, tmp_path):
     assert got == want
 
 
+def test_a_replayed_batch_delivers_nothing_twice(spark, tmp_path):
+    from skyloom.streaming.feeds import write_unsent
+
+    inbox, fail = [], [True]
+
+    def deliver(rows, batch_id):
+        if fail.pop() if fail else False:
+            raise OSError("sink is away")
+        inbox.extend((batch_id, r["k"]) for r in rows.collect())
+
+    batches = {0: [1, 2, 2], 1: [2, 3], 2: [1, 4]}
+    frame = lambda b: spark.createDataFrame([(k, "x") for k in batches[b]], "k long, v string")
+    with pytest.raises(OSError):
+        write_unsent(frame(0), 0, f"{tmp_path}/sent", ["k"], deliver)
+    for b in (0, 0, 1, 1, 2, 1, 2):
+        write_unsent(frame(b), b, f"{tmp_path}/sent", ["k"], deliver)
+    assert sorted(inbox) == [(0, 1), (0, 2), (1, 3), (2, 4)]
+
+
+def test_nulls_form_groups_of_a_sample(spark):
+    df = spark.range(50).select(F.when(F.col("id") < 20, "g").alias("g"), "id")
+    got = A.systematic_sample(df, "g", "id", spark.createDataFrame([("g", 4)], "g string, cap int")).collect()
+    assert sorted(r["id"] for r in got if r["g"]) == [0, 5, 10, 15] and sum(r["g"] is None for r in got) == 30
+
+
+def test_rule_sets_of_a_table(spark):
+    df = spark.createDataFrame([("Big Ice", "x"), ("rock", "y"), (None, "z"), ("Big Ice", "x")], "a string, b string")
+    rules = spark.createDataFrame([("s", 2, "ice|rock", "two"), ("s", 1, "big", "one"), ("t", 1, "y", "why")], "rule_set string, priority int, pattern string, label string")
+    got = [(r["s"], r["t"]) for r in T.classify_by_table(df, {"s": "a", "t": "b"}, rules, {"s": "none"}).collect()]
+    assert got == [("one", None), ("two", "why"), ("none", None), ("one", None)]
+    with pytest.raises(ValueError):
+        T.classify_by_table(df, {"s": "a"}, rules, {}, most=2)
+
+
+def test_nearest_events_across_cells(spark):
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    now = spark.createDataFrame([(i, 1, day(100 + i)) for i in range(60)], "id int, k int, now timestamp")
+    ev = spark.createDataFrame([(1, day(n)) for n in (75, 300)], "k int, ev timestamp")
+    got = {r["id"]: r["days"] for r in J.event_proximity_join(now, ev, "k", "now", "ev").collect()}
+    want = {}
+    for i in range(60):
+        near = [n - 100 - i for n in (75, 300) if -30 <= n - 100 - i < 180]
+        if near:
+            want[i] = min(near, key=lambda x: (abs(x), -x))
+    assert got == want
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from skyloom.sources import shared
+
+    class Away:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        shared.shared_folder(Away())
+    t = shared.saved(spark.range(3))
+    assert t.count() == 3
+    shared.discard(t)
+    assert not os.path.exists(t._saved_at.removeprefix("file://"))
+
+
 def test_quiet_hours_over_midnight(spark):
     df = spark.createDataFrame([(23,), (6,), (7,), (12,)], "h int")
     assert [r[0] for r in df.select(feeds.in_quiet_hours(F.col("h"), F.lit(22), F.lit(7))).collect()] == [True, True, False, False]
