@@ -326,7 +326,7 @@ class Chunks:
     whose entries come back as they are asked for.  Chunks of over ``long`` characters are not kept.
     """
 
-    def __init__(self, p: Pieces, n: int, most_bytes: int = 24 << 20, long: int = 1_000) -> None:
+    def __init__(self, p: Pieces, n: int, most_bytes: int = 48 << 20, long: int = 1_000) -> None:
         self.p, self.n, self.most_bytes, self.long = p, n, most_bytes, long
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
