@@ -26,14 +26,14 @@ def folder(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
+def saved(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """The table written in the shared folder and read again: cuts lineage, and outlives any executor.
 
     It is deleted by ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     fs, where = folder(spark, path)
     fs.deleteOnExit(where.getParent())
     out = spark.read.schema(df.schema).parquet(path)
