@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.sources.shared import discard, shared_folder
+from skyloom.sources.shared import saved as materialise
+
+__all__ = ["components", "crc_mod", "discard", "materialise", "plain_words", "shared_folder", "space_words", "text_bytes", "worker_cache"]
+
 #: Bytes that are not part of a word ([\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z) become spaces.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -36,23 +39,6 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_skyloom_shared", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark._skyloom_shared = base
-    return f"{base.rstrip('/')}/skyloom-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage, and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def worker_cache(name: str) -> dict:
     """A dictionary that lasts as long as the Python worker, over tasks."""
     holder = sys.modules.setdefault("_skyloom_worker", types.ModuleType("_skyloom_worker"))

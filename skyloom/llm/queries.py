@@ -27,7 +27,7 @@ def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near_terms=0)
 
 
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and their defined results on odd rows."""
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -202,11 +203,11 @@ def brute_contamination(rows, items, size):
                     if w[p : p + len(g)] == g:
                         hit.update(range(p, p + len(g)))
                         found.add(str(name))
-        out.append((str(i), len(w), len(hit), len(found), decontaminate.digest(list(found)), bool(hit)))
+        out.append((str(i), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_words", [1_000_000, 1])
+@pytest.mark.parametrize("block_words", [1_000_000, 7, 1])
 def test_decontamination(spark, odd, monkeypatch, block_words):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 50)
@@ -215,11 +216,15 @@ def test_decontamination(spark, odd, monkeypatch, block_words):
     got = sorted((str(r["doc_id"]), *r[1:]) for r in decontaminate.contamination_report(odd, bench).collect())
     assert got == brute_contamination([(r["doc_id"], r["text"]) for r in odd.collect()], items, 10)
     assert decontaminate.contamination_report(empty(spark), bench).count() == 0
+    twice = decontaminate.contamination_report(odd.union(odd), bench.union(bench))
+    assert sorted((str(r["doc_id"]), *r[1:]) for r in twice.collect()) == sorted(got * 2)
     none = decontaminate.contamination_report(odd, bench.where("false"))
     assert none.where("contaminated").count() == 0 and none.count() == odd.count()
 
 
-def test_proximity(spark):
+@pytest.mark.parametrize("block_words", [1_000_000, 1])
+def test_proximity(spark, monkeypatch, block_words):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
     d = docs(spark, ["zebra one two monkey three giraffe", "zebra " + "x " * 50 + "monkey giraffe"])
     bench = spark.createDataFrame([(7, "giraffe a zebra b monkey")], "item_id long, text string")
     got = {r["doc_id"]: r["near_items"] for r in decontaminate.find_contamination(d, bench, near_terms=3, near_width=6).collect()}
