@@ -50,8 +50,9 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
 
     Each round points every larger end at the smallest of its smaller neighbours and hands its other neighbours on
     to that one, so that the graph shrinks to one tree per component; the trees are then flattened by pointer jumping.
-    Rounds end when nothing changes.  Keys are the larger ends, which have few smaller neighbours; look-ups by the
-    smaller end are salted, since one root may be named by a third of all rows.
+    Rounds end when nothing changes.  A larger end may have very many smaller neighbours: they are reduced before the
+    shuffle, and meet the one row of their end in a join whose large side Spark splits.  Look-ups by the smaller end are
+    salted, since one root may be named by a third of all rows.
 
     Returns (node long, root long) for every node with a link, root being the smallest node of its component.
     Null ends and self-links are ignored; no links give an empty table.
@@ -69,7 +70,9 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
             break
         passed = edges.join(many, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = low.select("u", F.col("m").alias("v"))
-        edges = materialise(kept.union(passed).distinct(), "edges")
+        new = materialise(kept.union(passed).distinct(), "edges")
+        discard(edges, many)
+        edges = new
     else:
         raise RuntimeError("components did not settle")
     return flatten_forest(edges, max_rounds)
@@ -88,9 +91,9 @@ def flatten_forest(edges: DataFrame, max_rounds: int = 200, salts: int = 32) ->
             break
         left = tree.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(salts)).cast("int"))
         right = inner.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        tree = materialise(
-            left.join(right, ["v", "salt"], "left").select("u", F.coalesce("up", "v").alias("v")), "tree"
-        )
+        new = materialise(left.join(right, ["v", "salt"], "left").select("u", F.coalesce("up", "v").alias("v")), "tree")
+        discard(tree, inner)
+        tree = new
     else:
         raise RuntimeError("forest did not settle")
     roots = tree.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))

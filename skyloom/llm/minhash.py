@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import components, materialise, space_words, text_bytes
+from skyloom.llm.common import components, discard, materialise, space_words, text_bytes
 
 MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64
@@ -39,7 +39,7 @@ class Hashes(dict):
     """64-bit hashes of words, each computed once."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -53,10 +53,12 @@ def shingle_set(words: list[bytes], size: int, known: Hashes) -> np.ndarray:
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     n = len(h) - size + 1
-    total = np.zeros(n, np.uint64)
-    for j in range(size):
-        total = mix(total + h[j : j + n] * MULTIPLIERS[j % len(MULTIPLIERS)] + np.uint64(j))
-    return np.unique(total)
+    total = h[:n] * MULTIPLIERS[0]
+    for j in range(1, size):
+        if j % len(MULTIPLIERS) == 0:
+            total = mix(total)
+        total += h[j : j + n] * MULTIPLIERS[j % len(MULTIPLIERS)]
+    return np.unique(mix(total))
 
 
 class Signer:
@@ -143,7 +145,8 @@ def near_duplicates(
     empty texts have none and are linked with nothing, not even with one another.  Returns doc_id, n_shingles,
     component_id (the smallest doc_id reachable) and kept (doc_id = component_id).  Rows of one doc_id and different
     texts are all kept as rows of one document id; a null doc_id joins nothing and is kept (component null, kept
-    true).  An empty table gives an empty result.  Other columns are ignored.
+    true).  Whole texts count, however long.  Ties, of weights or of counts, go to the smallest doc_id and change no class.
+    An empty table gives an empty result.  Other columns are ignored.
 
     A pair at the threshold shares no bucket with a probability of (1 - 0.75^4)^40 < 3e-7.
     """
@@ -162,13 +165,15 @@ def near_duplicates(
         named.join(sets.where("n > 1").select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     )
     buckets = sets.select("rep", F.explode("bands").alias("key"))
-    crowd = materialise(
-        buckets.selectExpr("rep", "key", "count(*) OVER (PARTITION BY key) AS n").where("n > 1").select("rep", "key", "n"), "crowd"
-    )
+    # A bucket may hold a third of all sets.  What it is to know of its sets is summed before the shuffle, and comes back by
+    # joins to one row a bucket, whose large side Spark splits.
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    company = materialise(buckets.join(shared, "key"), "company")
     # A bucket's centre is the set with the most company over all bands: of edited copies, the one nearest to them all.
-    weight = crowd.groupBy("rep").agg(F.sum("n").alias("weight"))
-    crowd = crowd.join(weight, "rep").selectExpr("rep", "key", "max_by(rep, struct(weight, -rep)) OVER (PARTITION BY key) AS low")
-    crowd = materialise(crowd, "stars")
+    weight = company.groupBy("rep").agg(F.sum("n").alias("weight"))
+    centres = company.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("low"))
+    crowd = materialise(company.select("rep", "key").join(centres, "key"), "stars")
+    discard(company)
     # The texts that take part, once; merged, not broadcast, as their number follows the corpus.
     involved = crowd.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     texts = materialise(own.where("doc_id IS NOT NULL").join(involved, "doc_id", "left_semi"), "texts")
@@ -177,8 +182,10 @@ def near_duplicates(
     roots = materialise(components(links), "roots")
     # What no star has decided: buckets whose sets are not yet in one component.
     rooted = crowd.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rooted = rooted.selectExpr("rep", "root", "min(root) OVER (PARTITION BY key) AS r0", "max(root) OVER (PARTITION BY key) AS r1")
-    open_ = materialise(rooted.where("r0 <> r1").select("rep", "root").distinct(), "open")
+    rooted = materialise(rooted.select("rep", "key", "root"), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    open_ = materialise(rooted.join(mixed, "key", "left_semi").select("rep", "root").distinct(), "open")
+    discard(crowd, rooted)
     rest = compare(prefix_pairs(open_, texts, size, percent), texts, size, percent)
     roots = components(links.union(rest.where("linked").select("a", "b")).union(copies))
     return (
