@@ -156,10 +156,11 @@ def bigram_texts(rows: Iterator[pa.RecordBatch], flush: int = 100_000) -> Iterat
         yield out(seen)
 
 
-def fit_kneser_ney(train: DataFrame, parts: list[int], discounts: tuple[float, float, float] = (BIGRAM, WORD, STEM)) -> list[Counts | None]:
+def fit_kneser_ney(train: DataFrame, parts: list[int], discounts: tuple[float, float, float] = (BIGRAM, WORD, STEM)) -> Iterator[Counts | None]:
     """train: normal texts, toxic, part.  Models without each of the parts, and one of all; None where a class has no texts.
 
     Counts are made in Spark; the entries over their discounts are collected, which the sample of training rows bounds.
+    Models come one at a time, so that not all need be held.
     """
     models = [[q for q in parts if q != p] for p in parts] + [parts]
     cells = [(y, p) for y in (0, 1) for p in parts]
@@ -216,7 +217,7 @@ def fit_kneser_ney(train: DataFrame, parts: list[int], discounts: tuple[float, f
         c.stem_words = {bytes(r[0]): tuple(r[1:]) for r in there[["s", *(f"k{m}_{y}" for y in (0, 1, 2, 3))]].itertuples(index=False)}
         return c
 
-    return [model(m) for m in each]
+    yield from map(model, each)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 1e-2, rows: np.ndarray | None = None) -> np.ndarray:
@@ -301,8 +302,8 @@ def toxicity_scores(
         .select("text", "toxic", "part", "stands_for"),
         "train",
     )
-    counts = fit_kneser_ney(train, parts)
-    of_part = {p: c.model() for p, c in zip(parts, counts[:-1], strict=True) if c}
+    *models, final = (c.model() if c else None for c in fit_kneser_ney(train, parts))
+    of_part = {p: m for p, m in zip(parts, models, strict=True) if m}
 
     def own_ratios(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -312,7 +313,6 @@ def toxicity_scores(
 
     names = ["toxic", "stands_for", "whole", "top", "length"]
     fit = train.mapInArrow(own_ratios, "toxic int, stands_for double, whole double, top double, length double").toPandas()
-    final = counts[-1].model() if counts[-1] else None
     score = F.lit(0.0)
     if final and fit["toxic"].nunique() == 2:
         w = fit_logistic(fit[names[2:]].to_numpy(), fit["toxic"].to_numpy(float), rows=fit["stands_for"].to_numpy())

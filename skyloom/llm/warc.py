@@ -2,8 +2,9 @@
 
 A bundle is one file: frames (each a whole Zstandard frame), then a skippable frame that lists every frame's sizes.
 A record is found by (bundle, frame, offset in the frame's plain bytes, length): its frame alone is read and unpacked.
-Writers are Spark tasks; each attempt writes a file of its own name and moves it into place when complete, and only the
-rows of the attempt that Spark accepts name its file, so a lost executor or a second attempt does no harm.
+Writers are Spark tasks; each attempt writes files of names of its own, and only the rows of the attempt that Spark
+accepts name its files.  What lost and second attempts have left is removed when all are done, and a manifest lists the
+bundles that count.
 """
 
 from __future__ import annotations
@@ -81,11 +82,17 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body
 
 
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path as Spark names it."""
+    scheme, sep, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + sep + rest)
+
+
 class Bundle:
     """A file to read frames of, by its own seek table."""
 
     def __init__(self, uri: str) -> None:
-        store, path = fs.FileSystem.from_uri(uri)
+        store, path = open_store(uri)
         self.file = store.open_input_file(path)
         size = self.file.size()
         n, flags, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
@@ -108,19 +115,21 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = FRAME_B
     """records: page_id, url, payload binary, sha1 (hexadecimal), record_type, refers_to.  Returns the index."""
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = open_store(folder)
         store.create_dir(base, recursive=True)
         packer = zstandard.ZstdCompressor(level=level)
         out = name = None
+        written = 0
         frames: list[tuple[int, int]] = []
         index: list[tuple] = []
         plain = bytearray()
 
         def flush() -> None:
-            nonlocal plain
+            nonlocal plain, written
             if plain:
                 packed = packer.compress(bytes(plain))
                 out.write(packed)
+                written += len(packed)
                 frames.append((len(packed), len(plain)))
                 plain = bytearray()
 
@@ -129,7 +138,6 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = FRAME_B
             flush()
             out.write(seek_table(frames))
             out.close()
-            store.move(f"{base}/_{name}", f"{base}/{name}")
             out = None
             cols = zip(*index, strict=True)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
@@ -140,8 +148,8 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = FRAME_B
             for page, url, payload, sha1, kind, refers in zip(*(c for c in batch.columns), strict=True):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
-                    out = store.open_output_stream(f"{base}/_{name}", compression=None)
-                    frames, index = [], []
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
+                    frames, index, written = [], [], 0
                 digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
                 revisit = kind.as_py() == "revisit"
                 raw = warc_record(page.as_py(), url.as_py(), payload.as_py(), digest, refers.as_py(), revisit)
@@ -149,7 +157,7 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = FRAME_B
                     flush()
                 index.append((page.as_py(), kind.as_py(), refers.as_py(), f"{folder}/{name}", len(frames), len(plain), len(raw)))
                 plain += raw
-                if sum(f[0] for f in frames) > bundle_bytes:
+                if written > bundle_bytes:
                     yield close()
         if out is not None:
             yield close()
@@ -157,8 +165,11 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = FRAME_B
     return records.select("page_id", "url", "payload", "sha1", "record_type", "refers_to").mapInArrow(write, ENTRIES)
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """Read records back by their places: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload."""
+def read_records(index: DataFrame, *, task_bytes: int = 16 << 20, run: int = 8) -> DataFrame:
+    """Read records back by their places: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
+
+    Tasks take runs of ``run`` neighbouring frames, about ``task_bytes`` of records each.
+    """
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri = bundle = frame = None
@@ -184,15 +195,43 @@ def read_records(index: DataFrame) -> DataFrame:
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     places = index.select("bundle", "frame", "offset", "length")
-    return places.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(read, schema)
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return (
+        places.repartition(max(1, -(-int(total) // task_bytes)), "bundle", F.floor(F.col("frame") / run))
+        .sortWithinPartitions("bundle", "frame", "offset")
+        .mapInArrow(read, schema)
+    )
+
+
+def sweep(index: DataFrame, folder: str) -> None:
+    """Removes the bundles that no row of the index names, and writes the manifest of the others."""
+    spark = index.sparkSession
+    named = index.select(F.element_at(F.split("bundle", "/"), -1).alias("name"), "frame")
+    manifest = named.groupBy("name").agg(F.count("*").alias("records"), (F.max("frame") + 1).alias("frames"))
+    manifest.write.mode("overwrite").parquet(f"{folder}/_manifest")
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    stray = there.join(spark.read.schema(manifest.schema).parquet(f"{folder}/_manifest").select("name"), "name", "left_anti")
+
+    def remove(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(folder)
+        for batch in rows:
+            for name in batch.column(0).to_pylist():
+                if store.get_file_info(f"{base}/{name}").type == fs.FileType.File:
+                    store.delete_file(f"{base}/{name}")
+            yield batch
+
+    stray.mapInArrow(remove, "name string").count()
 
 
-def archive_pages(pages: DataFrame, folder: str | None = None, *, salts: int = 16) -> tuple[DataFrame, str]:
+def archive_pages(
+    pages: DataFrame, folder: str | None = None, *, salts: int = 16, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES
+) -> tuple[DataFrame, str]:
     """Write one record per page and return (the index, the folder).
 
     Payload: the html's UTF-8 bytes, a null html being empty.  Of equal payloads the largest page_id is the response
     and all others revisit it, null page_ids too; rows that repeat both payload and page_id share one fate, and equal
-    payloads without any page_id are all responses.  An empty table writes nothing.  Other columns are ignored.
+    payloads without any page_id are all responses.  A payload longer than a frame is one frame of its own, however long.
+    An empty table writes nothing.  Other columns are ignored.
     """
     folder = folder or f"{shared_folder(pages.sparkSession)}/warc"
     payload = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
@@ -218,4 +257,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, *, salts: int = 1
         F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
         F.when(F.col("revisit"), F.col("response")).alias("refers_to"),
     )
-    return materialise(write_bundles(records, folder), "index"), folder
+    index = materialise(write_bundles(records, folder, frame_bytes=frame_bytes, bundle_bytes=bundle_bytes), "index")
+    if not index.isEmpty():
+        sweep(index, folder)
+    return index, folder

@@ -369,6 +369,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_warc_frames_bundles_and_strays(spark, tmp_path):
+    """Records over a frame, several frames, several bundles; what a lost attempt left goes."""
+    rng = np.random.default_rng(11)
+    pages = [(i, f"u{i}", "".join(rng.choice(list("abcdefgh"), 5_000 if i == 7 else 300))) for i in range(60)]
+    p = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "lost.warc.zst").write_bytes(b"half a bundle")
+    index, folder = warc.archive_pages(p, f"file://{tmp_path}/w", frame_bytes=2_000, bundle_bytes=3_000)
+    files = {f.name for f in (tmp_path / "w").glob("*.zst")}
+    rows = index.collect()
+    assert files == {r["bundle"].rsplit("/", 1)[1] for r in rows} and len(files) > 2
+    assert max(r["frame"] for r in rows) >= 2 and next(r for r in rows if r["page_id"] == 7)["length"] > 2_000
+    manifest = {r["name"]: (r["records"], r["frames"]) for r in spark.read.parquet(f"{folder}/_manifest").collect()}
+    assert manifest.keys() == files and sum(n for n, _ in manifest.values()) == 60
+    for name in files:
+        assert len(warc.Bundle(f"file://{tmp_path}/w/{name}").frames) == manifest[name][1]
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_records(index, task_bytes=4_000, run=2).collect()}
+    assert got == {i: html for i, _, html in pages}
+
+
 def test_similar_vectors(spark):
     rng = np.random.default_rng(9)
     base = rng.standard_normal((30, 16))
