@@ -410,6 +410,18 @@ def test_similar_vectors(spark):
     assert embeddings.similar_vectors(e.where("false")).count() == 0
 
 
+def test_similar_vectors_of_odd_rows(spark):
+    """Null and repeated ids, unlike lengths, floats, long vectors, names that clash; all pairs and passes alike."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (4, [1.0]), (5, [2.0]), (6, [1.0, 0.0, 0.0]), (7, [0.0, 0.0]), (8, [1.0, 0.0]), (8, [1.0, 0.0])]
+    rows += [(10, [1.0] * 5_000), (11, [1.0] * 4_999 + [2.0])]
+    e = spark.createDataFrame([(i, v, 0, b"x") for i, v in rows], "vec_id long, embedding array<float>, rep int, raw binary")
+    for options in ({}, {"block": 1}):
+        got = collections.Counter((r["vec_id"], r["component_id"], r["kept"]) for r in embeddings.similar_vectors(e, **options).collect())
+        assert got == collections.Counter(
+            {(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (None, None, True): 1, (4, 4, True): 1, (5, 4, False): 1, (6, 6, True): 1, (7, 7, True): 1, (8, 1, False): 2, (10, 10, True): 1, (11, 10, False): 1}
+        )
+
+
 def test_similar_vectors_in_a_dense_cone_of_unlinked_ones(spark):
     rng = np.random.default_rng(12)
     size = 64
