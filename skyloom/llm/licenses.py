@@ -27,8 +27,72 @@ PHRASES = {
     "mit license": "mit",
 }
 
+_NAME = "<<var;name=holder;words=1-12;match=.+>>"
+_BULLET = "<<var;name=bullet;words=0-1;match=([0-9]+|[a-z])>>"
+
+#: The wording of public license texts, whole, with what may be left out or replaced marked.
+MIT = """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files <<beginOptional>>(the "Software")<<endOptional>>, to deal in the Software without restriction,
+including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
+of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>>
+shall be included in all copies or substantial portions of the Software.
+The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the
+warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall
+<<var;name=holders;words=1-12;match=.+>> be liable for any claim, damages or other liability, whether in an action of
+contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the
+Software."""
+ISC_GRANT = """
+Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or
+without fee is hereby granted"""
+ISC_DISCLAIMER = f"""
+The software is provided "as is" and {_NAME} disclaims all warranties with regard to this software including all implied
+warranties of merchantability and fitness. In no event shall {_NAME} be liable for any special, direct, indirect, or
+consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of
+contract, negligence or other tortious action, arising out of or in connection with the use or performance of this
+software."""
+BSD_CONDITIONS = f"""
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: {_BULLET} Redistributions of source code must retain the above copyright notice, this list
+of conditions and the following disclaimer. {_BULLET} Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+the distribution."""
+BSD_NAMES = f"""
+{_BULLET} Neither the name of {_NAME} nor the names of <<var;name=its;words=1-2;match=.+>> contributors may be used to
+endorse or promote products derived from this software without specific prior written permission."""
+BSD_DISCLAIMER = f"""
+This software is provided by {_NAME} "as is" and any express or implied warranties, including, but not limited to, the
+implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall {_NAME} be
+liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to,
+procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and
+on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in
+any way out of the use of this software, even if advised of the possibility of such damage."""
+ZLIB = f"""
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: {_BULLET} The origin of this software must not be misrepresented; you must not claim that you wrote the
+original software. If you use this software in a product, an acknowledgment in the product documentation would be
+appreciated but is not required. {_BULLET} Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. {_BULLET} This notice may not be removed or altered from any source
+distribution."""
+APACHE_HEADER = """
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at <<beginOptional>>http://www.apache.org/licenses/LICENSE-2.0
+<<endOptional>> Unless required by applicable law or agreed to in writing, software distributed under the License is
+distributed on an "AS IS" basis, without warranties or conditions of any kind, either express or implied. See the License
+for the specific language governing permissions and limitations under the License."""
+GPL_HEADER = """
+This program is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms
+of the GNU General Public License as published by the Free Software Foundation, <<beginOptional>>either<<endOptional>>
+version <<var;name=version;words=1-2;match=[0-9]+>> <<beginOptional>>of the License<<endOptional>> <<beginOptional>>, or
+(at your option) any later version<<endOptional>>. This program is distributed in the hope that it will be useful, but
+without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the
+GNU General Public License for more details."""
+
 _UNDER = "<<beginOptional>><<beginOptional>>this work is<<endOptional>> licensed under<<endOptional>>"
-#: Label, template.  Notices of public licenses in their usual wording.
+#: Label, template.  Notices that name a license, with labels of its name; and whole texts and headers (-text, -header).
 TEMPLATES = [
     ("gpl-2.0", f"{_UNDER} <<beginOptional>>the terms of<<endOptional>> the gnu general public license <<beginOptional>>as published by the free software foundation <<beginOptional>>either<<endOptional>><<endOptional>> version 2 <<beginOptional>>0<<endOptional>>"),
     ("gpl-3.0", f"{_UNDER} <<beginOptional>>the terms of<<endOptional>> the gnu general public license <<beginOptional>>as published by the free software foundation <<beginOptional>>either<<endOptional>><<endOptional>> version 3 <<beginOptional>>0<<endOptional>>"),
@@ -37,13 +101,14 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by nc <<beginOptional>><<var;name=version;words=1-2;match=[0-9]+>><<endOptional>>"),
     ("cc-by-sa", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>> cc by sa <<beginOptional>><<var;name=version;words=1-2;match=[0-9]+>><<endOptional>>"),
     ("mit-notice", "<<beginOptional>>released<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> mit license"),
-    (
-        "mit-text",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
-        " <<var;name=definition;words=0-3;match=.+>> to deal in <<var;name=item;words=1-3;match=.+>> without restriction",
-    ),
-    ("isc", "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("mit-text", MIT),
+    ("isc-text", f"{ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies. {ISC_DISCLAIMER}"),
+    ("0bsd-text", f"{ISC_GRANT}. {ISC_DISCLAIMER}"),
+    ("bsd-2-text", f"{BSD_CONDITIONS} {BSD_DISCLAIMER}"),
+    ("bsd-3-text", f"{BSD_CONDITIONS} {BSD_NAMES} {BSD_DISCLAIMER}"),
+    ("zlib-text", ZLIB),
+    ("apache-2.0-header", APACHE_HEADER),
+    ("gpl-header", GPL_HEADER),
 ]
 
 
@@ -189,8 +254,9 @@ def scan_licenses(documents: DataFrame, templates: list[tuple[str, str]] | None
     base_labels, labels (with the templates'; distinct, sorted, joined by commas), score, and spans of accepted
     templates.  score is 1 where a template is accepted, else the greatest share of a template's mandatory words
     that stand in order from its beginning, halved; at least 0.5 where a phrase stands.  Null and empty texts have no
-    words and score 0.  Null ids and repeated rows are scanned row by row; an empty table gives an empty result.
-    Other columns are ignored.
+    words and score 0.  Whole texts are scanned, however long.  Ties: of the runs that a template accepts from one word on,
+    the longest is the span; templates accept side by side.  Null ids and repeated rows are scanned row by row; an empty
+    table gives an empty result.  Other columns are ignored.
     """
     chosen = TEMPLATES if templates is None else templates
     base = PHRASES if phrases is None else phrases

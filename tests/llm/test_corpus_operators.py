@@ -15,6 +15,7 @@ from skyloom.llm import sentencepiece_nbest as sp
 from skyloom.llm.queries import TOKENIZER
 
 SCHEMA = "doc_id long, text string, lang string, score double, root long, rep long"  # names that clash with the operators' own
+SMALL = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
 BASE = " ".join(f"word{i}" for i in range(60))
 TEXTS = [None, "", "one", "One", BASE, BASE + " tail", BASE, LONG, " \n\t ", "é\x00x é", "a b c d", "a b c d", "x y z " * 40, "gnu general public license version 3"]
@@ -190,6 +191,114 @@ def test_license_scan(spark, odd):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def template_tree(template):
+    """Words, ('opt', nodes) and ('var', low, high, pattern), by recursive descent."""
+    marks = re.split(r"(<<.*?>>)", template.replace("\n", " "))
+
+    def level(at):
+        nodes = []
+        while at < len(marks):
+            m = marks[at]
+            if m == "<<endOptional>>":
+                return nodes, at
+            if m == "<<beginOptional>>":
+                inner, at = level(at + 1)
+                nodes.append(("opt", inner))
+            elif m.startswith("<<var"):
+                low, high = re.search(r"words=(\d+)-(\d+)", m).groups()
+                nodes.append(("var", int(low), int(high), re.search(r"match=([^;>]*)", m)[1]))
+            else:
+                nodes += re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", m.lower())
+            at += 1
+        return nodes, at
+
+    return level(0)[0]
+
+
+def brute_accept(nodes, words, start):
+    """(All ends of accepted runs, most mandatory words on the way), region by region."""
+    most = 0
+
+    def run(nodes, ends, inside):
+        nonlocal most
+        for node in nodes:
+            if isinstance(node, str):
+                ends = {(e + 1, d + (not inside)) for e, d in ends if e < len(words) and words[e] == node}
+            elif node[0] == "opt":
+                ends = ends | run(node[1], ends, True)
+            else:
+                now, every = ends, set(ends) if node[1] == 0 else set()
+                for k in range(1, node[2] + 1):
+                    now = {(e + 1, d) for e, d in now if e < len(words) and re.fullmatch(node[3], words[e])}
+                    every |= now if k >= node[1] else set()
+                ends = every
+            most = max([most, *(d for _, d in ends)])
+        return ends
+
+    return {e for e, _ in run(nodes, {(start, 0)}, False)}, most
+
+
+def test_license_scan_equals_brute_force(spark):
+    """All templates over the small table and over whole, shortened and altered license texts."""
+    rng = np.random.default_rng(21)
+    trees = {label: template_tree(t) for label, t in licenses.TEMPLATES}
+
+    def spell(nodes):
+        out = []
+        for n in nodes:
+            if isinstance(n, str):
+                out.append(n)
+            elif n[0] == "opt":
+                out += spell(n[1]) if rng.random() < 0.5 else []
+            else:
+                out += [str(rng.integers(1, 9)) if n[3] != ".+" else "acme"] * int(rng.integers(n[1], n[2] + 1))
+        return out
+
+    texts = []
+    for tree in trees.values():
+        for _ in range(3):
+            w = spell(tree)
+            texts.append(" ".join(["x", *w, "y"]))
+            w[int(rng.integers(len(w)))] = "other"
+            texts += [" ".join(w), " ".join(w[: len(w) // 2])]
+    d = docs(spark, texts, 10_000).select("doc_id", "text")
+    d = d.union(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(d).collect()}
+    for r in d.collect():
+        words = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        places, labels = [], set()
+        for phrase, label in licenses.PHRASES.items():
+            n = phrase.split()
+            at = [i for i in range(len(words)) if words[i : i + len(n)] == n]
+            places += at
+            labels |= {label} if at else set()
+        spans, share = set(), 0.0
+        for label, tree in trees.items():
+            mandatory = sum(isinstance(n, str) for n in tree)
+            starts = {n for n in first_words(tree)}
+            for i in (i for i, w in enumerate(words) if w in starts):
+                ends, done = brute_accept(tree, words, i)
+                share = max(share, done / mandatory)
+                if ends:
+                    spans.add((label, i, max(ends)))
+        score = 1.0 if spans else max(0.5 * share, 0.5 if places else 0.0)
+        g = got[r["doc_id"]]
+        assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"]) == (len(words), len(places), min(places, default=None), max(places, default=None))
+        assert g["base_labels"] == ",".join(sorted(labels)) and g["labels"] == ",".join(sorted(labels | {s[0] for s in spans}))
+        assert {tuple(s) for s in g["spans"]} == spans and math.isclose(g["score"], score)
+    assert {"mit-text", "isc-text", "0bsd-text", "bsd-2-text", "bsd-3-text", "zlib-text"} <= {x for r in got.values() for x in r["labels"].split(",")}
+    plain = re.sub("<<[a-z]+Optional>>", "", licenses.ISC_GRANT + licenses.ISC_DISCLAIMER.replace(licenses._NAME, "the author"))
+    assert [r["labels"] for r in licenses.scan_licenses(docs(spark, [plain, plain[:300]])).orderBy("doc_id").collect()] == ["0bsd-text", ""]
+
+
+def first_words(tree):
+    for n in tree:
+        if isinstance(n, str):
+            yield n
+            return
+        yield from first_words(n[1])
+
+
 def brute_contamination(rows, items, size):
     words = lambda t: re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     out = []
@@ -624,9 +733,6 @@ def test_segmentation_odd_rows(spark, odd):
     assert sp.encode_n_best(empty(spark), TOKENIZER).count() == 0
 
 
-SMALL = "/root/testdata/sf0.001"
-
-
 def test_pipeline_equals_brute_force_stage_by_stage(spark, odd):
     """On the small table with odd rows: nulls, empty and long texts, repeated rows, columns of names that clash."""
     import corpus_pipeline
