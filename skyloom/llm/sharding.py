@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SLICE_ROWS = 200_000
 HASH_DIGITS = 12  # hexadecimal digits of md5 kept: 48 bits, exact in a double
 
 
@@ -38,16 +39,19 @@ def shard_records(
     documents: DataFrame,
     weights: list[float],
     grown: list[float] | None = None,
-    slices: int = 64,
+    slices: int | None = None,
 ) -> DataFrame:
     """Shard whole documents by doc_id; number each shard's records without gaps.
 
     Returns doc_id, size (UTF-8 bytes + 16), text_crc32, law ('key'), shard, slot, and grown_shard under ``grown``
     weights (null without them).  A null text has no bytes and the crc32 of the empty text; a null doc_id is the key
-    ''.  Rows repeating an id share its shard and get slots of their own.  An empty table gives an empty result; other
-    columns are ignored.  Slots are numbered within slices of a shard, whose offsets come from a table of
-    shards x slices counts, so that no task holds a whole shard.
+    ''.  Rows repeating an id share its shard and get slots of their own; rows alike in id, size and text are in either
+    order.  Whole texts are measured, however long.  An empty table gives an empty result; other columns are ignored.
+    Slots are numbered within slices of a shard, whose offsets come from a table of shards x slices counts, so that no
+    task holds a whole shard: 64 slices, or as many as make SLICE_ROWS rows each.
     """
+    if slices is None:
+        slices = min(16**4, max(64, documents.count() // (SLICE_ROWS * len(weights))))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = F.coalesce(documents["text"].cast("string"), F.lit("")).cast("binary")
     rows = documents.select(
