@@ -1,4 +1,4 @@
-"""Joins.  Dimensions are broadcast: rules, palettes and calendars are tables of tens of rows by their nature."""
+"""Joins.  No dimension is forced: Spark broadcasts rules, palettes and calendars by their measured size, or else shuffles."""
 
 from __future__ import annotations
 
@@ -13,16 +13,16 @@ def join_catalogue(ident: DataFrame, basic: DataFrame, fluxes: DataFrame, key: s
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default: object = None) -> DataFrame:
     """Value of a small dimension, or the default."""
-    out = df.join(F.broadcast(dim.select(key, value)), key, "left")
+    out = df.join(dim.select(key, value), key, "left")
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
 
 
 def allowlist(df: DataFrame, rules: DataFrame, key: str = "host") -> DataFrame:
-    return df.join(F.broadcast(rules.select(key)), key, "left_semi")
+    return df.join(rules.select(key), key, "left_semi")
 
 
 def rejected(df: DataFrame, rules: DataFrame, key: str = "host") -> DataFrame:
-    return df.join(F.broadcast(rules.select(key)), key, "left_anti")
+    return df.join(rules.select(key), key, "left_anti")
 
 
 def append_missing(base: DataFrame, extra: DataFrame, key: str, order: str) -> DataFrame:
@@ -49,9 +49,9 @@ def bracket_join(obs: DataFrame, breakpoints: DataFrame, x: str, key: str = "alt
     segment that ends there, but for the first."""
     seg = segments(breakpoints, key).where(f"next_{key} IS NOT NULL")
     ends = breakpoints.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    df = obs.crossJoin(F.broadcast(ends)).withColumn("_x", F.greatest("_lo", F.least("_hi", F.col(x))))
+    df = obs.crossJoin(ends).withColumn("_x", F.greatest("_lo", F.least("_hi", F.col(x))))
     inside = ((F.col("_x") > F.col(key)) | ((F.col("_x") == F.col(key)) & (F.col(key) == F.col("_lo")))) & (F.col("_x") <= F.col(f"next_{key}"))
-    out = df.join(F.broadcast(seg), inside)
+    out = df.join(seg, inside)
     return out.withColumn("t", (F.col("_x") - F.col(key)) / (F.col(f"next_{key}") - F.col(key))).drop("_x", "_lo", "_hi")
 
 
@@ -77,7 +77,7 @@ def calendar_window_join(df: DataFrame, windows: DataFrame, ts: str) -> DataFram
     """Rows within month-day windows (md_start, md_end), which may go over the year's end."""
     md = F.month(ts) * 100 + F.dayofmonth(ts)
     inside = F.when(F.col("md_start") <= F.col("md_end"), md.between(F.col("md_start"), F.col("md_end"))).otherwise((md >= F.col("md_start")) | (md <= F.col("md_end")))
-    return df.join(F.broadcast(windows), inside)
+    return df.join(windows, inside)
 
 
 def observation_grid(positions: DataFrame, *dimensions: DataFrame) -> DataFrame:
@@ -102,5 +102,5 @@ def drift_check(old: DataFrame, new: DataFrame, key: str, value: str, tolerance:
 
 def licence_gate(images: DataFrame, policy: DataFrame, key: str = "source") -> DataFrame:
     """Images with their licence; share-alike ones are rejected where derivatives are made of them."""
-    out = images.join(F.broadcast(policy), key, "left")
+    out = images.join(policy, key, "left")
     return out.withColumn("accepted", F.coalesce(~(F.col("share_alike") & F.col("derived")), F.lit(False)))

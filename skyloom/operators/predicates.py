@@ -64,7 +64,7 @@ def admit_requests(df: DataFrame, rules: DataFrame, method: str = "method", url:
     u = F.coalesce(url, F.lit(""))
     scheme = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
-    known = F.broadcast(rules.select(F.col("host"), F.lit(True).alias("known")))
+    known = rules.select(F.col("host"), F.lit(True).alias("known"))
     out = df.withColumns({"host": host, "scheme": scheme}).join(known, "host", "left")
     outcome = (
         F.when(F.col(method) == "OPTIONS", "preflight")
