@@ -585,6 +585,29 @@ def test_toxicity_finds_the_words_and_spares_the_rest(spark):
     assert toxicity.toxicity_scores(d.where("false"), lab).count() == 0
 
 
+def test_toxicity_features_equal_brute_force(spark):
+    """The final models have seen every labelled text of the other folds once, and no held-out one."""
+    rng = np.random.default_rng(17)
+    vocabulary = ["calms", "quiet", "gentle", "gentles", "vile", "viles", "plain"]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(2, 12)))) for i in range(80)]
+    rows += [(100 + i, t) for i, t in rows[:10]]  # copies
+    labels = [(i, int("vile" in t.split())) for i, t in rows]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    short = lambda t: [w for i, w in enumerate(t.split()) if not i or t.split()[i - 1] != w]
+    train = sorted({(tuple(short(t)), y) for (i, t), (_, y) in zip(rows, labels, strict=True) if not held(i)})
+    p, _, _ = plain_models(train, (toxicity.BIGRAM, toxicity.WORD, toxicity.STEM))
+    asked = [*rows[:25], (900, "never seen before"), (901, "vile")]
+    d = spark.createDataFrame([*rows, *asked[25:]], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for i, t in asked:
+        w = short(t)
+        r = [math.log(p(v, x, 1) / p(v, x, 0)) for v, x in zip(["^", *w], w, strict=False)]
+        tops = [sum(r[k : k + 2]) for k in range(max(1, len(r) - 1))]
+        assert np.allclose((got[i]["whole"], got[i]["top"], got[i]["length"]), (sum(r) / len(r), max(tops) / 2, math.log1p(len(r))))
+    rank = sorted(got.values(), key=lambda r: r["score"])
+    assert all(r["predicted"] == (r["score"] >= 0.3) for r in rank)
+
+
 def test_toxicity_of_a_fixed_line(spark):
     rng = np.random.default_rng(8)
     rows, labels = [], []
