@@ -16,14 +16,17 @@ from skyloom.sources import landed as S
 # ---------------------------------------------------------------- sources and sinks
 
 
-@query("s1_grouped_json", "SELECT CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS \"group\", count(*) AS n, sum(p_size)::BIGINT AS total FROM part GROUP BY 1")
+@query(
+    "s1_grouped_json",
+    "SELECT CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END || '-' || (p_partkey // 1000) AS \"group\", count(*) AS n, sum(p_size)::BIGINT AS total FROM part GROUP BY 1",
+)
 def s1(spark: SparkSession, d: str) -> DataFrame:
+    """One file of at most 1,000 records per group, named by it: each holds one JSON array."""
     path = landing(spark)
-    part = table(spark, d, "part").select(F.when(F.col("p_size") > 25, "large").otherwise("small").alias("group"), F.floor(F.col("p_partkey") / 1000).alias("k"), F.struct("p_partkey", "p_size").alias("r"))
-    # One file of at most 1,000 records per group and number: each holds one JSON array.
-    part.groupBy("group", "k").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("group", "k").text(path)
-    got = S.scan_grouped_json(spark, f"{path}/*/*", "p_partkey long, p_size int")
-    got = got.withColumn("group", F.regexp_extract(F.col("_metadata.file_path"), "group=([a-z]+)/", 1))
+    group = F.concat_ws("-", F.when(F.col("p_size") > 25, "large").otherwise("small"), F.floor(F.col("p_partkey") / 1000))
+    files = table(spark, d, "part").groupBy(F.concat(group, F.lit(".json")).alias("name")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_size"))).alias("value"))
+    S.land_texts(files, path)
+    got = S.scan_grouped_json(spark, path, "p_partkey long, p_size int")
     return got.groupBy("group").agg(F.count("*").alias("n"), F.sum("p_size").alias("total"))
 
 

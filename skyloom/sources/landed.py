@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.sources.shared import open_store
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -12,6 +17,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
+def land_texts(files: DataFrame, folder: str) -> int:
+    """Writes each row of (name, value) as a file of that name; a second attempt writes the same again.  Returns how many."""
+
+    def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(folder)
+        store.create_dir(base, recursive=True)
+        for batch in rows:
+            for name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(value.encode())
+            yield batch.select(["name"])
+
+    return files.select("name", "value").mapInArrow(write, "name string").count()
+
+
 def scan_grouped_json(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     """One JSON-array file per group; the group is the file's stem."""
     df = spark.read.schema(schema).option("multiLine", True).json(paths)

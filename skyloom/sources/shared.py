@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +21,12 @@ def shared_folder(spark: SparkSession, name: str = "skyloom") -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path as Spark names it, for use in tasks."""
+    scheme, sep, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + sep + rest)
+
+
 def folder(spark: SparkSession, path: str):
     """(Hadoop file system, path) of a path."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
