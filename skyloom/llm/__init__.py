@@ -1,11 +1 @@
-"""Operators for building training corpora.
-
-Nothing outside this package imports it; it may be removed as a whole.  Functions of this package that run inside
-tasks travel to the executors by value, so the executors need no copy of the repository.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for building training corpora.  Nothing outside this package imports it; it may be removed as a whole."""
