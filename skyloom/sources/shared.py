@@ -48,6 +48,19 @@ def saved(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     return out
 
 
+def needs(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Notes which saved tables ``df`` still reads, for ``settled``."""
+    df._needs = tables
+    return df
+
+
+def settled(df: DataFrame, source: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` saved, whereupon what ``source``, of which it is made, has needed goes."""
+    out = saved(df, name)
+    discard(*getattr(source, "_needs", ()))
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes saved tables that nothing will read again."""
     for df in tables:
