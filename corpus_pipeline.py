@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import decontaminate, minhash, sentencepiece_nbest, toxicity
-from skyloom.llm.common import materialise
+from skyloom.llm.common import discard, materialise, settled
 from skyloom.llm.queries import TOKENIZER, table
 
 
@@ -45,13 +45,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document of the smallest id stays, one without an id only if none has one.
     Rows that repeat a doc_id are one document: all stay or all go."""
-    return without(docs, minhash.near_duplicates(keyed(docs)).where("NOT kept"))
+    classes = minhash.near_duplicates(keyed(docs))
+    return without(docs, settled(classes.where("NOT kept").select("doc_id"), classes, "copies"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go, with all rows of their doc_id.  Without items nothing goes."""
     report = decontaminate.find_contamination(keyed(docs), table(spark, sf_dir, "benchmark"), near_terms=0)
-    return without(docs, report.where("size(hits) > 0"))
+    return without(docs, settled(report.where("size(hits) > 0").select("doc_id"), report, "contaminated"))
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,5 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each stage's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        discard(before)
     return docs
