@@ -8,10 +8,10 @@ import types
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.sources.shared import discard, shared_folder
+from skyloom.sources.shared import discard, needs, settled, shared_folder
 from skyloom.sources.shared import saved as materialise
 
-__all__ = ["components", "crc_mod", "discard", "materialise", "plain_words", "shared_folder", "space_words", "text_bytes", "worker_cache"]
+__all__ = ["components", "crc_mod", "discard", "materialise", "needs", "plain_words", "settled", "shared_folder", "space_words", "text_bytes", "worker_cache"]
 
 #: Bytes that are not part of a word ([\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z) become spaces.
 WORD_BYTES = bytes(

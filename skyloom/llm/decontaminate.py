@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import materialise, plain_words, text_bytes
+from skyloom.llm.common import materialise, needs, plain_words, text_bytes
 
 SHARD_WORDS = 600_000
 BLOCK_WORDS = 1_000_000  # windows of benchmark items that are sent to the executors at a time
@@ -236,7 +236,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: in
     asked = blocks(((r["item_id"], r["text"] and bytes(r["text"])) for r in rows.toLocalIterator()), window, near_terms)
     block, following = next(asked), next(asked, None)
     if following is None:
-        return search(index, block, near_width, True).drop("shard", "place")
+        return needs(search(index, block, near_width, True).drop("shard", "place"), index)
     parts = []
     while block is not None:
         parts.append(materialise(search(index, block, near_width, False), "found"))
@@ -250,9 +250,10 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: in
     little = F.reverse(F.substring("lengths", F.col("place") * 8 + 1, 8))  # little-endian
     every = every.select("shard", "place", "doc_id", F.conv(F.hex(little), 16, 10).cast("long").alias("n_words"))
     nothing = {"hits": "array<int>", "items": "array<string>", "near_items": "array<string>"}
-    return every.join(merged, ["shard", "place"], "left").select(
+    out = every.join(merged, ["shard", "place"], "left").select(
         "doc_id", "n_words", *(F.coalesce(F.col(c), F.array().cast(k)).alias(c) for c, k in nothing.items())
     )
+    return needs(out, index, *parts)
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import components, discard, materialise, space_words, text_bytes
+from skyloom.llm.common import components, discard, materialise, needs, settled, space_words, text_bytes
 
 MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64
@@ -178,7 +178,8 @@ def near_duplicates(
     involved = crowd.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     texts = materialise(own.where("doc_id IS NOT NULL").join(involved, "doc_id", "left_semi"), "texts")
     stars = crowd.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialise(compare(stars, texts, size, percent).where("linked").select("a", "b"), "links")
+    starred = compare(stars, texts, size, percent)
+    links = settled(starred.where("linked").select("a", "b"), starred, "links")
     roots = materialise(components(links), "roots")
     # What no star has decided: buckets whose sets are not yet in one component.
     rooted = crowd.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -187,8 +188,11 @@ def near_duplicates(
     open_ = materialise(rooted.join(mixed, "key", "left_semi").select("rep", "root").distinct(), "open")
     discard(crowd, rooted)
     rest = compare(prefix_pairs(open_, texts, size, percent), texts, size, percent)
-    roots = components(links.union(rest.where("linked").select("a", "b")).union(copies))
-    return (
+    rest = settled(rest.where("linked").select("a", "b"), rest, "rest")
+    discard(texts, open_, roots)
+    roots = components(links.union(rest).union(copies))
+    discard(links, rest, sets)
+    out = (
         signed.select("doc_id", "n_shingles")
         .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select(
@@ -198,6 +202,7 @@ def near_duplicates(
             F.coalesce(F.col("doc_id") == F.coalesce("root", "doc_id"), F.lit(True)).alias("kept"),
         )
     )
+    return needs(out, signed)
 
 
 def prefix_pairs(open_: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
@@ -230,7 +235,7 @@ def prefix_pairs(open_: DataFrame, own: DataFrame, size: int, percent: int) -> D
     # At the first shingle in common, what is left of both must reach the overlap that the threshold asks for.
     reach = f"(100 + {percent}) * (1 + least(x_n - x_i, y_n - y_i)) >= {percent} * (x_n + y_n)"
     pairs = large.join(small, "h").where(f"x_root <> y_root AND {reach} AND (y_n < x_n OR (y_n = x_n AND y_rep < x_rep))")
-    return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    return needs(pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct(), rows, first)
 
 
 def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, slices: int = 64) -> DataFrame:
@@ -241,6 +246,5 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, slices:
         sliced.select("a", "slice").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     )
     both = members.join(centres, ["a", "slice"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda rows: confirm(rows, size, percent), "a long, b long, linked boolean").groupBy("a", "b").agg(
-        F.max("linked").alias("linked")
-    )
+    out = both.mapInArrow(lambda rows: confirm(rows, size, percent), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return needs(out, sliced, *getattr(pairs, "_needs", ()))

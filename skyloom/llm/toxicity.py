@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from skyloom.llm.common import crc_mod, materialise, plain_words, text_bytes
+from skyloom.llm.common import crc_mod, discard, materialise, plain_words, text_bytes
 
 START = b"^"
 BIGRAM, WORD, STEM, SHARED = 4.0, 4.0, 8.0, 0.75  # discounts of the orders
@@ -199,6 +199,7 @@ def fit_kneser_ney(train: DataFrame, parts: list[int], discounts: tuple[float, f
     ).distinct()
     of_bigrams, of_lefts = over.select("l", "w", *(x.alias(f"n{m}_{y}") for (m, y), x in n.items())).toPandas(), lefts.toPandas()
     of_kept, of_kept_stems = kept.toPandas(), kept_stems.toPandas()
+    discard(grams, words, stems)
 
     def model(m: int) -> Counts | None:
         total = [of_words[f"k{m}_{y}"] for y in (0, 1, 2)]
@@ -243,10 +244,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float =
     return w
 
 
-def labelled_sample(labels: DataFrame, folds: int, parts: tuple[int, ...], rows: int) -> DataFrame:
+def labelled_sample(labels: DataFrame, folds: int, parts: tuple[int, ...], rows: int, favour: float = 2.0) -> DataFrame:
     """Up to about ``rows`` labelled ids of the folds, by a hash of the id; all of them while there are no more.
 
-    Above, the rarer class is taken first, up to half of the rows.  ``stands_for``: the rows of its class for each taken.
+    Above, the rarer class is taken up to ``favour`` times as often as a plain sample would, while it is less than an
+    eighth of the rows.  Not oftener: what copies of a passage are in one class only because the other is thinned out
+    looks like evidence.  ``stands_for``: the rows of its class for each taken.
     """
     own = (
         labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
@@ -255,11 +258,14 @@ def labelled_sample(labels: DataFrame, folds: int, parts: tuple[int, ...], rows:
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     there = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    share = F.lit(1.0)
-    if sum(there.values()) > rows:
-        for y, n in there.items():
-            most = max(rows / 2, rows - (sum(there.values()) - n))
-            share = F.when(F.col("toxic") == y, F.lit(min(1.0, most / n))).otherwise(share)
+    share, total = F.lit(1.0), sum(there.values())
+    if total > rows:
+        rare = min(there, key=lambda y: there[y])
+        plain = rows / total
+        taken = {rare: min(there[rare], plain * there[rare] * min(favour, max(1.0, rows / 8 / (plain * there[rare]))))}
+        taken |= {y: rows - taken[rare] for y in there if y != rare}
+        for y, n in taken.items():
+            share = F.when(F.col("toxic") == y, F.lit(min(1.0, n / there[y]))).otherwise(share)
     own = own.withColumn("stands_for", 1 / share)
     return own.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share * 1_000_000)
 
@@ -278,7 +284,7 @@ def toxicity_scores(
     """Probability that a whole text is toxic, for every document.
 
     Labels are learned from rows outside the held-out fold only: about ``max_rows`` labelled rows at most, by hash of the
-    id, the rarer class first (weighted back in the curve); this bound keeps the models small enough to broadcast,
+    id, the rarer class somewhat oftener (weighted back in the curve); this bound keeps the models small enough to broadcast,
     whatever the corpus.  Each other fold is a part: its rows' ratios, for the curve, are by models of the other parts.
 
     Scoring reads the text alone, whole, however long.  Null and empty texts have no words and get the curve's value at
@@ -313,6 +319,7 @@ def toxicity_scores(
 
     names = ["toxic", "stands_for", "whole", "top", "length"]
     fit = train.mapInArrow(own_ratios, "toxic int, stands_for double, whole double, top double, length double").toPandas()
+    discard(train)
     score = F.lit(0.0)
     if final and fit["toxic"].nunique() == 2:
         w = fit_logistic(fit[names[2:]].to_numpy(), fit["toxic"].to_numpy(float), rows=fit["stands_for"].to_numpy())

@@ -675,11 +675,13 @@ def test_kneser_ney_equals_brute_force_and_sums_to_one(spark, discounts):
             assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
 
 
-def test_rare_labels_are_taken_first(spark):
-    labels = spark.range(20_000).selectExpr("id AS doc_id", "int(id % 200 = 0) AS toxic")
-    taken = toxicity.labelled_sample(labels, 4, (0, 1, 2, 3), 2_000).groupBy("toxic").agg(F.count("*"), F.sum("stands_for")).collect()
-    n = {r[0]: (r[1], r[2]) for r in taken}
-    assert n[1] == (100, 100.0) and 1_700 < n[0][0] < 2_100 and abs(n[0][1] - 19_900) < 2_000
+def test_rare_labels_are_favoured_within_bounds(spark):
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "int(id % 20 = 0) AS toxic")
+    sample = lambda rows, **options: {r[0]: (r[1], r[2]) for r in toxicity.labelled_sample(labels, 4, (0, 1, 2, 3), rows, **options).groupBy("toxic").agg(F.count("*"), F.sum("stands_for")).collect()}
+    n = sample(2_000)
+    assert 150 < n[1][0] < 250 and 1_700 < n[0][0] < 1_900 and abs(n[0][1] - 19_000) < 2_000 and abs(n[1][1] - 1_000) < 200
+    assert 210 < sample(2_000, favour=100)[1][0] < 290  # an eighth of the rows
+    assert sample(20_000)[1] == (1_000, 1_000.0)
 
 
 def all_paths(p, text):
