@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import materialise, needs, plain_words, text_bytes
 
 SHARD_WORDS = 600_000
+AT_ONCE = 2_000_000  # places that a shard intersects at a time
 BLOCK_WORDS = 1_000_000  # windows of benchmark items that are sent to the executors at a time
 INDEX = "shard string, ids array<long>, starts binary, lengths binary, terms binary, sizes binary, postings binary"
 FOUND = "shard string, place int, doc_id long, n_words long, hits array<int>, items array<string>, near_items array<string>"
@@ -141,6 +142,13 @@ class Shard:
         alive = alive[((here[block.phrases[alive]] >= 0) | (block.phrases[alive] < 0)).all(1)]
         if not len(alive):
             return none, none
+        rarest = np.where(block.phrases[alive] >= 0, self.sizes[here[block.phrases[alive]]], np.iinfo(np.int32).max).min(1).astype(np.int64)
+        parts = np.split(alive, np.flatnonzero(np.diff((np.cumsum(rarest) - rarest) // AT_ONCE)) + 1)
+        found = [self.intersect(block, part, here) for part in parts]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def intersect(self, block: Block, alive: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, start) of some phrases, all of whose terms the shard holds."""
         own = here[block.phrases[alive]]  # the shard's terms of each phrase
         size = np.where(own >= 0, self.sizes[own], np.iinfo(np.int32).max)
         order = np.argsort(size, axis=1, kind="stable")  # offsets, the rarest term's first

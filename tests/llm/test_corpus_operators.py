@@ -320,6 +320,7 @@ def brute_contamination(rows, items, size):
 def test_decontamination(spark, odd, monkeypatch, block_words):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 50)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 3)
     items = [(1, " ".join(BASE.split()[5:20])), (2, "A b! c"), (3, None), (4, ""), (5, "x y z x y z x y z x y"), (6, "not in any text at all of these ever")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((str(r["doc_id"]), *r[1:]) for r in decontaminate.contamination_report(odd, bench).collect())
