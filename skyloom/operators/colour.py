@@ -60,23 +60,28 @@ def weights(sun_alt: Column, evening: Column) -> dict[str, Column]:
     }
 
 
+def fold_sql(stop: int) -> str:
+    """A stop's layers of some weight, folded over its palette colour; each blend rounds its channels."""
+    lerp = lambda x, y, k: f"CAST(floor({x} + ({y} - {x}) * least(1D, greatest(0D, {k})) + 0.5D) AS DOUBLE)"
+    cell = lambda values: f"named_struct('r', {values[0]}, 'g', {values[1]}, 'b', {values[2]})"
+    rgb = lambda h: [f"{int(h[n : n + 2], 16)}D" for n in (1, 3, 5)]
+    layers = []
+    for weight, mix, stops in LAYERS:
+        if stop in stops:
+            share, low, *high = stops[stop]
+            to = [lerp(a, b, f"_{mix}") for a, b in zip(rgb(low), rgb(high[0]), strict=True)] if high else rgb(low)
+            layers.append(f"named_struct('k', _{weight} * {share}D, 'to', {cell(to)})")
+    blend = cell([lerp(f"c.{n}", f"x.to.{n}", "x.k") for n in "rgb"])
+    return f"aggregate(filter(array({', '.join(layers)}), x -> x.k > 0), _base{stop}, (c, x) -> {blend})"
+
+
 def sky_gradient(obs: DataFrame, palette: DataFrame, sun_alt: str = "sun_alt") -> DataFrame:
     """Four colours from zenith to horizon.  obs: sun_alt, evening, cl, cm, ch, rh, vis_m, pr, sn; nulls have defaults.
     palette: alt, c0..c3 as #rrggbb.  Each stop folds its layers over the palette's colour."""
     df = bracket_join(obs, palette, sun_alt).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in DEFAULTS.items()})
     df = df.withColumns({f"_{n}": w for n, w in weights(F.col(sun_alt), F.coalesce("evening", F.lit(False))).items()})
-    rgb = lambda h: [int(h[n : n + 2], 16) for n in (1, 3, 5)]
-    cell = lambda values: F.struct(*(F.lit(v).cast("double").alias(n) for n, v in zip("rgb", values, strict=True)))
-
-    def layer(weight: str, mix: str | None, share: float, low: str, high: str | None = None) -> Column:
-        target = list(map(F.lit, rgb(low))) if high is None else lerp_rgb(list(map(F.lit, rgb(low))), list(map(F.lit, rgb(high))), F.col(f"_{mix}"))
-        return F.struct((F.col(f"_{weight}") * share).alias("k"), cell(target).alias("to"))
-
-    def blend(c: Column, x: Column) -> Column:
-        return cell([lerp_rgb([c[n]], [x["to"][n]], x["k"])[0] for n in "rgb"])
-
     for i in STOPS:
-        layers = F.array(*(layer(weight, mix, *stops[i]) for weight, mix, stops in LAYERS if i in stops))
-        start = cell(lerp_rgb(hex_to_rgb(F.col(f"c{i}")), hex_to_rgb(F.col(f"next_c{i}")), F.col("t")))
-        df = df.withColumn(f"_sky{i}", F.aggregate(layers, start, blend))
+        start = lerp_rgb(hex_to_rgb(F.col(f"c{i}")), hex_to_rgb(F.col(f"next_c{i}")), F.col("t"))
+        df = df.withColumn(f"_base{i}", F.struct(*(v.cast("double").alias(n) for n, v in zip("rgb", start, strict=True))))
+    df = df.withColumns({f"_sky{i}": F.expr(fold_sql(i)) for i in STOPS})
     return df.select(*obs.columns, *(rgb_to_hex([F.col(f"_sky{i}")[n] for n in "rgb"]).alias(f"sky{i}") for i in STOPS))
