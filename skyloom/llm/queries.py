@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import decontaminate, embeddings, hmm, licenses, minhash, sentencepiece_nbest, sharding, toxicity, url_templates, warc
+from skyloom.llm import conversations, decontaminate, embeddings, hmm, licenses, minhash, sentencepiece_nbest, sharding, toxicity, url_templates, warc
 
 TOKENIZER = os.environ.get("SKYLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SHARDS = 40
@@ -64,6 +64,10 @@ def op10_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_dedup,
         op9_toxicity,
         op10_sentencepiece_nbest,
+        op11_conversation_repair,
     )
 }
 
@@ -216,6 +221,53 @@ k AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)
 """
 
+
+
+def op11_sql() -> str:
+    """Cost, audit and repaired lines from the last row back, for each state of the grammar."""
+    least = lambda *options: f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+    best = lambda cost, edit, line, to: f"{{'c': {cost} + {to}.c, 'a': '{edit}' || {to}.a, 't': {f'[{line}] || ' if line else ''}{to}.t}}"
+    own, more = "role || ':' || text", "(CASE WHEN truncated THEN 3 ELSE 0 END)"
+    need = {0: 2, 1: 2, 2: 3, 3: 2}
+    name = {2: "'user:'", 3: "'assistant:'"}
+    keeps = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    base = []
+    for state, to in need.items():
+        keep = [f"CASE WHEN NOT gone AND init = '{r}' THEN {best(more, 'K', own, f's{t}')} END" for r, t in keeps[state].items()]
+        rerole = f"CASE WHEN NOT gone THEN {best(f'3 + {more}', 'R', f'{name[to]} || text', f's{to}')} END"
+        base.append(f"{least(best(4, 'D', '', f's{state}'), rerole, *keep)} AS b{state}")
+    put = lambda state, ahead: least(f"b{state}", best(3, "I", name[need[state]], ahead))
+    return f"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce([n::UBIGINT] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+    FROM range(256) r(n))),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+          list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda h: ('0x' || h)::UBIGINT) AS b FROM conversations),
+hit AS (SELECT conv_id, turn, role, text, xor(list_reduce([4294967295::UBIGINT] || b, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) % 20 AS f FROM raw, tab),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE f <> 0),
+g AS (SELECT *, substr(role, 1, 1) AS init, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM d),
+o AS (SELECT *, cut = '' OR again AS gone, cut <> '' AND NOT again AND right(cut, 1) NOT IN ('.', '!', '?') AS truncated,
+        row_number() OVER w AS i, lag(init) OVER w || init AS pair FROM g
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(octet_length(encode(role)) || ':' || role || text), again)),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (cut = '') AS blank, count(*) FILTER (cut <> '' AND again) AS duplicate,
+        count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY 1),
+f AS (SELECT conv_id, n + 1 AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s0, {{'c': 6::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS s1,
+        {{'c': 3::BIGINT, 'a': 'I', 't': ['assistant:']}} AS s2, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s3 FROM n
+  UNION ALL
+  SELECT conv_id, i, {put(0, 'x2')} AS s0, {put(1, 'x2')} AS s1, x2 AS s2, x3 AS s3
+  FROM (SELECT *, {put(2, 'b3')} AS x2, {put(3, 'b2')} AS x3
+        FROM (SELECT f.conv_id, o.i, {', '.join(base)} FROM f JOIN o ON o.conv_id IS NOT DISTINCT FROM f.conv_id AND o.i = f.i - 1)))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit, sha256(array_to_string(coalesce(s0.t, []), chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (SELECT * FROM f WHERE i = 1) f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op4_rendezvous_shards": OP4_SQL,
@@ -223,4 +275,5 @@ ORACLES: dict[str, str] = {
     "op6_minhash_dedup": OP6_SQL,
     "op7_warc_bundles": OP7_SQL,
     "op8_embedding_dedup": OP8_SQL,
+    "op11_conversation_repair": op11_sql(),
 }
