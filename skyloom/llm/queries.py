@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import conversations, decontaminate, embeddings, hmm, licenses, minhash, sentencepiece_nbest, sharding, toxicity, url_templates, warc
+from skyloom.llm import conversations, decontaminate, embeddings, hmm, licenses, minhash, negatives, sentencepiece_nbest, sharding, toxicity, url_templates, warc
 
 TOKENIZER = os.environ.get("SKYLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SHARDS = 40
@@ -68,6 +68,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_sentencepiece_nbest,
         op11_conversation_repair,
+        op12_hard_negatives,
     )
 }
 
@@ -268,6 +274,20 @@ LEFT JOIN (SELECT * FROM f WHERE i = 1) f ON f.conv_id IS NOT DISTINCT FROM c.co
 """
 
 
+OP12_SQL = """
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+           FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op4_rendezvous_shards": OP4_SQL,
@@ -276,4 +296,5 @@ ORACLES: dict[str, str] = {
     "op7_warc_bundles": OP7_SQL,
     "op8_embedding_dedup": OP8_SQL,
     "op11_conversation_repair": op11_sql(),
+    "op12_hard_negatives": OP12_SQL,
 }

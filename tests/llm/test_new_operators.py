@@ -2,11 +2,15 @@
 
 import hashlib
 import itertools
+import math
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyloom.llm import conversations as C
+from skyloom.llm import negatives as N
 
 TALK = "conv_id long, turn long, role string, text string, pos long, gone string, key string"  # names that clash with the operator's own
 
@@ -107,3 +111,78 @@ def test_turns_are_the_repaired_ones(spark):
     assert {r["conv_id"]: (r["cost"], r["audit"]) for r in report.collect()} == {1: want[:2], 2: (0, "")}
     roles = [r["role"] for r in turns.orderBy("pos").collect()]
     assert grammar(r[0] for r in roles)
+
+
+# ---------------------------------------------------------------- hard negatives
+
+
+def test_hilbert_neighbours_are_adjacent():
+    for axes, bits in ((2, 4), (3, 3)):
+        cells = np.array(list(itertools.product(range(1 << bits), repeat=axes)))
+        digits = N.hilbert(cells, bits)
+        order = np.argsort(digits @ (1 << np.arange(digits.shape[1] - 1, -1, -1)))
+        assert (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
+
+
+def test_bounds_hold_for_every_row():
+    rng = np.random.default_rng(3)
+    x, y = np.floor(rng.normal(0, 60, (20, 9))), np.floor(rng.normal(5, 60, (30, 9)))
+    q = N.Queries(np.arange(20), np.zeros(20, int), x, np.arange(20), np.full(20, N.NONE), np.full(20, N.LONG), 2, False)
+    zone = {"low": y.min(0)[None], "high": y.max(0)[None], "low_label": np.array([1]), "high_label": np.array([2])}
+    assert q.wanted(zone)[0].all()
+    best = N.exact_scores(x, y).max(1)
+    q.low[:] = best + 1
+    need = q.wanted(zone)[0][:, 0]
+    top = np.maximum(x, 0) @ y.max(0) + np.minimum(x, 0) @ y.min(0)
+    assert (top >= best).all() and (need == (top + 1e-6 >= best + 1)).all()
+
+
+def brute_negatives(rows, positives=5, negatives=10):
+    out, good = set(), {}
+    for vec, label, v in rows:
+        if vec is None or label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        good[vec] = (label, [math.floor(256 * x) for x in v])
+    score = lambda a, b: max(-N.LONG, min(N.LONG, sum(x * y for x, y in zip(a, b, strict=True))))
+    for a, (label, q) in good.items():
+        if a % 4:
+            continue
+        scored = sorted((-score(q, w), vec, lab == label) for vec, (lab, w) in good.items() if vec != a and len(w) == len(q))
+        for p, pos, _ in [x for x in scored if x[2]][:positives]:
+            hard = [(n, neg) for n, neg, same in scored if not same and 30 * -p <= 100 * -n <= 90 * -p]
+            out |= {(a, pos, i + 1, neg, -p, -n) for i, (n, neg) in enumerate(hard[:negatives])}
+    return out
+
+
+ODD = "vec_id long, embedding array<double>, label int, part int, dims string, v long, path string"  # names that clash with the operator's own
+
+
+def test_hard_negatives_of_odd_rows(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(0, 0.2, (4, 6))
+    rows = [(i, int(rng.integers(0, 3)), (base[i % 4] + rng.normal(0, 0.1, 6)).tolist()) for i in range(150)]
+    rows += [(200 + i, i % 2, [0.5, 0.25, 0.1, 0.0, 0.0, 0.0]) for i in range(40)]  # equal vectors: ties
+    rows += [(300, None, [0.1] * 6), (304, 1, None), (308, 1, [0.1, None, 0.1, 0.1, 0.1, 0.1]), (312, 1, [float("nan")] * 6), (316, 2, [float("inf")] * 6), (None, 1, [0.1] * 6)]
+    rows += [(320, 1, []), (321, 1, []), (322, 2, []), (324, 0, [0.5, 0.5]), (325, 0, [0.5, 0.4]), (326, 1, [0.3, 0.3]), (328, 0, [1e200, 0.0, 1.0]), (329, 0, [1e200, 1.0, 0.0]), (330, 1, [1e8, 1.0, 0.0])]
+    rows += [(332, 5, [0.0] * 6), (336, 2, [1e6] * 6), (337, 2, [1e6] * 6), (338, 0, [4e5] * 6)]
+    table = spark.createDataFrame([(v, e, lab, 1, "x", 2, "y") for v, lab, e in [*rows, rows[0]]], ODD)
+    got = N.hard_negatives(table, F.col("vec_id") % 4 == 0)
+    assert {tuple(r) for r in got.collect()} == brute_negatives(rows) and got.count() == len(brute_negatives(rows))
+    assert N.hard_negatives(table.limit(0), F.col("vec_id") % 4 == 0).collect() == []
+    assert N.hard_negatives(table.where("vec_id = 1"), F.col("vec_id") % 4 == 0).collect() == []
+
+
+def test_windows_read_few_blocks_of_clustered_rows(spark):
+    """Tight clusters around axes of their own: most blocks cannot hold what a window asks for, and are not read."""
+    rng = np.random.default_rng(8)
+    rows = [(i, ((i % 16 == np.arange(16)) * 0.9 + rng.normal(0, 0.01, 16)).tolist(), i % 16 // 2) for i in range(8_000)]
+    points = N.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    blocks = N.blocks_of(points, 1, 32, "blocks", 1 << 14)
+    paths = [r["path"] for r in N.files_of(blocks).collect()]
+    table = {r["vec_id"]: r for r in points.where("vec_id = 0").collect()}
+    q = N.Queries(np.array([0]), np.array([0]), N.unpacked(table[0]["v"], 1, 16), np.array([0]), np.array([N.NONE]), np.array([N.LONG]), 5, True)
+    files = N.CandidateFiles(paths)
+    read = N.scan({16: q}, paths)
+    want = sorted(((-int(s), r["vec_id"]) for r in points.where("vec_id <> 0 AND label = 0").collect() for s in N.exact_scores(q.x, N.unpacked(r["v"], 1, 16))[0]))[:5]
+    assert list(zip((-q.scores[0]).tolist(), q.rows[0].tolist(), strict=True)) == want
+    assert len(files.groups) > 8 and read <= len(files.groups) / 2
