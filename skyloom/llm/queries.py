@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import conversations, decontaminate, embeddings, hmm, licenses, minhash, negatives, sentencepiece_nbest, sharding, toxicity, url_templates, warc
+from skyloom.llm import conversations, decontaminate, embeddings, hmm, licenses, main_text, minhash, negatives, sentencepiece_nbest, sharding, toxicity, url_templates, warc
 
 TOKENIZER = os.environ.get("SKYLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SHARDS = 40
@@ -73,6 +73,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sentencepiece_nbest,
         op11_conversation_repair,
         op12_hard_negatives,
+        op13_main_text,
     )
 }
 

@@ -1,6 +1,7 @@
 """Conversation repair, hard negatives and main texts against brute force, and their defined results on odd rows."""
 
 import hashlib
+import html
 import itertools
 import math
 import re
@@ -10,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.llm import conversations as C
+from skyloom.llm import main_text as M
 from skyloom.llm import negatives as N
+from skyloom.llm.queries import QUERIES
 
 TALK = "conv_id long, turn long, role string, text string, pos long, gone string, key string"  # names that clash with the operator's own
 
@@ -186,3 +189,79 @@ def test_windows_read_few_blocks_of_clustered_rows(spark):
     want = sorted(((-int(s), r["vec_id"]) for r in points.where("vec_id <> 0 AND label = 0").collect() for s in N.exact_scores(q.x, N.unpacked(r["v"], 1, 16))[0]))[:5]
     assert list(zip((-q.scores[0]).tolist(), q.rows[0].tolist(), strict=True)) == want
     assert len(files.groups) > 8 and read <= len(files.groups) / 2
+
+
+# ---------------------------------------------------------------- main texts
+
+
+def test_region_is_the_best_of_all():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        x = [rng.choice([-3, -1, -0.5, 0, 1, 2]) for _ in range(rng.randrange(12))]
+        sums = {(i, j): sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        first, last = M.best_region(x)
+        assert sum(x[first:last]) == max([0, *sums.values()])
+
+
+def by_template(page):
+    """The article of the tables' pages, whose markup is known: its heading, then its paragraphs."""
+    body = re.sub(r"</?b>|<br>", " ", page[page.index("<article>") + 9 : page.index("</article>")])
+    blocks = (" ".join(html.unescape(x).split()) for x in re.split(r"</?(?:p|h1)>", body))
+    return "\n\n".join(x for x in blocks if x)
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return M.learn_weights(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+
+
+def test_all_articles_are_found_whole(spark):
+    pages = {r["page_id"]: r for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()}
+    got = QUERIES["op13_main_text"](spark, "/root/testdata/sf0.1").collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert (r["url"], r["text"], r["n_chars"]) == (pages[r["page_id"]]["url"], by_template(pages[r["page_id"]]["html"]), len(r["text"]))
+
+
+def test_articles_are_found_without_their_mark(spark, learned):
+    """The weights alone find them: no page has an article element here."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    bare = [re.sub("article>", 'div class="entry">', p).replace('</div class="entry">', "</div>") for p in pages]
+    assert all("article" not in p for p in bare)
+    assert [M.extract(p, learned) for p in bare] == [by_template(p) for p in pages]
+
+
+PAGES = {
+    "": "", "no tags at all": "no tags at all", "<p>": "", "<script>var a = '<p>no</p>';</script>": "", "<!-- <p>no</p>": "",
+    "<p>a &lt; b &amp;&#233;&eacute;&nbsp;c &amp d &am</p>": "a < b &éé c & d &am",
+    "<p>One\n two<br>three <b>fo</b>ur<p>Next<div>Last": "One two three four\n\nNext\n\nLast",
+    "<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table>": "a\n\nb\n\nc d\n\ne",
+    "1 < 2 <3 and </ >x": "1 < 2 <3 and x",
+    '<p title="a > b" class=\'x\'>Text</p><p title="open>Rest</p>': "Text\n\nRest",
+    "<article><h1>T</h1><p>First words here.</p><div class=advert><p>Buy now, buy cheap!</p></div><p>End.</p></article><div id=comments><article><p>I like it very much indeed, thank you.</p></article></div>": None,
+    "<main><header><h1>T</h1></header><p>Body of it.</p><aside>Other things.</aside><form><input><label>Your name</label></form><p>End.</p><footer>Tags</footer></main><p>About us and all.</p>": "T\n\nBody of it.\n\nEnd.",
+    "<form id=all><nav><a href=x>Home</a></nav><article><h1>T</h1><p>Body.</p></article></form>": "T\n\nBody.",
+    "<header><h1>Site</h1></header><nav><a>One</a><a>Two</a></nav><div class=content><h2>Head</h2><p>Text <img src=x> of it.</p><pre><span class=comment># code</span></pre></div><div class='cookie-notice'>We use cookies</div><footer>Me</footer>": "Head\n\nText of it.\n\n# code",
+    "<p>A<select><option>x</select>B <button>press</button></p><noscript>no</noscript>": "AB",
+    "<P>Caps</P><SCRIPT>x</SCRIPT ><STYLE>y</style>": "Caps",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_pages_of_other_shapes(page, learned):
+    want = PAGES[page]
+    for weights in ({}, learned):
+        got = M.extract(page, weights)
+        assert got == want if want is not None else "First words" in got and "End." in got and "Buy" not in got and "like it" not in got
+
+
+def test_odd_pages(spark, learned):
+    deep = "<div>" * 20_000 + "deep" + "<b>" * 20_000 + "text" + "</i>" * 20_000
+    pages = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>one</p>", "y"), (2, "v", "<p>" + "word " * 300_000, "z"), (3, "w", deep, ""), (4, "w", "<a href=\"" * 20_000 + "<a " * 20_000, "")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    got = sorted(((r["page_id"] or 0, r["text"], r["n_chars"]) for r in M.main_texts(table, weights=learned).collect()), key=str)
+    assert got == sorted([(1, "", 0), (1, "", 0), (0, "one", 3), (2, ("word " * 300_000).strip(), 1_499_999), (3, "deeptext", 8), (4, "", 0)], key=str)
+    assert M.main_texts(table.limit(0)).collect() == []
+    assert M.learn_weights(table) == {}
