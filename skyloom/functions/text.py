@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyloom.operators.scans import prefix_scan
+
 #: Object type codes to the classes drawn apart.  'GNe' begins with G and is a galaxy by rule order.
 OBJECT_CLASS = [
     ("^GlC$", "glob"),
@@ -105,11 +107,10 @@ def extract_pairs(df: DataFrame, col: str, pattern: str = r"(\w+):'([^']+)'") ->
 
 
 def sectionise(df: DataFrame, group: str, order: str, header: Column, title: str, first: str | None = "hero") -> DataFrame:
-    """Rows to sections: a header opens one; rows before the first header are section 0, titled ``first``."""
-    w = Window.partitionBy(group).orderBy(order)
-    out = df.withColumn("section", F.sum(header.cast("int")).over(w))
-    name = F.first(F.col(title)).over(Window.partitionBy(group, "section").orderBy(order))
-    return out.withColumn("title", F.when(F.col("section") == 0, F.lit(first)).otherwise(name))
+    """Rows to sections: a header opens one and titles it; rows before the first header are section 0, titled ``first``."""
+    opened = F.when(header, F.struct(F.col(title).alias("title")))
+    out = prefix_scan(df, [group], [order], {"section": ("count", opened), "_opened": ("last", opened)})
+    return out.withColumn("title", F.when(F.col("section") == 0, F.lit(first)).otherwise(F.col("_opened")["title"])).drop("_opened")
 
 
 def route_sections(sections: DataFrame, group: str, rules: list[tuple[str, str]], default: str, n_tabs: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyloom.operators.scans import prefix_scan
 from skyloom.sources.shared import saved
 
 
@@ -60,8 +61,8 @@ def savings_summary(df: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def running_ranges(df: DataFrame, group: str, order: str, pct: str) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("end", F.sum(pct).over(w)).withColumn("start", F.col("end") - F.col(pct))
+    out = prefix_scan(df, [group], [order], {"end": ("sum", pct)})
+    return out.withColumn("start", F.col("end") - F.col(pct))
 
 
 def systematic_sample(df: DataFrame, group: str, order: str, caps: DataFrame) -> DataFrame:

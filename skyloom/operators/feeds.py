@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from skyloom.operators.scans import prefix_scan
+
 
 def replay_cache(requests: DataFrame, key: str, order: list[str], ts: str, ttl: str, ok: str, thrown: Column | None = None) -> DataFrame:
     """State and age of every request of every key, in order, by the key's last stored time.
@@ -47,8 +49,8 @@ def replay_cache(requests: DataFrame, key: str, order: list[str], ts: str, ttl:
 
 
 def last_good_value(df: DataFrame, key: str, order: list[str], value: str, ok: Column) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("served", F.last(F.when(ok, F.col(value)), ignorenulls=True).over(w))
+    """The last value of the key that was good, up to and with the row; a null value is none."""
+    return prefix_scan(df, [key], order, {"served": ("last", F.when(ok, F.col(value)))})
 
 
 def cache_effectiveness(replayed: DataFrame, host: str) -> DataFrame:

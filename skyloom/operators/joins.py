@@ -1,4 +1,5 @@
-"""Joins.  No dimension is forced: Spark broadcasts rules, palettes and calendars by their measured size, or else shuffles."""
+"""Joins.  Rules, palettes and calendars are broadcast once they were counted to be small; larger ones are met by equal keys,
+by cells or in a common order, never row by row."""
 
 from __future__ import annotations
 
@@ -6,6 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyloom.operators.scans import asof_join, prefix_scan
+from skyloom.sources.literal import fits, small_side
+
+#: Breakpoints up to so many are compared with every row.
+FEW = 64
+#: Parts into which dimensions too large to be broadcast are dealt.
+CELLS = 64
+
 
 def join_catalogue(ident: DataFrame, basic: DataFrame, fluxes: DataFrame, key: str, like: str, name: str) -> DataFrame:
     return ident.where(F.col(name).like(like)).join(basic, key).join(fluxes, key, "left")
@@ -13,16 +22,16 @@ def join_catalogue(ident: DataFrame, basic: DataFrame, fluxes: DataFrame, key: s
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default: object = None) -> DataFrame:
     """Value of a small dimension, or the default."""
-    out = df.join(dim.select(key, value), key, "left")
+    out = df.join(small_side(dim, key, value), key, "left")
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
 
 
 def allowlist(df: DataFrame, rules: DataFrame, key: str = "host") -> DataFrame:
-    return df.join(rules.select(key), key, "left_semi")
+    return df.join(small_side(rules, key), key, "left_semi")
 
 
 def rejected(df: DataFrame, rules: DataFrame, key: str = "host") -> DataFrame:
-    return df.join(rules.select(key), key, "left_anti")
+    return df.join(small_side(rules, key), key, "left_anti")
 
 
 def append_missing(base: DataFrame, extra: DataFrame, key: str, order: str) -> DataFrame:
@@ -44,15 +53,27 @@ def segments(breakpoints: DataFrame, key: str = "alt", by: tuple[str, ...] = ())
     return breakpoints.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in breakpoints.columns if c not in by))
 
 
-def bracket_join(obs: DataFrame, breakpoints: DataFrame, x: str, key: str = "alt") -> DataFrame:
+def brackets(breakpoints: DataFrame, key: str) -> DataFrame:
+    """``segments`` of a table of any size, without the last breakpoint's."""
+    seen = prefix_scan(breakpoints, [], [key], {"_from": ("last", F.struct(*breakpoints.columns))}, inclusive=False).where("_from IS NOT NULL")
+    return seen.select("_from.*", *(F.col(c).alias(f"next_{c}") for c in breakpoints.columns))
+
+
+def bracket_join(obs: DataFrame, breakpoints: DataFrame, x: str, key: str = "alt", few: int = FEW) -> DataFrame:
     """Each observation with the segment around its clamped x, and t in [0, 1] along it.  A breakpoint belongs to the
-    segment that ends there, but for the first."""
-    seg = segments(breakpoints, key).where(f"next_{key} IS NOT NULL")
-    ends = breakpoints.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    df = obs.crossJoin(ends).withColumn("_x", F.greatest("_lo", F.least("_hi", F.col(x))))
-    inside = ((F.col("_x") > F.col(key)) | ((F.col("_x") == F.col(key)) & (F.col(key) == F.col("_lo")))) & (F.col("_x") <= F.col(f"next_{key}"))
-    out = df.join(seg, inside)
-    return out.withColumn("t", (F.col("_x") - F.col(key)) / (F.col(f"next_{key}") - F.col(key))).drop("_x", "_lo", "_hi")
+    segment that ends there, but for the first.  A palette is broadcast; more than ``few`` breakpoints and the
+    observations are sorted as one table.  Breakpoints are distinct; fewer than two have no segments."""
+    ends = breakpoints.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    low, high = F.lit(ends["low"]), F.lit(ends["high"])
+    df = obs.withColumn("_x", F.greatest(low, F.least(high, F.col(x))))
+    if fits(breakpoints, few):
+        seg = F.broadcast(segments(breakpoints, key).where(f"next_{key} IS NOT NULL"))
+        inside = ((F.col("_x") > F.col(key)) | ((F.col("_x") == F.col(key)) & (F.col(key) == low))) & (F.col("_x") <= F.col(f"next_{key}"))
+        out = df.join(seg, inside)
+    else:
+        first = F.when(F.col(key) != low, F.col(key))  # the first segment has its own start too, so it begins before all
+        out = asof_join(df, brackets(breakpoints, key), "_x", first, strict=True).where(F.col(key).isNotNull())
+    return out.withColumn("t", (F.col("_x") - F.col(key)) / (F.col(f"next_{key}") - F.col(key))).drop("_x")
 
 
 def event_proximity(days: Column) -> Column:
@@ -74,16 +95,30 @@ def event_proximity_join(now: DataFrame, events: DataFrame, key: str, now_ts: st
 
 
 def calendar_window_join(df: DataFrame, windows: DataFrame, ts: str) -> DataFrame:
-    """Rows within month-day windows (md_start, md_end), which may go over the year's end."""
-    md = F.month(ts) * 100 + F.dayofmonth(ts)
-    inside = F.when(F.col("md_start") <= F.col("md_end"), md.between(F.col("md_start"), F.col("md_end"))).otherwise((md >= F.col("md_start")) | (md <= F.col("md_end")))
-    return df.join(windows, inside)
+    """Rows within month-day windows (md_start, md_end), which may go over the year's end.
+
+    A window stands once for every day of the year that it holds, so rows meet it by equality.
+    """
+    days = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: m * 100 + d)))
+    start, end = F.col("md_start"), F.col("md_end")
+    held = F.filter(days, lambda md: F.when(start <= end, md.between(start, end)).otherwise((md >= start) | (md <= end)))
+    cells = windows.withColumn("_md", F.explode(held))
+    cells = F.broadcast(cells) if fits(windows, 1_000) else cells  # 372 days a window at most
+    return df.withColumn("_md", F.month(ts) * 100 + F.dayofmonth(ts)).join(cells, "_md").drop("_md")
 
 
 def observation_grid(positions: DataFrame, *dimensions: DataFrame) -> DataFrame:
-    """Every row of positions for every row of each dimension: bodies, observers.  Spark broadcasts those that are small."""
+    """Every row of positions for every row of each dimension: bodies, observers.
+
+    A dimension that was counted to be small is broadcast.  A larger one is dealt into cells, and every row of positions
+    goes to each of them.
+    """
     for dim in dimensions:
-        positions = positions.crossJoin(dim)
+        if fits(dim):
+            positions = positions.crossJoin(F.broadcast(dim))
+        else:
+            cells = dim.withColumn("_cell", F.pmod(F.xxhash64(*dim.columns), F.lit(CELLS)).cast("int"))
+            positions = positions.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))).join(cells, "_cell").drop("_cell")
     return positions
 
 
@@ -102,5 +137,5 @@ def drift_check(old: DataFrame, new: DataFrame, key: str, value: str, tolerance:
 
 def licence_gate(images: DataFrame, policy: DataFrame, key: str = "source") -> DataFrame:
     """Images with their licence; share-alike ones are rejected where derivatives are made of them."""
-    out = images.join(policy, key, "left")
+    out = images.join(small_side(policy), key, "left")
     return out.withColumn("accepted", F.coalesce(~(F.col("share_alike") & F.col("derived")), F.lit(False)))

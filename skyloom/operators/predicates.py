@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.sources.literal import small_side
+
 
 def js_round(x: Column) -> Column:
     """Half up, also below zero: -2.5 gives -2."""
@@ -64,7 +66,7 @@ def admit_requests(df: DataFrame, rules: DataFrame, method: str = "method", url:
     u = F.coalesce(url, F.lit(""))
     scheme = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
-    known = rules.select(F.col("host"), F.lit(True).alias("known"))
+    known = small_side(rules, "host").withColumn("known", F.lit(True))
     out = df.withColumns({"host": host, "scheme": scheme}).join(known, "host", "left")
     outcome = (
         F.when(F.col(method) == "OPTIONS", "preflight")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators.joins import observation_grid
+from skyloom.sources.literal import literal_table
 
 #: Node, inclination, perihelion, axis, eccentricity, anomaly, each at the epoch and per day.
 ELEMENTS = {
@@ -59,7 +60,7 @@ def with_julian_day(df: DataFrame, ts: str) -> DataFrame:
 
 def elements_table(spark: SparkSession, bodies: dict[str, tuple] | None = None) -> DataFrame:
     cols = ", ".join(f"{n}0 double, {n}1 double" for n in NAMES)
-    return spark.createDataFrame([(b, *e) for b, e in (bodies or ELEMENTS).items()], f"body string, {cols}")
+    return literal_table(spark, [(b, *map(float, e)) for b, e in (bodies or ELEMENTS).items()], f"body string, {cols}")
 
 
 def solve_orbit(df: DataFrame, prefix: str = "") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.sources.literal import literal_table
 from skyloom.sources.shared import folder, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small dimension, as rows of a literal table."""
-    return spark.createDataFrame(rows, schema)
+    return literal_table(spark, rows, schema)
 
 
 def sql_values(rows: list[tuple], name: str, cols: str) -> str:
