@@ -243,3 +243,14 @@ def test_quiet_hours_over_midnight(spark):
     df = spark.createDataFrame([(23,), (6,), (7,), (12,)], "h int")
     assert [r[0] for r in df.select(feeds.in_quiet_hours(F.col("h"), F.lit(22), F.lit(7))).collect()] == [True, True, False, False]
     assert not df.select(feeds.in_quiet_hours(F.col("h"), F.lit(7), F.lit(7)).alias("q")).where("q").count()
+
+
+def test_gradient_computed_by_hand(spark):
+    """At a breakpoint of the palette: a clear day leaves its colours; snow of 1 blends by 0.5 towards its four targets."""
+    from skyloom.operators.colour import sky_gradient
+    from skyloom.plans.sky import PAL_SCHEMA, PALETTE
+
+    obs = "id int, sun_alt double, evening boolean, cl double, cm double, ch double, rh double, vis_m double, pr double, sn double"
+    rows = [(1, 10.0, False, *[None] * 7), (2, 10.0, None, 0.0, 0.0, 0.0, 50.0, 30000.0, 0.0, 1.0)]
+    got = {r["id"]: (r["sky0"], r["sky1"], r["sky2"], r["sky3"]) for r in sky_gradient(spark.createDataFrame(rows, obs), spark.createDataFrame(PALETTE, PAL_SCHEMA)).collect()}
+    assert got == {1: ("#2f6cc0", "#5a92d6", "#93bce6", "#d4e2ee"), 2: ("#446a9c", "#6285af", "#87a2bf", "#aeb9c7")}
