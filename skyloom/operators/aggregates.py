@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyloom.operators.components import TILE, cell_components
 from skyloom.operators.scans import prefix_scan
 from skyloom.sources.shared import saved
 
@@ -119,23 +120,14 @@ def union_groups(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def components_of_cells(cells: DataFrame, threshold: int, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """4-neighbour components of the cells brighter than the threshold: image, x, y, comp (smallest cell number).
+def components_of_cells(cells: DataFrame, threshold: int, link: Callable[[DataFrame], DataFrame], side: int = TILE) -> DataFrame:
+    """4-neighbour components of the cells brighter than the threshold: image_id, x, y, lum, comp (smallest cell number).
 
-    ``link`` finds the components of (a, b) links.  Cells are numbered by (y, x) within 2^20 columns; a node is an
-    image with a cell of it.
+    ``link`` finds the components of (a, b) links.  Cells are numbered by (y, x) within 2^20 columns; those without a place
+    are none.
     """
-    on = cells.where(F.col("lum") > threshold).withColumn("cell", F.col("y").cast("long") * (1 << 20) + F.col("x"))
-    on = on.withColumn("node", F.struct("image_id", "cell"))
-    pairs = None
-    for dx, dy in ((1, 0), (0, 1)):
-        here = on.select("image_id", F.col("x"), F.col("y"), F.col("node").alias("a"))
-        there = on.select("image_id", (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("node").alias("b"))
-        p = here.join(there, ["image_id", "x", "y"]).select("a", "b")
-        pairs = p if pairs is None else pairs.union(p)
-    roots = link(pairs)
-    out = on.join(roots, "node", "left").withColumn("comp", F.coalesce(F.col("root.cell"), F.col("cell")))
-    return out.select("image_id", "x", "y", "lum", "comp")
+    on = cells.where((F.col("lum") > threshold) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    return cell_components(on.withColumn("cell", F.col("y").cast("long") * (1 << 20) + F.col("x")), link, side)
 
 
 def component_bbox(labelled: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Edge cases on tiny tables."""
 
+import collections
 import datetime
 import math
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +257,41 @@ def test_gradient_computed_by_hand(spark):
     rows = [(1, 10.0, False, *[None] * 7), (2, 10.0, None, 0.0, 0.0, 0.0, 50.0, 30000.0, 0.0, 1.0)]
     got = {r["id"]: (r["sky0"], r["sky1"], r["sky2"], r["sky3"]) for r in sky_gradient(spark.createDataFrame(rows, obs), spark.createDataFrame(PALETTE, PAL_SCHEMA)).collect()}
     assert got == {1: ("#2f6cc0", "#5a92d6", "#93bce6", "#d4e2ee"), 2: ("#446a9c", "#6285af", "#87a2bf", "#aeb9c7")}
+
+
+@pytest.mark.parametrize("side", [4, 7, 256])
+def test_components_over_tile_borders(spark, side):
+    """Random cells of two images, with repeated rows and negative places, against a flood fill; rounds follow tiles."""
+    rng = random.Random(side)
+    cells = [(img, x, y, 20 if rng.random() < 0.58 else 10) for img in ("a", "b") for x in range(-5, 30) for y in range(-3, 22)]
+    cells += cells[:50] + [("a", None, 3, 99)]
+    on = {c[:3] for c in cells if c[3] > 18 and c[1] is not None}
+    want, seen = collections.Counter(), set()
+    for cell in on:
+        if cell in seen:
+            continue
+        group, todo = set(), [cell]
+        while todo:
+            c = todo.pop()
+            if c in on and c not in group:
+                group.add(c)
+                todo += [(c[0], c[1] + dx, c[2] + dy) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+        seen |= group
+        want[frozenset(group)] += 1
+    rounds = []
+    got = A.components_of_cells(spark.createDataFrame(cells, "image_id string, x int, y int, lum int").repartition(3), 18, lambda p: rounds.append(p.count()) or link_components(p), side).collect()
+    found = collections.defaultdict(set)
+    for r in got:
+        found[r["image_id"], r["comp"]].add((r["image_id"], r["x"], r["y"]))
+    assert collections.Counter(frozenset(v) for v in found.values()) == want
+    assert len(got) == sum(c[3] > 18 and c[1] is not None for c in cells)
+    assert side < 256 or rounds == [] or rounds[0] < 60
+
+
+def test_a_snake_is_one_component_of_its_tile():
+    from skyloom.operators.components import grid_labels
+
+    side = 64
+    snake = [(x, y) for y in range(side) for x in range(side) if y % 2 == 0 or x == (side - 1 if y % 4 == 1 else 0)]
+    x, y = (np.array(v) for v in zip(*snake, strict=True))
+    assert set(grid_labels(np.zeros(len(x), int), x, y, side)) == {0}
