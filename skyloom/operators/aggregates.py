@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyloom.operators.components import TILE, cell_components
 from skyloom.operators.scans import prefix_scan
-from skyloom.sources.shared import saved
+from skyloom.sources.shared import discard, saved
 
 
 def totals_by_group(df: DataFrame, group: str) -> DataFrame:
@@ -44,11 +44,15 @@ def collect_ordered_nested(df: DataFrame, ident: str, seg: str, pos: str, values
 
 
 def require_rows(df: DataFrame, least: int) -> DataFrame:
-    """The table itself, or an error if it has fewer rows: a gate ahead of a sink."""
-    found = df.limit(least).count()
+    """The table saved, or an error if it has fewer rows: a gate ahead of a sink.  Rows are counted as they are written, so
+    the plan runs once.  (A sink of generations has a gate of its own.)"""
+    seen = Observation()
+    out = saved(df.observe(seen, F.count(F.lit(1)).alias("rows")), "gated")
+    found = seen.get["rows"]
     if found < least:
+        discard(out)
         raise ValueError(f"{found} rows; {least} are needed")
-    return df
+    return out
 
 
 def dedupe_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:

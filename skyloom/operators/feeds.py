@@ -12,17 +12,93 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from skyloom.operators.scans import prefix_scan
+from skyloom.sources.shared import discard, saved, settled
 
 
-def replay_cache(requests: DataFrame, key: str, order: list[str], ts: str, ttl: str, ok: str, thrown: Column | None = None) -> DataFrame:
+#: Keys of more requests than this are many tasks' work; others pass through one each.
+HOT_ROWS = 1_000_000
+
+
+def replay_cache(requests: DataFrame, key: str, order: list[str], ts: str, ttl: str, ok: str, thrown: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """State and age of every request of every key, in order, by the key's last stored time.
 
-    A stored copy younger than the ttl is a HIT and stores nothing.  Else the feed is fetched: a success stores, as
-    REVALIDATED or, the first time, as MISS; a failure serves the stored copy as STALE-ERR; without one it is MISS-ERR,
-    or has no label where the fetch itself threw.  Times are seconds.  A key's requests pass in order through one task,
-    which carries the stored time only; rows leave as they come.
+    A stored copy younger than the request's ttl is a HIT and stores nothing.  Else the feed is fetched: a success stores,
+    as REVALIDATED or, the first time, as MISS; a failure serves the stored copy as STALE-ERR; without one it is MISS-ERR,
+    or has no label where the fetch itself threw.  Times are seconds, and the order is theirs.  A request without a time
+    comes first and leaves no copy; one without a ttl, or none above zero, is never a HIT.
+
+    The history of a key of up to ``hot_rows`` requests passes in order through one task; that of a larger one is cut into
+    slices of many tasks, and what is stored when is found by pointers from each success to the one that would store next.
     """
     thrown = F.lit(False) if thrown is None else thrown
+    counts = requests.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(key)
+    hot = [r[0] for r in counts.limit(1_001).collect()]
+    if not hot:
+        return fold_replay(requests, key, order, ts, ttl, ok, thrown)
+    if len(hot) <= 1_000:  # so few are named in the plan; more are met by a join
+        named = F.coalesce(F.col(key).isin([k for k in hot if k is not None]), F.lit(False)) | (F.col(key).isNull() & F.lit(None in hot))
+        large, small = requests.where(named), requests.where(~named)
+    else:
+        large = requests.join(counts.withColumnRenamed(key, "_hot"), F.col(key).eqNullSafe(F.col("_hot")), "left_semi")
+        small = requests.join(counts.withColumnRenamed(key, "_hot"), F.col(key).eqNullSafe(F.col("_hot")), "left_anti")
+    return fold_replay(small, key, order, ts, ttl, ok, thrown).unionByName(pointer_replay(large, key, order, ts, ttl, ok, thrown))
+
+
+def pointer_replay(requests: DataFrame, key: str, order: list[str], ts: str, ttl: str, ok: str, thrown: Column, slices: int | None = None) -> DataFrame:
+    """``replay_cache`` of long histories.
+
+    After a copy of time s, the next success to store is the first one with time - ttl >= s.  As a running maximum of
+    time - ttl never falls, that is a join to the nearest of an order.  The successes that do store are those that the
+    pointers reach from a key's first one: after n rounds those within 2^n steps are known.  A success that is never a HIT
+    stores whatever came before, so the history after it starts anew.
+    """
+    names = requests.columns
+    t, life = F.col(ts).cast("double"), F.coalesce(F.col(ttl).cast("double"), F.lit(0.0))
+    good = F.coalesce(F.col(ok).cast("boolean"), F.lit(False))
+    rows = requests.select(*names, F.col(key).alias("_key"), t.alias("_t"), life.alias("_life"), good.alias("_good"), thrown.alias("_thrown"))
+    timed = F.col("_t").isNotNull()
+    always = timed & F.col("_good") & (F.col("_life") <= 0)
+    numbered = prefix_scan(rows, ["_key"], order, {"_place": ("count", F.lit(1)), "_part": ("count", F.when(always, 1))}, slices=slices)
+    numbered = settled(numbered, numbered, "history")
+
+    part = ["_key", "_part"]
+    stores = numbered.where(timed & F.col("_good")).select(*part, "_place", "_t", F.when(F.col("_life") > 0, F.col("_t") - F.col("_life")).alias("_from"))
+    stores = prefix_scan(stores, part, ["_place"], {"_reach": ("max", "_from")}, slices=slices)
+    stores = settled(stores, stores, "stores")
+    # In falling order of time: a pointer is the last success seen, that is the first in time of those that reach so far.
+    seen = stores.where("_from IS NOT NULL").select(*part, (-F.col("_reach")).alias("_at"), F.lit(0).alias("_kind"), (-F.col("_place")).alias("_back"), F.col("_place").alias("_next"))
+    asks = stores.select(*part, (-F.col("_t")).alias("_at"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_back"), F.lit(None).cast("long").alias("_next"), "_place")
+    links = prefix_scan(seen.withColumn("_place", F.lit(None).cast("long")).unionByName(asks), part, ["_at", "_kind", "_back"], {"_to": ("last", "_next")}, slices=slices)
+    ahead = F.when(F.col("_to") > F.col("_place"), F.col("_to"))
+    jumps = settled(links.where("_place IS NOT NULL").select(*part, "_place", ahead.alias("_to")), links, "jumps")
+
+    same = lambda a, b: F.col(f"{a}._key").eqNullSafe(F.col(f"{b}._key")) & (F.col(f"{a}._part") == F.col(f"{b}._part"))
+    reached = saved(stores.groupBy(*part).agg(F.min("_place").alias("_place")), "reached")
+    while True:
+        new = reached.alias("r").join(jumps.where("_to IS NOT NULL").alias("j"), same("r", "j") & (F.col("r._place") == F.col("j._place"))).select("r._key", "r._part", F.col("j._to").alias("_place"))
+        new = saved(new, "reached")
+        if new.isEmpty():
+            break
+        more = saved(reached.union(new), "reached")
+        farther = jumps.alias("a").join(jumps.alias("b"), same("a", "b") & (F.col("a._to") == F.col("b._place")), "left").select("a._key", "a._part", "a._place", "b._to")
+        farther = saved(farther, "jumps")
+        discard(reached, new, jumps)
+        reached, jumps = more, farther
+
+    marks = reached.select(F.col("_key").alias("_k"), F.col("_place").alias("_p"), F.lit(True).alias("_stores"))
+    marked = numbered.join(marks, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_place") == F.col("_p")), "left")
+    told = prefix_scan(marked, ["_key"], ["_place"], {"_stored": ("last", F.when(F.col("_stores"), F.col("_t")))}, inclusive=False, slices=slices)
+    past = F.col("_t") - F.col("_stored")
+    hit = F.coalesce(timed & (past >= 0) & (past < F.col("_life")), F.lit(False))
+    state = F.when(hit, "HIT").when(F.col("_good"), F.when(F.col("_stored").isNull(), "MISS").otherwise("REVALIDATED"))
+    state = state.when(F.col("_stored").isNotNull(), "STALE-ERR").when(F.col("_thrown") == F.lit(False), "MISS-ERR")
+    age = F.when(hit, F.floor(past).cast("double")).when(F.col("_good"), 0.0)
+    return told.select(*names, state.alias("state"), age.alias("age"))
+
+
+def fold_replay(requests: DataFrame, key: str, order: list[str], ts: str, ttl: str, ok: str, thrown: Column) -> DataFrame:
+    """``replay_cache`` of histories that one task may hold in order; it carries the stored time only, and rows leave as
+    they come."""
     names = requests.columns
     inputs = [F.col(key).alias("_key"), F.col(ts).cast("double").alias("_t"), F.col(ttl).cast("double").alias("_ttl"), F.col(ok).alias("_ok"), thrown.alias("_thrown")]
     rows = requests.select(*names, *inputs).repartition(key).sortWithinPartitions(key, *order)

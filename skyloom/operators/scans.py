@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyloom.sources.shared import saved
+from skyloom.sources.shared import needs, saved
 
 FOLDS = {
     "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
@@ -58,7 +58,7 @@ def prefix_scan(df: DataFrame, group: list[str], order: list[str | Column], carr
         same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
     # A group that a slice continues is the first of that slice, so no slice has two: a row a slice.
     out = cut.withColumns(here).join(F.broadcast(carried), same, "left").withColumns(joined)
-    return out.select(*(c for c in df.columns if c not in carries), *carries)
+    return needs(out.select(*(c for c in df.columns if c not in carries), *carries), cut)
 
 
 def asof_join(rows: DataFrame, marks: DataFrame, at: str | Column, mark_at: str | Column, by: tuple[str, ...] = (), *, strict: bool = False, slices: int | None = None) -> DataFrame:

@@ -33,6 +33,12 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
     return G.replay_cache(req(spark, d), "user_id", ["ts", "event_id"], "t", "ttl", "ok").select("user_id", "event_id", "state", "age")
 
 
+@query("g1_replay_of_hot_keys", REPLAY_SQL + "SELECT user_id, event_id, state, age FROM f")
+def g1h(spark: SparkSession, d: str) -> DataFrame:
+    """The same by pointers, with every key taken for a hot one."""
+    return G.replay_cache(req(spark, d), "user_id", ["ts", "event_id"], "t", "ttl", "ok", hot_rows=0).select("user_id", "event_id", "state", "age")
+
+
 @query("g3_cache_effectiveness", REPLAY_SQL + "SELECT user_id % 10 AS host, state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id % 10), 6) AS share FROM f GROUP BY 1, 2")
 def g3(spark: SparkSession, d: str) -> DataFrame:
     r = G.replay_cache(req(spark, d), "user_id", ["ts", "event_id"], "t", "ttl", "ok").withColumn("host", F.col("user_id") % 10)

@@ -95,12 +95,27 @@ def s5(spark: SparkSession, d: str) -> DataFrame:
 @query("s6_snapshot", "SELECT 'part' AS name, count(*) AS n, '2026-08-22 02:05Z' AS stamp FROM part UNION ALL SELECT 'supplier', count(*), '2026-08-22 02:05Z' FROM supplier")
 def s6(spark: SparkSession, d: str) -> DataFrame:
     ts = F.lit("2026-08-22 02:05:40").cast("timestamp")
-    named = {n: S.stamp_snapshot(A.require_rows(table(spark, d, n), 1), ts) for n in ("part", "supplier")}
-    paths = S.write_snapshot(named, landing(spark), "20260822T0205Z")
-    out = A.union_groups({n: spark.read.parquet(p).select("stamp") for n, p in paths.items()})
+    path = landing(spark)
+    S.write_snapshot({n: S.stamp_snapshot(table(spark, d, n), ts) for n in ("part", "supplier")}, path, "20260822T0205Z", least=1)
+    out = A.union_groups({n: S.read_snapshot(spark, path, n).select("stamp") for n in ("part", "supplier")})
     return out.groupBy(F.col("group").alias("name"), "stamp").agg(F.count("*").alias("n"))
 
 
+@query("a9_gated_publish", "SELECT 'old' AS generation, (SELECT count(*) FROM part) AS parts, count(*) AS suppliers FROM supplier")
+def a9(spark: SparkSession, d: str) -> DataFrame:
+    """A second generation whose suppliers are too few is not published: readers keep the first one, both tables of it."""
+    path = landing(spark)
+    tables = {n: table(spark, d, n).withColumn("generation", F.lit("old")) for n in ("part", "supplier")}
+    rows = S.write_snapshot(tables, path, "1", least=1)
+    fewer = {"part": tables["part"].withColumn("generation", F.lit("new")), "supplier": tables["supplier"].where("s_suppkey % 2 = 0").withColumn("generation", F.lit("new"))}
+    try:
+        S.write_snapshot(fewer, path, "2", least=rows)
+    except ValueError:
+        pass
+    of = {n: S.read_snapshot(spark, path, n).groupBy("generation").agg(F.count("*").alias(f"{n}s")) for n in tables}
+    return of["part"].join(of["supplier"], "generation")
+
+
 @query("s8_positional_records", "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderstatus END AS status FROM orders")
 def s8(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("status"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from skyloom.sources.shared import open_store
+from skyloom.sources.shared import folder, open_store
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -17,11 +20,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
-def land_texts(files: DataFrame, folder: str) -> int:
+def land_texts(files: DataFrame, into: str) -> int:
     """Writes each row of (name, value) as a file of that name; a second attempt writes the same again.  Returns how many."""
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = open_store(folder)
+        store, base = open_store(into)
         store.create_dir(base, recursive=True)
         for batch in rows:
             for name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -84,13 +87,65 @@ def stamp_snapshot(df: DataFrame, ts: Column) -> DataFrame:
     return df.withColumn("stamp", F.date_format(ts, "yyyy-MM-dd HH:mm'Z'"))
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str, stamp: str, fmt: str = "parquet") -> dict[str, str]:
-    """Several named tables as one generation: <path>/<stamp>/<name>."""
-    out = {}
-    for name, df in tables.items():
-        out[name] = f"{path.rstrip('/')}/{stamp}/{name}"
-        df.write.mode("overwrite").format(fmt).save(out[name])
-    return out
+CURRENT = "CURRENT"
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole: written beside its place and renamed over it."""
+    fs, where = folder(spark, path)
+    beside = where.suffix(f".{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm, files = spark._jvm, spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(where), over)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if there is none."""
+    return spark.read.text(path, wholetext=True).first()[0] if path_exists(spark, path) else None
+
+
+def write_snapshot(tables: dict[str, DataFrame], path: str, stamp: str, fmt: str = "parquet", least: int | dict[str, int] = 0) -> dict[str, int]:
+    """Several named tables as one generation, seen by readers as a whole or not at all.  Returns their rows.
+
+    All tables are staged in a folder of the generation's own, each by one job that counts its rows as it writes them.  A
+    manifest names them; then one small file, CURRENT, is replaced and points to it.  A run that fails or is killed before
+    that, or a table of fewer rows than ``least`` (in all, or by name), leaves the generation before in place.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    base = path.rstrip("/")
+    name_of_run = f"{stamp}-{uuid.uuid4().hex[:12]}"
+    staged = f"{base}/generations/{name_of_run}"
+    rows = {}
+    try:
+        for name, df in tables.items():
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).save(f"{staged}/{name}")
+            rows[name] = seen.get["rows"]
+            needed = least if isinstance(least, int) else least.get(name, 0)
+            if rows[name] < needed:
+                raise ValueError(f"{name} has {rows[name]} rows; {needed} are needed")
+    except Exception:
+        fs, where = folder(spark, staged)
+        fs.delete(where, True)
+        raise
+    schemas = {name: df.schema.json() for name, df in tables.items()}
+    put_text(spark, f"{staged}/manifest.json", json.dumps({"stamp": stamp, "format": fmt, "rows": rows, "schemas": schemas}))
+    put_text(spark, f"{base}/{CURRENT}", name_of_run)
+    return rows
+
+
+def read_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the generation that CURRENT names now; the files of a generation never change."""
+    base = path.rstrip("/")
+    run = get_text(spark, f"{base}/{CURRENT}")
+    if run is None:
+        raise ValueError(f"nothing is published at {path}")
+    told = json.loads(get_text(spark, f"{base}/generations/{run}/manifest.json"))
+    return spark.read.format(told["format"]).schema(StructType.fromJson(json.loads(told["schemas"][name]))).load(f"{base}/generations/{run}/{name}")
 
 
 def to_positional(df: DataFrame, cols: list[str], out: str = "record") -> DataFrame:

@@ -295,3 +295,78 @@ def test_a_snake_is_one_component_of_its_tile():
     snake = [(x, y) for y in range(side) for x in range(side) if y % 2 == 0 or x == (side - 1 if y % 4 == 1 else 0)]
     x, y = (np.array(v) for v in zip(*snake, strict=True))
     assert set(grid_labels(np.zeros(len(x), int), x, y, side)) == {0}
+
+
+REQUEST = "k string, id int, t double, ttl double, ok boolean, threw boolean, state0 int"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pointers_replay_as_the_fold_does(spark, seed):
+    """One hot key and a null one: ttls that vary, some null, zero or below; times that tie or are missing."""
+    rng = random.Random(seed)
+    rows, t = [], 0.0
+    for i in range(600):
+        t += rng.choice([0, 1, 1, 2, 5, 30])
+        time = None if i % 97 == 0 else t
+        rows.append((rng.choice(["hot", "hot", "hot", None, "few"]), i, time, rng.choice([10.0] * 8 + [3.0, 50.0, None, 0.0, -1.0]), rng.random() < 0.7 or (None if rng.random() < 0.2 else False), rng.choice([True, False, None]), 0))
+    df = spark.createDataFrame(rows, REQUEST)
+    run = lambda n: {r["id"]: (r["state"], r["age"]) for r in feeds.replay_cache(df, "k", ["t", "id"], "t", "ttl", "ok", F.col("threw"), hot_rows=n).collect()}
+    want = run(1_000)
+    assert run(50) == want and run(0) == want and len(want) == 600
+    assert {s for s, _ in want.values()} == {"HIT", "MISS", "REVALIDATED", "STALE-ERR", "MISS-ERR", None}
+
+
+def test_one_hot_url_is_many_tasks(spark):
+    df = spark.range(200_000).select(F.lit("one").alias("k"), F.col("id"), (F.col("id") * 7 % 13 + F.col("id") * 10).cast("double").alias("t"), F.lit(300.0).alias("ttl"), (F.col("id") % 11 != 0).alias("ok"))
+    out = feeds.replay_cache(df, "k", ["t", "id"], "t", "ttl", "ok", hot_rows=1_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 2 and max(sizes) < 150_000
+    whole = feeds.replay_cache(df, "k", ["t", "id"], "t", "ttl", "ok")
+    assert out.exceptAll(whole).isEmpty() and out.count() == 200_000
+
+
+def test_a_generation_appears_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    from skyloom.sources import landed as S
+
+    path = f"file://{tmp_path}/snap"
+    a, b = spark.range(10).toDF("a"), spark.range(4).toDF("b")
+    with pytest.raises(ValueError, match="nothing is published"):
+        S.read_snapshot(spark, path, "a")
+    assert S.write_snapshot({"a": a, "b": b}, path, "1", least={"a": 10}) == {"a": 10, "b": 4}
+    counts = lambda: (S.read_snapshot(spark, path, "a").count(), S.read_snapshot(spark, path, "b").count())
+    held = S.read_snapshot(spark, path, "a")
+    with pytest.raises(ValueError, match="b has 4 rows; 5 are needed"):
+        S.write_snapshot({"a": a.union(a), "b": b}, path, "2", least={"b": 5})
+    with pytest.raises(Exception, match="(?i)zero"):
+        S.write_snapshot({"a": a.union(a), "b": b.selectExpr("1 / (b - 2) AS b")}, path, "2")
+    assert counts() == (10, 4) and len(list(tmp_path.glob("snap/generations/*"))) == 1
+    put = S.put_text
+
+    def killed(spark, where, text):
+        if where.endswith(S.CURRENT):
+            raise KeyboardInterrupt
+        put(spark, where, text)
+
+    monkeypatch.setattr(S, "put_text", killed)
+    with pytest.raises(KeyboardInterrupt):
+        S.write_snapshot({"a": a.union(a), "b": b.union(b)}, path, "2")
+    assert counts() == (10, 4)
+    monkeypatch.setattr(S, "put_text", put)
+    S.write_snapshot({"a": a.union(a), "b": b.union(b)}, path, "2")
+    assert counts() == (20, 8) and held.count() == 10
+
+
+def test_the_gate_runs_the_plan_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    assert A.require_rows(spark.range(50).mapInArrow(count, "id long"), 50).count() == 50
+    assert ran.value == 50
