@@ -124,9 +124,13 @@ def fold_replay(requests: DataFrame, key: str, order: list[str], ts: str, ttl: s
     return rows.mapInArrow(replay, StructType(list(requests.schema.fields)).add("state", "string").add("age", "double"))
 
 
-def last_good_value(df: DataFrame, key: str, order: list[str], value: str, ok: Column) -> DataFrame:
-    """The last value of the key that was good, up to and with the row; a null value is none."""
-    return prefix_scan(df, [key], order, {"served": ("last", F.when(ok, F.col(value)))})
+def last_good_value(df: DataFrame, key: str, order: list[str], value: str, ok: Column, at: Column | None = None, keep_seconds: float | None = None) -> DataFrame:
+    """The last value of the key that was good, up to and with the row; a null value is none.  With ``at`` (seconds), one
+    of ``keep_seconds`` before the row or more is forgotten."""
+    good = F.when(ok & F.col(value).isNotNull(), F.struct(F.col(value).alias("value"), (F.lit(0.0) if at is None else at).alias("at")))
+    out = prefix_scan(df, [key], order, {"_good": ("last", good)})
+    fresh = F.lit(True) if at is None else at - F.col("_good.at") < keep_seconds
+    return out.withColumn("served", F.when(fresh, F.col("_good.value"))).drop("_good")
 
 
 def cache_effectiveness(replayed: DataFrame, host: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from skyloom.operators import feeds as G
 from skyloom.operators.joins import fan_out, observation_grid
 from skyloom.plans.base import landing, query, table
-from skyloom.streaming.feeds import deliver_once_stream, poll_feed_stream, replay_cache_stream, write_unsent
+from skyloom.streaming.feeds import deliver_once_stream, last_good_value_stream, poll_feed_stream, replay_cache_stream, tumbling_counts, write_unsent
+from skyloom.streaming.upserts import subscription_changes, upsert_batch, upserted
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 REPLAY_SQL = """WITH RECURSIVE q AS (SELECT user_id, event_id, epoch(ts) AS t, 10800.0 * (1 + user_id % 5) AS ttl, event_type <> 'error' AS ok,
@@ -117,6 +120,18 @@ def drain(stream: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """With the RocksDB state store."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 @query("s9_poll_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def s9(spark: SparkSession, d: str) -> DataFrame:
     return drain(poll_feed_stream(spark, d, EVENTS, "events.parquet").select("event_type"), spark).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -138,13 +153,90 @@ def g1s(spark: SparkSession, d: str) -> DataFrame:
         F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
         (10800.0 * (1 + F.col("user_id") % 5)).cast("double").alias("ttl"), (F.col("event_type") != "error").alias("ok"),
     )
-    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, store)
-    try:
+    with rocks(spark):
         return drain(replay_cache_stream(requests), spark).select(F.col("id").alias("event_id"), "state", "age")
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+BATCHES = 6
+
+
+def arrivals(hours: int) -> str:
+    """Events land in six batches by their time; one in seven comes two batches late.  A row is late if it lies behind the
+    mark that the batch before its own ran with: the latest time of the batches before that one, less the delay."""
+    return f"""ends AS (SELECT min(epoch_us(ts)) AS lo, (max(epoch_us(ts)) - min(epoch_us(ts))) // {BATCHES} + 1 AS step FROM events),
+landed AS (SELECT *, least({BATCHES - 1}, (epoch_us(ts) - lo) // step + CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END) AS batch FROM events, ends),
+marks AS (SELECT n AS batch, (SELECT max(ts) FROM landed WHERE landed.batch < n - 1) - INTERVAL {hours} HOUR AS mark FROM range({BATCHES + 2}) b(n)),
+arrived AS (SELECT landed.*, coalesce(mark, TIMESTAMP '1970-01-01') AS mark FROM landed JOIN marks USING (batch))"""
+
+
+def land_in_batches(spark: SparkSession, d: str, late: bool = True) -> str:
+    """A folder where events have landed batch after batch, a file each."""
+    path = landing(spark)
+    e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    ends = e.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
+    step = (ends["hi"] - ends["lo"]) // BATCHES + 1
+    batch = F.floor((F.col("us") - ends["lo"]) / step) + (F.when(F.col("event_id") % 7 == 0, 2).otherwise(0) if late else F.lit(0))
+    e = e.withColumn("batch", F.least(batch, F.lit(BATCHES - 1)))
+    for n in range(BATCHES):
+        e.where(F.col("batch") == n).drop("batch", "us").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def landed_stream(spark: SparkSession, path: str) -> DataFrame:
+    return poll_feed_stream(spark, path, EVENTS, "*.parquet", files_per_batch=1).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    "s9_counts_over_batches",
+    f"WITH {arrivals(12)} SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM arrived WHERE date_trunc('day', ts) + INTERVAL 1 DAY > mark"
+    f" AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(mark) FROM marks) GROUP BY 1, 2",
+)
+def s9b(spark: SparkSession, d: str) -> DataFrame:
+    """Six batches: a day's counts come when the watermark has passed it; rows of days that it has passed are late."""
+    counts = tumbling_counts(landed_stream(spark, land_in_batches(spark, d)), "ts", "1 day", ["event_type"], "12 hours")
+    return drain(counts, spark).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("g4_deliver_over_batches", f"WITH {arrivals(36)} SELECT DISTINCT user_id AS sub_id, regexp_extract(props, '([0-9]+)', 1) AS alert_id, ts::DATE AS day FROM arrived WHERE ts > mark")
+def g4b(spark: SparkSession, d: str) -> DataFrame:
+    """Six batches: each (subscription, alert, day) once, by its first row that is not behind the watermark.
+    The delay is longer than a day, so a key's state outlives its day."""
+    a = landed_stream(spark, land_in_batches(spark, d)).select(F.col("user_id").alias("sub_id"), F.regexp_extract("props", "([0-9]+)", 1).alias("alert_id"), F.to_date("ts").alias("day"), "ts")
+    return drain(deliver_once_stream(a, ["sub_id", "alert_id", "day"], "ts", "36 hours").select("sub_id", "alert_id", "day"), spark)
+
+
+KEPT_SQL = """SELECT event_id, CASE WHEN ts - good_ts < INTERVAL 1 DAY THEN good END AS served FROM (SELECT event_id, ts,
+  last_value(CASE WHEN event_type <> 'error' THEN value END IGNORE NULLS) OVER w AS good, max(CASE WHEN event_type <> 'error' AND value IS NOT NULL THEN ts END) OVER w AS good_ts
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("g2_last_good_within_a_day", KEPT_SQL)
+def g2k(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return G.last_good_value(e, "user_id", ["ts", "event_id"], "value", F.col("event_type") != "error", F.col("t"), 86_400).select("event_id", "served")
+
+
+@query("g2_last_good_stream", KEPT_SQL)
+def g2s(spark: SparkSession, d: str) -> DataFrame:
+    """Six batches in time order; a key's value goes a day after it, by a timer."""
+    e = landed_stream(spark, land_in_batches(spark, d, late=False))
+    rows = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", "value", (F.col("event_type") != "error").alias("ok"))
+    with rocks(spark):
+        return drain(last_good_value_stream(rows, 86_400, "1 hour"), spark).select(F.col("id").alias("event_id"), "served")
+
+
+@query(
+    "g8_upserted_subscriptions",
+    "SELECT user_id AS endpoint, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type NOT IN ('view', 'error')",
+)
+def g8u(spark: SparkSession, d: str) -> DataFrame:
+    """Six batches, some rows late: subscriptions as a table of buckets; views unsubscribe, errors are endpoints that are gone."""
+    out = landing(spark)
+    e = landed_stream(spark, land_in_batches(spark, d))
+    kind = F.col("event_type")
+    changes = subscription_changes(e.select("user_id", "ts", "event_id", "event_type"), "user_id", F.when(kind == "view", "unsubscribe").otherwise("subscribe"), F.when(kind == "error", 410).otherwise(201))
+    changes.writeStream.foreachBatch(lambda b, n: upsert_batch(b, n, f"{out}/table", ["endpoint"], ["ts", "event_id"], 16)).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return upserted(spark, f"{out}/table", changes.schema).where("change = 'subscribe'").select("endpoint", "event_id")
 
 
 @query("g4_deliver_durably", f"WITH {ALERT} SELECT DISTINCT sub_id, alert_id FROM a")

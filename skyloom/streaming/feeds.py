@@ -45,6 +45,54 @@ def write_unsent(batch: DataFrame, batch_id: int, sent_path: str, key: list[str]
     spark.range(0).write.mode("overwrite").parquet(done)
 
 
+def tumbling_counts(rows: DataFrame, ts: str, width: str, by: list[str], delay: str) -> DataFrame:
+    """Rows of each window and ``by``, once the watermark (the latest time of the batches before, less ``delay``) has passed
+    the window's end; rows whose window has ended by then are late and not counted, and its state is gone."""
+    windowed = rows.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), *by).agg(F.count("*").alias("n"))
+    return windowed.select(F.col("w.start").alias("start"), *by, "n")
+
+
+class LastGood(StatefulProcessor):
+    """State: the last good value and its time, which a timer of the event time forgets.  A key's rows of a batch are taken
+    in time order, so they are held together: few, where batches are bounded by files."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.good = handle.getValueState("good", "value double, at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        value, at = self.good.get() if self.good.exists() else (None, None)
+        was, out = at, []
+        for r in pd.concat(list(rows)).sort_values(["at", "id"]).itertuples():
+            if r.ok and not pd.isna(r.value):
+                value, at = float(r.value), int(r.at)
+            out.append((key[0], r.id, value if at is not None and r.at - at < self.keep else None))
+        if at is not None and at != was:
+            if was is not None:
+                self.handle.deleteTimer(was + self.keep)
+            self.good.update((value, at))
+            self.handle.registerTimer(at + self.keep)
+        yield pd.DataFrame(out, columns=["key", "id", "served"]).astype({"served": "float64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.good.clear()
+        yield pd.DataFrame({"key": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "served": pd.Series(dtype="float64")})
+
+    def close(self) -> None:
+        pass
+
+
+def last_good_value_stream(rows: DataFrame, keep_seconds: int, delay: str) -> DataFrame:
+    """rows: key long, id long, ts timestamp, value double, ok boolean.  Each row with the last good value of its key of less
+    than ``keep_seconds`` before, as rows come in time order; state of keys that fall silent goes when the watermark passes
+    its time.  Rows behind the watermark are dropped.  Needs the RocksDB state store."""
+    timed = rows.withColumn("at", F.unix_millis("ts")).withWatermark("ts", delay)
+    return timed.groupBy("key").transformWithStateInPandas(LastGood(keep_seconds * 1000), "key long, id long, served double", "Append", "EventTime")
+
+
 class CacheReplay(StatefulProcessor):
     """State: the time of the stored copy.  Rows of a batch are taken in time order."""
 

@@ -370,3 +370,59 @@ def test_the_gate_runs_the_plan_once(spark):
 
     assert A.require_rows(spark.range(50).mapInArrow(count, "id long"), 50).count() == 50
     assert ran.value == 50
+
+
+CHANGE = "endpoint long, n long, change string"
+
+
+def test_upserts_touch_few_buckets_and_replay(spark, tmp_path):
+    from skyloom.streaming import upserts as U
+
+    path = f"file://{tmp_path}/table"
+    rng, want = random.Random(6), {}
+    batches = [[(rng.randrange(40), rng.randrange(1_000), rng.choice(["subscribe", "unsubscribe", "gone"])) for _ in range(30)] for _ in range(5)] + [[], [(7, 2_000, "subscribe")]]
+    put = U.put_text
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, CHANGE)
+        U.put_text = lambda *a: (_ for _ in ()).throw(KeyboardInterrupt)  # killed before it is in
+        before = {r["endpoint"]: r["n"] for r in U.upserted(spark, path, df.schema).collect()}
+        with pytest.raises(KeyboardInterrupt):
+            U.upsert_batch(df, n, path, ["endpoint"], ["n", "change"], 8)
+        U.put_text = put
+        assert {r["endpoint"]: r["n"] for r in U.upserted(spark, path, df.schema).collect()} == before
+        for _ in range(2):  # the second time it is a replay
+            U.upsert_batch(df, n, path, ["endpoint"], ["n", "change"], 8)
+        for e, k, c in rows:
+            want[e] = max(want.get(e, (-1, "")), (k, c))
+        got = [tuple(r) for r in U.upserted(spark, path, df.schema).collect()]
+        assert len(got) == len(want) and {e: (k, c) for e, k, c in got} == want
+    state = U.state_of(spark, path)
+    assert state["batch"] == 6 and sum(own == "batch=6" for own in state["buckets"].values()) == 1  # the last batch wrote one bucket
+    folders = {f"{p.parent.name}/{p.name}" for p in tmp_path.glob("table/batch=*/bucket=*")}
+    assert folders == {f"{own}/bucket={b}" for b, own in state["buckets"].items()} | set(state["stale"])
+
+
+def test_deliveries_end_subscriptions(spark):
+    from skyloom.streaming.upserts import latest, subscription_changes
+
+    log = [(1, 1, "subscribe", None), (1, 2, None, 410), (2, 1, "subscribe", None), (2, 2, None, 201), (3, 1, "subscribe", None), (3, 2, None, 404), (3, 3, "subscribe", None)]
+    df = spark.createDataFrame(log, "e long, n long, action string, status int")
+    now = latest(subscription_changes(df, "e", F.col("action"), F.col("status")), ["endpoint"], ["n"])
+    assert {r["endpoint"] for r in now.where("change = 'subscribe'").collect()} == {2, 3}
+
+
+def test_forgotten_values_leave_no_state(spark, tmp_path):
+    """Five batches; keys that fall silent are gone from the state once the watermark has passed their day."""
+    from skyloom.streaming.feeds import last_good_value_stream, poll_feed_stream
+
+    schema = "key long, id long, ts timestamp, value double, ok boolean"
+    rows = [(k, 10 * b + k, datetime.datetime(2024, 1, 1 + b), float(b), True) for b in range(5) for k in range(4) if k == 3 or b == k]
+    for b in range(5):
+        spark.createDataFrame([r for r in rows if r[1] // 10 == b], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = last_good_value_stream(poll_feed_stream(spark, f"{tmp_path}/in", schema, "*.parquet", files_per_batch=1), 86_400, "1 hour")
+    q = s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) == 5
+    assert spark.read.parquet(f"{tmp_path}/out").count() == len(rows)
+    left = spark.read.format("statestore").option("stateVarName", "good").load(f"{tmp_path}/c").selectExpr("key.key AS key").collect()
+    assert [r["key"] for r in left] == [3]
