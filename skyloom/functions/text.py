@@ -39,30 +39,34 @@ def classify_by_table(df: DataFrame, cols: dict[str, str], rules: DataFrame, def
     return df.withColumns({s: classify_first_match(F.col(c), of_set[s], defaults.get(s)) for s, c in cols.items()})
 
 
-def extract_measurements(df: DataFrame, col: str) -> DataFrame:
-    """First temperature and first pressure of a text, one row each; none, no row."""
-    temp = F.nullif(F.regexp_extract(col, r"[~≈]?\s*([\d,]+(?:[–-][\d,]+)?)\s*°\s*F", 1), F.lit(""))
-    pres = F.nullif(F.regexp_extract(col, r"[~≈]?\s*([\d,]+(?:\.\d+)?)\s*GPa", 1), F.lit(""))
-    cells = F.array(
-        F.struct(F.lit("TEMP").alias("label"), F.concat(F.lit("~"), temp, F.lit("°F")).alias("value")),
-        F.struct(F.lit("PRESSURE").alias("label"), F.concat(F.lit("~"), pres, F.lit(" GPa")).alias("value")),
-    )
+#: A number with thousands and decimals, and two of them as a range; neither begins within another number.
+NUMBER = r"\d+(?:,\d+)*(?:\.\d+)?"
+RANGE = rf"(?<![\d.,])({NUMBER}(?:\s?[-–]\s?{NUMBER})?)"
+#: Label, pattern of the unit, and the unit as it is written out.
+MEASURES = [("TEMP", r"°\s*F\b", "°F"), ("PRESSURE", r"GPa\b", " GPa")]
+
+
+def extract_measurements(df: DataFrame, col: str, measures: list[tuple[str, str, str]] = MEASURES) -> DataFrame:
+    """label and value of the first quantity of each unit in a text, about so much, one row each; none, no row."""
+    found = [F.regexp_extract(col, rf"{RANGE}\s*{unit}", 1) for _, unit, _ in measures]
+    cells = F.array(*(F.struct(F.lit(label).alias("label"), F.when(n != "", F.concat(F.lit("~"), n, F.lit(out))).alias("value")) for (label, _, out), n in zip(measures, found, strict=True)))
     return df.withColumn("_m", F.explode(F.filter(cells, lambda c: c["value"].isNotNull()))).select(*df.columns, "_m.label", "_m.value")
 
 
-def convert_units_in_text(col: str) -> Column:
-    """Every 'n km' of a text in miles, rounded, with thousands separators."""
-    pattern = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*km\b"
+def convert_units_in_text(col: str, unit: str = r"km\b", factor: float = 0.621371, to: str = " mi") -> Column:
+    """Every number of the unit in a text (in any case) as one of another unit, rounded half up, with thousands separators."""
+    pattern = rf"(?i)(?<![\d.,])({NUMBER})\s*{unit}"
     parts = F.split(col, pattern, -1)
-    miles = F.transform(
+    others = F.transform(
         F.regexp_extract_all(col, F.lit(pattern), 1),
-        lambda n: F.concat(F.format_number(F.floor(F.replace(n, F.lit(","), F.lit("")).cast("double") * 0.621371 + 0.5), 0), F.lit(" mi")),
+        lambda n: F.concat(F.format_number(F.floor(F.replace(n, F.lit(","), F.lit("")).cast("double") * factor + 0.5), 0), F.lit(to)),
     )
-    return F.array_join(F.zip_with(parts, miles, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    return F.array_join(F.zip_with(parts, others, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
 
 
 def signed_ints(col: str) -> Column:
-    return F.transform(F.regexp_extract_all(col, F.lit(r"(-?\d+)"), 1), lambda x: x.cast("int"))
+    """All integers with their signs; those that no long holds are left out."""
+    return F.filter(F.transform(F.regexp_extract_all(col, F.lit(r"(-?\d+)"), 1), lambda x: x.try_cast("long")), lambda x: x.isNotNull())
 
 
 def temperature_range(df: DataFrame, col: str) -> DataFrame:

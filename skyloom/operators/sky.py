@@ -230,7 +230,12 @@ def galactic_to_equatorial(df: DataFrame, lon: str, lat: str) -> DataFrame:
     return df.withColumns({"ra": wrap(F.lit(a) + F.degrees(F.atan2(y, x))), "dec": F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))))})
 
 
+def galactic_lines(lines: DataFrame, step: int, lat: str = "gal_lat") -> DataFrame:
+    """Ecliptic places of lines of galactic latitude, every ``step`` degrees of longitude of each."""
+    along = lines.withColumn("gal_lon", F.explode(F.sequence(F.lit(0), F.lit(360), F.lit(step)))).withColumn("gal_lon", F.col("gal_lon").cast("double"))
+    return equatorial_to_ecliptic(galactic_to_equatorial(along, "gal_lon", lat), "ra", "dec")
+
+
 def galactic_grid(spark: SparkSession, step: int, lat: float) -> DataFrame:
-    """Ecliptic places of a line of galactic latitude, every ``step`` degrees of longitude."""
-    line = spark.range(0, 361, step).select(F.col("id").cast("double").alias("gal_lon"), F.lit(float(lat)).alias("gal_lat"))
-    return equatorial_to_ecliptic(galactic_to_equatorial(line, "gal_lon", "gal_lat"), "ra", "dec")
+    """One such line."""
+    return galactic_lines(literal_table(spark, [(float(lat),)], "gal_lat double"), step)

@@ -251,7 +251,7 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p11_scales_and_grades",
-    """SELECT p_partkey, (p_size - 1) / 49.0 * 100 AS pct, CASE WHEN p_size >= 14 THEN least(-300.0::DOUBLE, -100.0::DOUBLE + p_size - 20) END AS axis_lo,
+    """SELECT p_partkey, (p_size - 1) / 49.0 * 100 AS pct, CASE WHEN p_size >= 14 THEN least(-300.0::DOUBLE, -100.0::DOUBLE + p_size - 20) END AS axis_lo, CASE WHEN p_size >= 14 THEN greatest(900.0::DOUBLE, -100.0::DOUBLE + p_size * 20 + 20) END AS axis_hi,
     CASE WHEN p_size >= 1 THEN floor(p_retailprice / 2 * p_size / 100 + 0.5)::BIGINT END AS thickness, p_retailprice * 2 / (2 * p_size) AS width,
     CASE WHEN p_size / 50.0 >= 0.55 THEN 'good' WHEN p_size / 50.0 >= 0.10 THEN 'small' ELSE 'barely resolved' END AS grade,
     CASE WHEN p_size * 3 >= 137 THEN 'C5' WHEN p_size * 3 >= 113 THEN 'C4' WHEN p_size * 3 >= 96 THEN 'C3' WHEN p_size * 3 >= 83 THEN 'C2' WHEN p_size * 3 >= 64 THEN 'C1' WHEN p_size * 3 >= 34 THEN 'TS' ELSE 'TD' END AS tier,
@@ -259,9 +259,9 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
 )
 def p11(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_size")
-    lo, _ = P.temperature_axis(F.lit(-100.0) + s, F.lit(-100.0) + s + F.when(s >= 14, 60).otherwise(10))
+    lo, hi = P.temperature_axis(F.lit(-100.0) + s, F.when(s >= 14, F.lit(-100.0) + s * 20).otherwise(F.lit(-90.0) + s))
     return table(spark, d, "part").select(
-        "p_partkey", P.scale_linear(s, 1, 50.0).alias("pct"), lo.alias("axis_lo"), P.layer_thickness(F.col("p_retailprice"), s).alias("thickness"),
+        "p_partkey", P.scale_linear(s, 1, 50.0).alias("pct"), lo.alias("axis_lo"), hi.alias("axis_hi"), P.layer_thickness(F.col("p_retailprice"), s).alias("thickness"),
         P.required_source_width(F.col("p_retailprice"), s).alias("width"), P.grade_coverage(s / 50.0).alias("grade"), P.storm_tier(s * 3).alias("tier"), P.probability_tier(s * 2).alias("chance"),
     )
 
@@ -546,6 +546,35 @@ def t4(spark: SparkSession, d: str) -> DataFrame:
     return T.temperature_range(df, "text").select("p_partkey", "lo", "hi", "lo_label")
 
 
+UNIT = "(?:the|to|le|la|de|of|by)"
+
+
+@query(
+    "t2_measurements_in_documents",
+    f"SELECT doc_id, 'COUNTED' AS label, '~' || regexp_extract(text, '(?:^|[^0-9.,])([0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?(?:\\s?[-–]\\s?[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?)?)\\s*{UNIT}\\b', 1) AS value FROM documents"
+    f" WHERE regexp_matches(text, '(?:^|[^0-9.,])([0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?(?:\\s?[-–]\\s?[0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?)?)\\s*{UNIT}\\b')",
+)
+def t2_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Prose with numbers of any shape, ahead of small words in place of units."""
+    return T.extract_measurements(table(spark, d, "documents").select("doc_id", "text"), "text", [("COUNTED", rf"{UNIT}\b", "")]).select("doc_id", "label", "value")
+
+
+@query(
+    "t3_convert_units_in_documents",
+    f"WITH p AS (SELECT doc_id, text, '(?i)(^|[^0-9.,])([0-9]+(?:,[0-9]+)*(?:[.][0-9]+)?)\\s*{UNIT}\\b' AS pat FROM documents),"
+    " q AS (SELECT doc_id, regexp_split_to_array(text, pat) AS parts, regexp_extract_all(text, pat, 1) AS ahead, regexp_extract_all(text, pat, 2) AS n FROM p)"
+    " SELECT doc_id, md5(array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(ahead[i] || format('{:,}', floor(replace(n[i], ',', '')::DOUBLE * 0.5::DOUBLE + 0.5::DOUBLE)::BIGINT) || ' pairs', '')), '')) AS text FROM q",
+)
+def t3_docs(spark: SparkSession, d: str) -> DataFrame:
+    text = T.convert_units_in_text("text", rf"{UNIT}\b", 0.5, " pairs")
+    return table(spark, d, "documents").select("doc_id", F.md5(text).alias("text"))
+
+
+@query("t4_ranges_in_documents", "SELECT doc_id, CASE WHEN len(n) >= 2 THEN list_min(n) END AS lo, CASE WHEN len(n) >= 2 THEN list_max(n) END AS hi FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '-?[0-9]+'), lambda x: try_cast(x AS BIGINT)), lambda x: x IS NOT NULL) AS n FROM documents)")
+def t4_docs(spark: SparkSession, d: str) -> DataFrame:
+    return T.temperature_range(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "lo", "hi")
+
+
 @query("t5_extract_between", "SELECT page_id, substr(html, strpos(html, '<title>') + 7, strpos(html, '</title>') - strpos(html, '<title>') - 7) AS title FROM pages")
 def t5(spark: SparkSession, d: str) -> DataFrame:
     good, bad = T.extract_between(table(spark, d, "pages"), "html", "<title>", "</title>", out="cut")
@@ -553,10 +582,11 @@ def t5(spark: SparkSession, d: str) -> DataFrame:
     return good.select("page_id", title.alias("title")).unionByName(bad.select("page_id", F.lit(None).cast("string").alias("title")))
 
 
-@query("t6_drop_between", "SELECT page_id, length(html) - (strpos(html, '</head>') + 7 - strpos(html, '<head>')) AS n FROM pages")
+@query("t6_drop_between", "SELECT page_id, length(html) - CASE WHEN a > 0 AND b > 0 THEN b + 6 ELSE 0 END AS n FROM (SELECT *, strpos(html, '<head>') AS a, strpos(substr(html, strpos(html, '<head>') + 6), '</head>') + 6 AS b0, CASE WHEN b0 > 6 THEN b0 ELSE 0 END AS b FROM pages)")
 def t6(spark: SparkSession, d: str) -> DataFrame:
-    good, _ = T.drop_between(table(spark, d, "pages"), "html", "<head>", "</head>")
-    return good.select("page_id", F.length("rest").cast("long").alias("n"))
+    good, bad = T.drop_between(table(spark, d, "pages"), "html", "<head>", "</head>")
+    whole = bad.select("page_id", F.length("html").cast("long").alias("n"))  # without both anchors nothing is dropped
+    return good.select("page_id", F.length("rest").cast("long").alias("n")).unionByName(whole)
 
 
 @query("t7_extract_pairs", """SELECT page_id, k AS key, v AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '(\\w+)="([^"]+)"', 1)) AS k, unnest(regexp_extract_all(html, '(\\w+)="([^"]+)"', 2)) AS v FROM pages)""")

@@ -174,6 +174,20 @@ def e10(spark: SparkSession, d: str) -> DataFrame:
     return K.galactic_to_equatorial(c, "gl", "gb").select("c_custkey", F.round("ra", 3).alias("ra"), F.round("dec", 3).alias("dec"))
 
 
+@query(
+    "e10_galactic_grid",
+    """WITH s AS (SELECT n_nationkey, l::DOUBLE AS l, ((n_nationkey - 12) * 5)::DOUBLE AS b FROM nation, range(0, 361, 5) t(l)),
+    q AS (SELECT *, radians(122.932::DOUBLE - l) AS df, radians(b) AS br, radians(27.1283::DOUBLE) AS g FROM s),
+    t AS (SELECT n_nationkey, l, radians((192.8595::DOUBLE + degrees(atan2(cos(br) * sin(df), sin(br) * cos(g) - cos(br) * sin(g) * cos(df))) + 360) % 360) AS r,
+          asin(cos(br) * cos(g) * cos(df) + sin(br) * sin(g)) AS dd, radians(23.4392911::DOUBLE) AS e FROM q)
+    SELECT n_nationkey, l AS gal_lon, round((degrees(atan2(sin(r) * cos(e) + tan(dd) * sin(e), cos(r))) + 360) % 360, 3) AS lam, round(degrees(asin(greatest(-1, least(1, sin(dd) * cos(e) - cos(dd) * sin(e) * sin(r))))), 3) AS beta FROM t""",
+)
+def e10_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Galactic latitudes of a table, as lines on the sky."""
+    lines = table(spark, d, "nation").select("n_nationkey", ((F.col("n_nationkey") - 12) * 5).cast("double").alias("gal_lat"))
+    return K.galactic_lines(lines, 5).select("n_nationkey", "gal_lon", F.round("lam", 3).alias("lam"), F.round("beta", 3).alias("beta"))
+
+
 #: A palette of our own: Sun altitude, zenith to horizon.
 PALETTE = [
     (-18, "#04050f", "#070a1c", "#0b1028", "#101634"),
