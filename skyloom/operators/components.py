@@ -17,6 +17,21 @@ from skyloom.sources.shared import discard, saved
 TILE = 256
 
 
+def merge_labels(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 to ``count`` - 1 linked by pairs (a, b): the smallest node of each one's component."""
+    label = np.arange(count)
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        open_ = low < high
+        if not open_.any():
+            break
+        a, b = a[open_], b[open_]
+        np.minimum.at(label, high[open_], low[open_])  # the larger root is hung below the smaller one
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 def grid_labels(tile: np.ndarray, x: np.ndarray, y: np.ndarray, side: int) -> np.ndarray:
     """For cells of square tiles (numbers of tiles, places within them): the place in these arrays of the first cell, by
     tile, y and x, of the same 4-neighbour component of the tile."""
@@ -28,17 +43,7 @@ def grid_labels(tile: np.ndarray, x: np.ndarray, y: np.ndarray, side: int) -> np
         near = room & (known[at] == known + step)
         pairs.append((np.flatnonzero(near), at[near]))
     a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
-    label = np.arange(len(known))
-    while len(a):
-        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-        open_ = low < high
-        if not open_.any():
-            break
-        a, b = a[open_], b[open_]
-        np.minimum.at(label, high[open_], low[open_])  # the larger root is hung below the smaller one
-        while (label[label] != label).any():
-            label = label[label]
-    return first[label[of]]
+    return first[merge_labels(len(known), a, b)[of]]
 
 
 def tile_components(cells: DataFrame, side: int = TILE) -> DataFrame:
