@@ -1,18 +1,21 @@
-"""Near-duplicate embeddings by random projections, with all pairs of every bucket compared.
-
-A pass hashes each vector to the signs of a few random projections; vectors of the same signs share a bucket, and all
-pairs of a bucket are compared in exact cosine, tile by tile, however large it is.  A pair at the threshold agrees in
-a sign with a probability that the angle alone gives, so the number of passes for a recall does not depend on how the
-vectors lie.  What depends on it is the work: the number of signs is chosen by the buckets of a sample, and vectors
-that stand in crowds in the passes over the whole table - a region of like directions - are compared with one another
-once, all pairs, instead of pass by pass.  Small tables are compared in full.
-
-Equal vectors are folded into one before.  Direct links are counted in full: where all pairs are compared, there; else
-within each component, by blocks of dot products, so they do not depend on the passes.
+"""Near-duplicate embeddings by sorted projection passes.
+
+A pass hashes each vector to the signs of random projections and sorts all vectors lexicographically by them; each vector
+is compared, in exact cosine, with the ``window`` ones that follow it, and verified pairs are united over the passes.  A
+pair at the threshold agrees in a sign with a probability that the angle alone gives, so in so many passes it shares the
+first ``bits`` signs in one of them with the wanted probability, however the vectors lie.  Vectors that share them are
+within a window of each other if they are not more than that.  Where more share them, a crowd, no window is enough: crowds
+are compared in full, tile by tile - pass by pass, or, vectors that stand in great crowds in the passes over the whole
+table, all of them with one another once.  ``bits`` are chosen by the crowds of a sample.  All sizes go the same way: up to
+``window`` vectors, no sign is shared in vain and one pass compares all.
+
+Equal vectors are folded into one before.  Direct links are counted in full within each component, by blocks of dot
+products, so they do not depend on the passes.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -24,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from skyloom.llm.common import components, materialise
+from skyloom.llm.common import components, discard, materialise
+from skyloom.operators.components import merge_labels
 
 BITS = 63
 
@@ -33,6 +37,12 @@ def planes(seed: int, size: int) -> np.ndarray:
     return np.random.default_rng([20_240_501, seed, size]).standard_normal((size, BITS))
 
 
+@functools.cache
+def pass_planes(p: int, size: int) -> np.ndarray:
+    """The projections of a pass."""
+    return planes(p, size)
+
+
 def passes_for(bits: int, threshold: float, recall: float) -> int:
     """Passes after which a pair at the threshold has agreed in all ``bits`` signs of one with probability ``recall``."""
     together = (1 - math.acos(threshold) / math.pi) ** bits
@@ -83,7 +93,7 @@ def least_work(crowds: list[tuple[float, float, float]]) -> tuple[float, float]:
 
 
 def choose_bits(sample: DataFrame, code: str, scale: float, threshold: float, window: int, recall: float, row_work: int, trials: int = 6) -> int:
-    """Signs of a pass that make the least work, by the buckets of a sample of 1 in ``scale``; 0 if all pairs are less."""
+    """Signs of a pass that make the least work, by the buckets of a sample of 1 in ``scale``."""
     room = next((b for b in range(1, BITS) if passes_for(b, threshold, recall) > 1_000), BITS) if threshold > -1 else 1
 
     def measure(rows: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +118,7 @@ def choose_bits(sample: DataFrame, code: str, scale: float, threshold: float, wi
         return pd.DataFrame(out, columns=["bits", "low", "n", "crowd"])
 
     found = sample.select("raw").groupBy().applyInPandas(measure, "bits int, low double, n double, crowd double").collect()
-    best = (sum(r["n"] for r in found if r["bits"] == 1) * scale) ** 2 / 2, 0
+    best = math.inf, 1
     for bits in sorted({r["bits"] for r in found}):
         passes = passes_for(bits, threshold, recall)
         steps = [(r["low"], r["n"] * scale, passes * (r["crowd"] + row_work * r["n"]) * scale) for r in found if r["bits"] == bits]
@@ -122,14 +132,13 @@ def signs(x: np.ndarray, bits: int, p: int) -> np.ndarray:
 
 
 def spanning_links(
-    ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.ndarray, threshold: float, copies: tuple[np.ndarray, np.ndarray] | None = None, step: int = 512
-) -> tuple[list[pd.DataFrame], list[pd.DataFrame]]:
-    """A spanning forest (a, b) of the links between two tiles, or within one (``y is x``); and, given the vectors' copies,
-    how many vectors each is linked with (rep, n)."""
+    ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.ndarray, threshold: float, step: int = 512
+) -> list[pd.DataFrame]:
+    """A spanning forest (a, b) of the links between two tiles, or within one (``y is x``)."""
     same = y is x
     shift = 0 if same else len(x)
     label = np.arange(shift + len(y))
-    out, mine, theirs = [], np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    out = []
     for start in range(0, len(x), step):
         hit = x[start : start + step] @ y.T >= threshold
         if same:
@@ -143,16 +152,57 @@ def spanning_links(
             if len(new):
                 out.append(pd.DataFrame({"a": ids[start + i], "b": other_ids[at[new]]}))
                 label[np.isin(label, there)] = own
-            if copies:
-                mine[start + i] = copies[1][at].sum()
-                theirs[at] += copies[0][start + i]
-    counts = [pd.DataFrame({"rep": i[n > 0], "n": n[n > 0]}) for i, n in ((ids, mine), *(() if same else ((other_ids, theirs),)))] if copies else []
-    return out, counts
+    return out
+
 
+def neighbour_links(rows: DataFrame, code: str, threshold: float, window: int, step: int = 256) -> DataFrame:
+    """Links (a, b) of vectors to the ``window`` next ones in the order of their signs: spanning forests of every stretch.
 
-def bucket_links(rows: DataFrame, reps: DataFrame, code: str, threshold: float, block: int, slots: int, count: bool, salts: int = 16) -> DataFrame:
-    """Links (a, b, -1) among the vectors of each bucket, of pairs with a ``main`` one: spanning forests only.  With
-    ``count``, also (rep, 0, n): a vector's links to n others, copies counted, in one piece of work.
+    rows: pass, prefix, width, key, rep, raw.  Vectors of one prefix meet in one task, which reads them in order.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = np.zeros(0, np.int64), np.zeros((0, 0))
+
+        def stretch(last: bool) -> Iterator[pa.RecordBatch]:
+            """Compares all that have their window behind them, and keeps the rest."""
+            nonlocal ids, x
+            end = len(ids) if last else max(0, len(ids) - window)
+            found = []
+            for start in range(0, end, step):
+                stop = min(start + step, end)
+                hit = x[start:stop] @ x[start : stop + window].T >= threshold
+                i, j = np.nonzero(hit)
+                ahead = (j > i) & (j <= i + window)
+                found.append((start + i[ahead], start + j[ahead]))
+            if found:
+                a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+                label = merge_labels(len(ids), a, b)
+                at = np.flatnonzero(label != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[label[at]]), pa.array(ids[at])], names=["a", "b"])
+            ids, x = ids[end:], x[end:]
+
+        for batch in batches:
+            reps, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            size = np.array([len(r) for r in raw])
+            cuts = np.flatnonzero(np.diff(size)) + 1
+            for part in np.split(np.arange(len(raw)), cuts):
+                y = units([raw[i] for i in part], code) if len(part) else x
+                if len(part) and y.shape[1] != x.shape[1]:
+                    yield from stretch(True)
+                    x = y[:0]
+                if len(part):
+                    ids, x = np.concatenate([ids, reps[part]]), np.concatenate([x, y])
+            if len(ids) > 2 * window:
+                yield from stretch(False)
+        yield from stretch(True)
+
+    placed = rows.repartition("pass", "width", "prefix").sortWithinPartitions("width", "pass", "key", "rep")
+    return placed.select("rep", "raw").mapInArrow(link, "a long, b long")
+
+
+def bucket_links(rows: DataFrame, reps: DataFrame, code: str, threshold: float, block: int, slots: int, salts: int = 16) -> DataFrame:
+    """Links (a, b) among the vectors of each bucket, of pairs with a ``main`` one: spanning forests only.
 
     rows: pass, prefix, width (the bucket), rep, main.  A bucket is cut into tiles, main vectors apart from the others;
     each pair of its tiles with a main one is a piece of work of its own.  Buckets of one tile share pieces.
@@ -168,10 +218,10 @@ def bucket_links(rows: DataFrame, reps: DataFrame, code: str, threshold: float,
         "explode(concat(if(main, transform(sequence(tile, mains + others - 1), j -> struct(tile AS x, j AS y, 0 AS side)), array()),"
         " if(tile > 0, transform(sequence(0, least(tile, mains) - 1), i -> struct(i AS x, tile AS y, 1 AS side)), array())))"
     )
-    placed = tiled.select("slot", *key, "rep", places.alias("at")).select("slot", *key, "rep", "at.*").join(reps.select("rep", "raw", "copies"), "rep")
+    placed = tiled.select("slot", *key, "rep", places.alias("at")).select("slot", *key, "rep", "at.*").join(reps.select("rep", "raw"), "rep")
 
     def link(piece: pd.DataFrame) -> pd.DataFrame:
-        links, counts = [], []
+        links = []
         same = piece["x"].iloc[0] == piece["y"].iloc[0]
         for _, g in piece.groupby(key):
             a = g[g["side"] == 0]
@@ -179,18 +229,14 @@ def bucket_links(rows: DataFrame, reps: DataFrame, code: str, threshold: float,
             if len(a) and len(b):
                 x = units(a["raw"], code)
                 y = x if same else units(b["raw"], code)
-                copies = (a["copies"].to_numpy(), b["copies"].to_numpy()) if count else None
-                found = spanning_links(a["rep"].to_numpy(), x, b["rep"].to_numpy(), y, threshold, copies)
-                links += found[0]
-                counts += found[1]
-        none = pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        return pd.concat([none, *(x.assign(n=-1) for x in links), *(x.rename(columns={"rep": "a"}).assign(b=0)[["a", "b", "n"]] for x in counts)])
+                links += spanning_links(a["rep"].to_numpy(), x, b["rep"].to_numpy(), y, threshold)
+        return pd.concat([pd.DataFrame({"a": [], "b": []}).astype("int64"), *links])
 
-    return placed.groupBy("slot", "x", "y").applyInPandas(link, "a long, b long, n long")
+    return placed.groupBy("slot", "x", "y").applyInPandas(link, "a long, b long")
 
 
 def similar_vectors(
-    embeddings: DataFrame, *, threshold: float = 0.9, window: int = 64, recall: float = 0.99, block: int = 8_192, tile: int = 1_024
+    embeddings: DataFrame, *, threshold: float = 0.9, window: int = 512, recall: float = 0.9999, block: int = 8_192, tile: int = 1_024
 ) -> DataFrame:
     """One row per vector: n_links, component_id (smallest vec_id reachable by links), kept (vec_id = component_id).
 
@@ -199,61 +245,62 @@ def similar_vectors(
     kept.  Vectors of unlike lengths are never linked, however long.  Ties of cosines change nothing: all links at or over
     the threshold count.  An empty table gives an empty result.  Other columns are ignored.
 
-    Up to 8 * ``block`` distinct vectors are compared in full, and their links counted at once.  Above, a pair at the threshold is found with
-    probability ``recall``, nearer ones with a higher one; bucket sizes are not cut below ``window`` on average.
+    A pair at the threshold is compared with probability ``recall``, nearer ones with a higher one; no pair of up to
+    ``window`` vectors is missed.
     """
     vectors, code = raw_vectors(embeddings)
     vectors = materialise(vectors, "vectors")
     good = vectors.where("raw IS NOT NULL AND vec_id IS NOT NULL")
     reps = materialise(good.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "reps")
     count = reps.count()
-    width = F.length("raw").alias("width")
     bits = 0
-    if count > 8 * block:
-        most = 20_000
-        share = min(1.0, most / count)
+    if count > window:
+        share = min(1.0, 20_000 / count)
         sample = reps.where(F.pmod(F.xxhash64("rep", F.lit(29)), F.lit(1_000_000)) < math.ceil(share * 1e6))
         bits = choose_bits(sample, code, 1 / share, threshold, window, recall, block)
-    full = reps.select(F.lit(-1).alias("pass"), F.lit(0).cast("long").alias("prefix"), width, "rep", F.lit(True).alias("main"))
-    slots = 1
-    if bits:
-        passes = passes_for(bits, threshold, recall)
-        slots = max(1, count * passes // (4 * block))
+    passes = passes_for(bits, threshold, recall)
 
-        def keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weight = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
-            all_planes: dict[int, np.ndarray] = {}
-            for batch in rows:
-                raw = [x.as_py() for x in batch.column(1)]
-                size = np.array([len(x) for x in raw])
-                for w in np.unique(size):
-                    at = np.flatnonzero(size == w)
-                    x = units([raw[i] for i in at], code)
-                    if w not in all_planes:
-                        all_planes[w] = np.stack([planes(p, x.shape[1])[:, :bits] for p in range(passes)])
-                    own = batch.column(0).take(pa.array(at))
-                    for p in range(passes):
-                        cols = [pa.array(np.full(len(at), p, np.int32)), pa.array((x @ all_planes[w][p] > 0) @ weight), pa.array(np.full(len(at), w, np.int32)), own]
-                        yield pa.RecordBatch.from_arrays(cols, names=["pass", "prefix", "width", "rep"])
-
-        keyed = materialise(reps.select("rep", "raw").mapInArrow(keys, "pass int, prefix long, width int, rep long"), "keyed")
-        # A vector's crowd: all that it meets in the passes.  Looked up by salted keys, as buckets may be large.
-        salt = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(16)).cast("int").alias("salt")
-        sizes = keyed.groupBy("pass", "prefix", "width").agg(F.count("*").alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        crowd = keyed.select("*", salt).join(sizes, ["pass", "prefix", "width", "salt"]).groupBy("rep").agg(F.sum("n").alias("crowd"))
-        crowd = materialise(crowd.withColumn("low", F.floor(4 * F.log2("crowd")).cast("double")), "crowd")
-        steps = [tuple(r) for r in crowd.groupBy("low").agg(F.count("*").cast("double"), F.sum("crowd").cast("double") + passes * float(block) * F.count("*")).collect()]
+    def keys(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        for batch in rows:
+            raw = batch.column(1).to_pylist()
+            size = np.array([len(x) for x in raw], np.int64)
+            for w in np.unique(size):
+                at = np.flatnonzero(size == w)
+                x = units([raw[i] for i in at], code)
+                own = batch.column(0).take(pa.array(at))
+                for p in range(passes):
+                    key = (x @ pass_planes(p, x.shape[1]) > 0) @ weight
+                    cols = [pa.array(np.full(len(at), p, np.int32)), pa.array(key >> (BITS - bits)), pa.array(np.full(len(at), w, np.int32)), pa.array(key), own]
+                    yield pa.RecordBatch.from_arrays(cols, names=["pass", "prefix", "width", "key", "rep"])
+
+    bucket = ["pass", "prefix", "width"]
+    keyed = materialise(reps.select("rep", "raw").mapInArrow(keys, "pass int, prefix long, width int, key long, rep long"), "keyed")
+    # Sizes of buckets are looked up by salted keys, as buckets may be large.
+    salt = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(16)).cast("int").alias("salt")
+    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    sized = materialise(keyed.select("*", salt).join(sizes, [*bucket, "salt"]).drop("salt"), "sized")
+    near = neighbour_links(sized.where(F.col("n") <= window).join(reps.select("rep", "raw"), "rep"), code, threshold, window)
+    links = [materialise(near, "near")]
+    discard(keyed)
+
+    crowds = sized.where(F.col("n") > window)
+    # A vector's crowd: all that it meets in the crowds of all passes.
+    crowd = crowds.groupBy("rep").agg(F.sum("n").alias("crowd"))
+    crowd = materialise(crowd.withColumn("low", F.floor(4 * F.log2("crowd")).cast("double")), "crowd")
+    steps = [tuple(r) for r in crowd.groupBy("low").agg(F.count("*").cast("double"), F.sum("crowd").cast("double") + passes * float(block) * F.count("*")).collect()]
+    if steps:
         crowd = crowd.select("rep", (F.col("low") <= least_work(steps)[1]).alias("main"))
-        rows = keyed.join(crowd, "rep").select("pass", "prefix", "width", "rep", "main")
-        crowded = full.drop("main").join(crowd.where("NOT main").select("rep"), "rep", "left_semi")
-        full = rows.unionByName(crowded.withColumn("main", F.lit(True)))
-    links = materialise(bucket_links(full, reps, code, threshold, block, slots, count=not bits), "links")
-    roots = materialise(components(links.where("n < 0").select("a", "b")), "roots")
-    if bits:
-        member = reps.join(roots.withColumnRenamed("node", "rep"), "rep").select("root", "rep", "copies", "raw")
-        found = count_links(materialise(member, "member"), code, threshold, tile)
-    else:
-        found = links.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+        rows = crowds.join(crowd, "rep").select(*bucket, "rep", "main")
+        once = reps.join(crowd.where("NOT main").select("rep"), "rep", "left_semi")
+        once = once.select(F.lit(-1).alias("pass"), F.lit(0).cast("long").alias("prefix"), F.length("raw").alias("width"), "rep", F.lit(True).alias("main"))
+        slots = max(1, count * passes // (4 * block))
+        links.append(materialise(bucket_links(rows.unionByName(once), reps, code, threshold, block, slots), "links"))
+    both = links[0] if len(links) == 1 else links[0].union(links[1])
+    roots = materialise(components(both.select("a", "b")), "roots")
+    member = materialise(reps.join(roots.withColumnRenamed("node", "rep"), "rep").select("root", "rep", "copies", "raw"), "member")
+    found = materialise(count_links(member, code, threshold, tile), "counts")
+    discard(sized, member, *links)
     whole = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(found, "rep", "left")
     salts = 16
     group = whole.select(
@@ -264,7 +311,7 @@ def similar_vectors(
         "copies",
     )
     # Copies of one vector are looked up by salted keys; vectors without copies stand under salt 0.
-    own = good.join(reps.where("copies > 1").select("raw").hint("shuffle_hash"), "raw", "left_semi").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
+    own = good.join(reps.where("copies > 1").select("raw"), "raw", "left_semi").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
     many = own.join(group.where("copies > 1"), ["raw", "salt"]).select("vec_id", "n_links", "component_id")
     one = whole.where("copies = 1").select(F.col("rep").alias("vec_id"), F.coalesce("others", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     rest = vectors.where("raw IS NULL OR vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

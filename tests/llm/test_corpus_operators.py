@@ -506,7 +506,7 @@ def test_similar_vectors(spark):
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
     rows += [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [None] * 16, 0), (1004, [], 0), (1005, rows[3][1], 1), (1006, rows[3][1], 1), (1007, [2 * v for v in rows[3][1]], 1)]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.similar_vectors(e, window=8, tile=16).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.similar_vectors(e, window=8, tile=16, block=32).collect()}
     y = np.concatenate([x, x[[3, 3, 3]]])
     ids = [*range(150), 1005, 1006, 1007]
     unit = y / np.linalg.norm(y, axis=1, keepdims=True)
@@ -525,7 +525,7 @@ def test_similar_vectors_of_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (4, [1.0]), (5, [2.0]), (6, [1.0, 0.0, 0.0]), (7, [0.0, 0.0]), (8, [1.0, 0.0]), (8, [1.0, 0.0])]
     rows += [(10, [1.0] * 5_000), (11, [1.0] * 4_999 + [2.0])]
     e = spark.createDataFrame([(i, v, 0, b"x") for i, v in rows], "vec_id long, embedding array<float>, rep int, raw binary")
-    for options in ({}, {"block": 1}):
+    for options in ({}, {"window": 2, "block": 1}):
         got = collections.Counter((r["vec_id"], r["component_id"], r["kept"]) for r in embeddings.similar_vectors(e, **options).collect())
         assert got == collections.Counter(
             {(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (None, None, True): 1, (4, 4, True): 1, (5, 4, False): 1, (6, 6, True): 1, (7, 7, True): 1, (8, 1, False): 2, (10, 10, True): 1, (11, 10, False): 1}
@@ -550,8 +550,7 @@ def test_similar_vectors_in_a_dense_cone_of_unlinked_ones(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = unit @ unit.T >= 0.9
     np.fill_diagonal(link, False)
-    # Few tiles, so that the passes are taken; and the default, all pairs.
-    for options, least in (({"block": 64}, 0.98), ({}, 1.0)):
+    for options, least in (({"window": 64, "block": 64}, 0.995), ({}, 0.999)):
         got = {r["vec_id"]: r["n_links"] for r in embeddings.similar_vectors(e, **options).collect()}
         right = [got[i] == link[i].sum() for i in range(len(x)) if link[i].any()]
         assert len(right) >= 1_200 and np.mean(right) >= least
