@@ -1,13 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary texts, each of four orders, by absolute discounting:
+Two models, of toxic and of ordinary texts, each of four orders, by absolute discounting, the discount of an order and class
+estimated from its counts of counts (n1 / (n1 + 2 n2), as Kneser and Ney do):
 - bigrams, by the number of a class's distinct texts that hold them, back off to
 - the class's words, by continuation counts (distinct left neighbours), these to
 - the class's stems, a word's first letters, by the continuation counts of their words, and these to
 - the continuation counts of both classes together, which also share a stem's probability out among its words.
-A count up to the discount leaves all its mass to the order below.  So rare expressions are smoothed by shared counts,
-and the models can be kept whole as few entries: where no count is over its discount, the log ratio of the two classes
-is the sum of those of the context's backoff mass and of the word's lower order.  Copies of a text count once.
+The models are pruned: a count up to the order's floor leaves all its mass to the order below, so rare expressions are
+smoothed by shared counts, and the models can be kept whole as few entries: where no count is over its floor, the log ratio
+of the two classes is the sum of those of the context's backoff mass and of the word's lower order.  Copies of a text count once.
 
 A text's log-likelihoods are compared after normalisation by length: over the whole text, and over its most toxic
 span of a few tokens, since a long text may be toxic in one line; the text's length goes along, as a long text has more
@@ -31,7 +32,8 @@ from pyspark.sql.types import StructType
 from skyloom.llm.common import crc_mod, discard, materialise, plain_words, text_bytes
 
 START = b"^"
-BIGRAM, WORD, STEM, SHARED = 4.0, 4.0, 8.0, 0.75  # discounts of the orders
+FLOORS = (4, 4, 8)  # counts of bigrams, words and stems up to which an entry is pruned
+SHARED = 0.75  # discount of the shared counts
 LETTERS = 5  # of a stem
 
 
@@ -48,42 +50,46 @@ def stem(word: bytes) -> bytes:
 class Counts:
     """What two models are made of.  Pairs are of the classes ordinary and toxic.
 
-    Tables may lack entries that the discounts leave without mass of their own: bigrams and contexts where no bigram is
-    over the discount, words that are neither over it nor in such a bigram, and stems of no such word and not over theirs.
+    Tables may lack pruned entries: bigrams and contexts where no bigram is over the floor, words that are neither over
+    theirs nor in such a bigram, and stems of no such word and not over theirs.
     """
 
     total: list[int]  # continuation counts of a class, and of both together
-    mass: list[float]  # of words, the share of continuation counts that their discount leaves to stems
+    mass: list[float]  # of words, the share of continuation counts that discounts and pruning leave to stems
     stem_mass: list[float]  # the same of stems
     stems: int = 0
-    discounts: tuple[float, float, float] = (BIGRAM, WORD, STEM)
+    discounts: tuple[tuple[float, float], ...] = ((0.75, 0.75),) * 3  # of bigrams, words and stems, by class
+    floors: tuple[int, int, int] = FLOORS
     bigrams: dict[tuple[bytes, bytes], tuple[int, int]] = field(default_factory=dict)
     contexts: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)  # texts of all its bigrams, and what their discounts take
     words: dict[bytes, tuple[int, int, int]] = field(default_factory=dict)  # continuation counts: ordinary, toxic, both
     stem_words: dict[bytes, tuple[int, int, int, int]] = field(default_factory=dict)  # the same, and number of words
 
+    def own(self, order: int, count: int, y: int) -> float:
+        """What a count keeps for itself."""
+        return count - self.discounts[order][y] if count > self.floors[order] else 0.0
+
     def p_stem(self, s: bytes, y: int) -> float:
         c = self.stem_words.get(s)
         shared = SHARED * self.stems / self.total[2] if c is None else (c[2] - SHARED) / self.total[2]
-        return (max(c[y] - self.discounts[2], 0) if c else 0) / self.total[y] + self.stem_mass[y] * shared
+        return (self.own(2, c[y], y) if c else 0) / self.total[y] + self.stem_mass[y] * shared
 
     def p_word(self, w: bytes, y: int) -> float:
         c, s = self.words.get(w), self.stem_words.get(stem(w))
         inside = 1.0 if s is None else (c[2] - SHARED) / s[2] if c else SHARED * s[3] / s[2]  # a new word has what the others leave
-        return (max(c[y] - self.discounts[1], 0) if c else 0) / self.total[y] + self.mass[y] * self.p_stem(stem(w), y) * inside
+        return (self.own(1, c[y], y) if c else 0) / self.total[y] + self.mass[y] * self.p_stem(stem(w), y) * inside
 
     def p(self, left: bytes, w: bytes, y: int) -> float:
         """P(w | left) of class y."""
         c = self.contexts.get(left)
         if c is None or not c[y][0]:
             return self.p_word(w, y)
-        own = self.bigrams.get((left, w), (0, 0))[y]
-        return (max(own - self.discounts[0], 0) + c[y][1] * self.p_word(w, y)) / c[y][0]
+        return (self.own(0, self.bigrams.get((left, w), (0, 0))[y], y) + c[y][1] * self.p_word(w, y)) / c[y][0]
 
     def model(self) -> KneserNey:
         ratio = lambda p: float(np.log(p(1) / p(0)))
         new = ratio(lambda y: self.mass[y] * self.stem_mass[y])
-        stems = {s: ratio(lambda y: self.mass[y] * self.p_stem(s, y)) for s, c in self.stem_words.items() if max(c[:2]) > self.discounts[2]}
+        stems = {s: ratio(lambda y: self.mass[y] * self.p_stem(s, y)) for s, c in self.stem_words.items() if max(c[:2]) > self.floors[2]}
         words = {w: ratio(lambda y: self.p_word(w, y)) for w in self.words}
         left = {v: ratio(lambda y: c[y][1] / c[y][0] if c[y][0] else 1.0) for v, c in self.contexts.items() if all(x[1] or not x[0] for x in c)}
         pairs = {v + b" " + w: ratio(lambda y: self.p(v, w, y)) for v, w in self.bigrams}
@@ -156,10 +162,18 @@ def bigram_texts(rows: Iterator[pa.RecordBatch], flush: int = 100_000) -> Iterat
         yield out(seen)
 
 
-def fit_kneser_ney(train: DataFrame, parts: list[int], discounts: tuple[float, float, float] = (BIGRAM, WORD, STEM)) -> Iterator[Counts | None]:
+def estimated_discounts(table: DataFrame, counts: dict[tuple[int, int], Column]) -> dict[tuple[int, int], float]:
+    """n1 / (n1 + 2 n2) of each column of counts, n1 and n2 being how many are 1 and 2; without any, 0.5."""
+    cells = [F.count_if(c == k).alias(f"n{m}_{y}_{k}") for (m, y), c in counts.items() for k in (1, 2)]
+    found = table.agg(*cells).first()
+    of = lambda m, y: (found[f"n{m}_{y}_1"], found[f"n{m}_{y}_2"])
+    return {k: n1 / (n1 + 2 * n2) if n1 else 0.5 for k, (n1, n2) in ((k, of(*k)) for k in counts)}
+
+
+def fit_kneser_ney(train: DataFrame, parts: list[int], floors: tuple[int, int, int] = FLOORS) -> Iterator[Counts | None]:
     """train: normal texts, toxic, part.  Models without each of the parts, and one of all; None where a class has no texts.
 
-    Counts are made in Spark; the entries over their discounts are collected, which the sample of training rows bounds.
+    Counts are made in Spark; the entries over their floors are collected, which the sample of training rows bounds.
     Models come one at a time, so that not all need be held.
     """
     models = [[q for q in parts if q != p] for p in parts] + [parts]
@@ -180,21 +194,29 @@ def fit_kneser_ney(train: DataFrame, parts: list[int], discounts: tuple[float, f
     )
     names = [f"k{m}_{y}" for m in each for y in (0, 1, 2)]
     stems = materialise(words.groupBy("s").agg(*(F.sum(c).alias(c) for c in names), *(F.count_if(F.col(f"k{m}_2") > 0).alias(f"k{m}_3") for m in each)), "stems")
-    taken = lambda t, d: [F.coalesce(F.sum(F.least(F.col(f"k{m}_{y}").cast("double"), F.lit(d))), F.lit(0.0)).alias(f"d{m}_{y}") for m in each for y in (0, 1)]
-    of_words = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), *taken(words, discounts[1])).first()
-    of_stems = stems.agg(*taken(stems, discounts[2]), *(F.count_if(F.col(f"k{m}_2") > 0).alias(f"s{m}") for m in each)).first()
+    continued = {(m, y): F.col(f"k{m}_{y}") for m in each for y in (0, 1)}
+    #: By order, model and class.
+    discounts = [estimated_discounts(grams, n), estimated_discounts(words, continued), estimated_discounts(stems, continued)]
+
+    def taken(order: int, counts: dict) -> list[Column]:
+        """What discounts and pruning take from all counts."""
+        return [F.coalesce(F.sum(F.when(c > floors[order], F.lit(discounts[order][k])).otherwise(c.cast("double"))), F.lit(0.0)).alias(f"d{k[0]}_{k[1]}") for k, c in counts.items()]
+
+    seen = {k: F.when(c > 0, c) for k, c in continued.items()}
+    of_words = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), *taken(1, seen)).first()
+    of_stems = stems.agg(*taken(2, seen), *(F.count_if(F.col(f"k{m}_2") > 0).alias(f"s{m}") for m in each)).first()
 
     def any_over(columns: list[Column], least: float) -> Column:
         return F.greatest(*columns) > least
 
-    over = grams.where(any_over(list(n.values()), discounts[0]))
+    over = grams.where(any_over(list(n.values()), floors[0]))
     lefts = grams.join(over.select("l").distinct().hint("shuffle_hash"), "l", "left_semi").groupBy("l").agg(
-        *(F.sum(x).alias(f"c{m}_{y}") for (m, y), x in n.items()), *(F.sum(F.least(x.cast("double"), F.lit(discounts[0]))).alias(f"d{m}_{y}") for (m, y), x in n.items())
+        *(F.sum(x).alias(f"c{m}_{y}") for (m, y), x in n.items()), *taken(0, n)
     )
-    kept = words.where(any_over([F.col(f"k{m}_{y}") for m in each for y in (0, 1)], discounts[1])).unionByName(
+    kept = words.where(any_over([F.col(f"k{m}_{y}") for m in each for y in (0, 1)], floors[1])).unionByName(
         words.join(over.select("w").distinct().hint("shuffle_hash"), "w", "left_semi")
     ).distinct()
-    kept_stems = stems.where(any_over([F.col(f"k{m}_{y}") for m in each for y in (0, 1)], discounts[2])).unionByName(
+    kept_stems = stems.where(any_over([F.col(f"k{m}_{y}") for m in each for y in (0, 1)], floors[2])).unionByName(
         stems.join(kept.select("s").distinct().hint("shuffle_hash"), "s", "left_semi")
     ).distinct()
     of_bigrams, of_lefts = over.select("l", "w", *(x.alias(f"n{m}_{y}") for (m, y), x in n.items())).toPandas(), lefts.toPandas()
@@ -205,8 +227,8 @@ def fit_kneser_ney(train: DataFrame, parts: list[int], discounts: tuple[float, f
         total = [of_words[f"k{m}_{y}"] for y in (0, 1, 2)]
         if not total[0] or not total[1]:
             return None
-        c = Counts(total, [of_words[f"d{m}_{y}"] / total[y] for y in (0, 1)], [of_stems[f"d{m}_{y}"] / total[y] for y in (0, 1)], of_stems[f"s{m}"], discounts)
-        pairs = of_bigrams[(of_bigrams[[f"n{m}_0", f"n{m}_1"]] > discounts[0]).any(axis=1)]
+        c = Counts(total, [of_words[f"d{m}_{y}"] / total[y] for y in (0, 1)], [of_stems[f"d{m}_{y}"] / total[y] for y in (0, 1)], of_stems[f"s{m}"], tuple((d[m, 0], d[m, 1]) for d in discounts), floors)
+        pairs = of_bigrams[(of_bigrams[[f"n{m}_0", f"n{m}_1"]] > floors[0]).any(axis=1)]
         c.bigrams = {(bytes(r[0]), bytes(r[1])): tuple(r[2:]) for r in pairs[["l", "w", f"n{m}_0", f"n{m}_1"]].itertuples(index=False)}
         near = {left for left, _ in c.bigrams}
         c.contexts = {

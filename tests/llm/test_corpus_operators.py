@@ -595,7 +595,7 @@ def test_toxicity_features_equal_brute_force(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
     short = lambda t: [w for i, w in enumerate(t.split()) if not i or t.split()[i - 1] != w]
     train = sorted({(tuple(short(t)), y) for (i, t), (_, y) in zip(rows, labels, strict=True) if not held(i)})
-    p, _, _ = plain_models(train, (toxicity.BIGRAM, toxicity.WORD, toxicity.STEM))
+    p, _, _ = plain_models(train, toxicity.FLOORS)
     asked = [*rows[:25], (900, "never seen before"), (901, "vile")]
     d = spark.createDataFrame([*rows, *asked[25:]], "doc_id long, text string")
     got = {r["doc_id"]: r for r in toxicity.toxicity_scores(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
@@ -623,7 +623,7 @@ def test_toxicity_of_a_fixed_line(spark):
     assert all(r["predicted"] for r in got if r["doc_id"] % 6 == 0)
 
 
-def plain_models(texts, discounts, letters=5):
+def plain_models(texts, floors, letters=5):
     """P(word | left) of each class from whole texts, straight from the definition; and the vocabulary of each stem."""
     bi = [collections.Counter(), collections.Counter()]
     for words, y in texts:
@@ -634,40 +634,53 @@ def plain_models(texts, discounts, letters=5):
     known, stems = sorted(both), sorted({stem(w) for w in both})
     total = sum(both.values())
     of_stem = {s: sum(n for w, n in both.items() if stem(w) == s) for s in stems}
-    d2, d1, d0 = discounts
+    by_stem = [{t: sum(n for v, n in c.items() if stem(v) == t) for t in stems} for c in k]
+
+    def estimated(counts):
+        n1, n2 = (sum(n == i for n in counts.values()) for i in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 else 0.5
+
+    d = [[estimated(c) for c in table] for table in (bi, k, by_stem)]
+    assert all(0 <= x <= 1 for row in d for x in row)
+
+    def keeps(order, n, y):
+        return n - d[order][y] if n > floors[order] else 0
+
+    def gives(order, counts, y):
+        return sum(n - keeps(order, n, y) for n in counts)
 
     def p(left, w, y):
         ny, s = sum(k[y].values()), stem(w)
-        ks = {t: sum(n for v, n in k[y].items() if stem(v) == t) for t in stems}
+        ks = by_stem[y]
         p0 = (of_stem[s] - 0.75) / total if s in of_stem else 0.75 * len(stems) / total
-        p1 = max(ks.get(s, 0) - d0, 0) / ny + sum(min(n, d0) for n in ks.values()) / ny * p0
+        p1 = keeps(2, ks.get(s, 0), y) / ny + gives(2, ks.values(), y) / ny * p0
         inside = 1 if s not in of_stem else (both[w] - 0.75) / of_stem[s] if w in both else 0.75 * sum(stem(v) == s for v in known) / of_stem[s]
-        p2 = max(k[y][w] - d1, 0) / ny + sum(min(n, d1) for n in k[y].values()) / ny * p1 * inside
+        p2 = keeps(1, k[y][w], y) / ny + gives(1, k[y].values(), y) / ny * p1 * inside
         row = {v: n for (u, v), n in bi[y].items() if u == left}
         if not row:
             return p2
-        return (max(row.get(w, 0) - d2, 0) + sum(min(n, d2) for n in row.values()) * p2) / sum(row.values())
+        return (keeps(0, row.get(w, 0), y) + gives(0, row.values(), y) * p2) / sum(row.values())
 
     return p, known, stems
 
 
-@pytest.mark.parametrize("discounts", [(0.75, 0.75, 0.75), (2.0, 1.5, 3.0)])
-def test_kneser_ney_equals_brute_force_and_sums_to_one(spark, discounts):
+@pytest.mark.parametrize("floors", [(0, 0, 0), (2, 1, 3)])
+def test_kneser_ney_equals_brute_force_and_sums_to_one(spark, floors):
     rng = np.random.default_rng(14)
     vocabulary = ["alpha1", "alpha2", "alpha3", "betas", "gamma", "gammas", "deltas"]
     texts = [(list(rng.choice(vocabulary, rng.integers(1, 9))), int(i % 3 == 0)) for i in range(30)]
     texts = [([w for i, w in enumerate(t) if not i or t[i - 1] != w], y) for t, y in texts]
     rows = [(" ".join(t).encode(), y, i % 2) for i, (t, y) in enumerate(texts)]
-    found = toxicity.fit_kneser_ney(spark.createDataFrame(rows, "text binary, toxic int, part int"), [0, 1], discounts)
+    found = toxicity.fit_kneser_ney(spark.createDataFrame(rows, "text binary, toxic int, part int"), [0, 1], floors)
     for counts, own in zip(found, (texts[1::2], texts[::2], texts), strict=True):
-        p, known, stems = plain_models(own, discounts)
+        p, known, stems = plain_models(own, floors)
         lefts = ["^", *vocabulary, "unseen"]
         new = [*(s + "x" for s in stems), "other"]  # an unseen word of each stem, and one of none
         model = counts.model()
         for left in ["^", *vocabulary, "unseen"]:
             for y in (0, 1):
                 assert math.isclose(sum(p(left, w, y) for w in [*known, *new]), 1)
-                if discounts[0] < 1:  # with these, all counts are kept
+                if not floors[0]:  # with these, all counts are kept
                     assert all(math.isclose(counts.p(left.encode(), w.encode(), y), p(left, w, y), rel_tol=1e-9) for w in [*known, *new])
             words = [left, *known, *new]
             got = model.ratios([w.encode() for w in words])
