@@ -167,17 +167,24 @@ class Shard:
         return alive[row], start
 
     def near(self, words: tuple[bytes, ...], width: int, number: dict[bytes, int]) -> np.ndarray:
-        """Positions of the rarest of the words that have all the others within ``width`` words in their document."""
+        """Positions of words with which a stretch of ``width`` words of a document begins that holds all of them."""
         if any(w not in number for w in words):
             return np.empty(0, np.int64)
-        lists = sorted((self.places[self.ends[i] - self.sizes[i] : self.ends[i]] for i in {number[w] for w in words}), key=len)
-        base = lists[0]
-        for got in lists[1:]:
+        lists = [self.places[self.ends[i] - self.sizes[i] : self.ends[i]] for i in {number[w] for w in words}]
+        rarest = min(lists, key=len)
+        out = []
+        for k, base in enumerate(lists):
+            # Only stretches that reach an occurrence of the rarest word, which may be the one they begin with.
+            at = np.searchsorted(rarest, base)
+            base = base[(at < len(rarest)) & (rarest[np.minimum(at, len(rarest) - 1)] < base + width)]
             doc = self.document(base)
-            low = np.maximum(base - width, self.starts[doc])
-            high = np.minimum(base + width, self.starts[doc] + self.lengths[doc] - 1)
-            base = base[np.searchsorted(got, low, "left") < np.searchsorted(got, high, "right")]
-        return base
+            last = np.minimum(base + width, self.starts[doc] + self.lengths[doc]) - 1
+            for got in lists[:k] + lists[k + 1 :]:
+                at = np.searchsorted(got, base)
+                held = (at < len(got)) & (got[np.minimum(at, len(got) - 1)] <= last)
+                base, last = base[held], last[held]
+            out.append(base)
+        return np.sort(np.concatenate(out))
 
 
 def by_document(docs: np.ndarray, values: list, n: int, kind: pa.DataType) -> pa.Array:
@@ -229,7 +236,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: in
     """Exact and proximity matches of every benchmark item in every whole document.
 
     Returns doc_id, n_words, hits (positions of words inside an exact window), items (item_ids with an exact window),
-    near_items (items of which the ``near_terms`` longest words stand within ``near_width`` words of one another).
+    near_items (items of which the ``near_terms`` longest words stand in one stretch of ``near_width`` words).
     Null and empty texts have no words; an item of fewer words than a window is one window; items without words match
     nothing.  A very long text is indexed whole, in a shard of its own size; a very long item may go over several blocks.
     Ties: a window that several items hold counts for all of them; of words of equal length the first by bytes are the
@@ -265,7 +272,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: in
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """Digest of find_contamination: counts, and the sha256 of the sorted item_ids joined by commas."""
+    """Digest of find_contamination: counts, the sha256 of the sorted item_ids joined by commas, and n_near, the items that stand
+    near."""
     found = find_contamination(documents, benchmark, **options)
     return found.select(
         "doc_id",
@@ -274,4 +282,5 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, **options:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
     )

@@ -27,7 +27,7 @@ def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near_terms=0)
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +110,18 @@ dw AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS g
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
 hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN win USING (g)),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
-items AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS ids FROM hit GROUP BY 1)
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS ids FROM hit GROUP BY 1),
+term AS (SELECT item_id, t FROM (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY octet_length(encode(t)) DESC, t) AS r, count(*) OVER (PARTITION BY item_id) AS k
+         FROM (SELECT DISTINCT item_id, unnest(w) AS t FROM b)) WHERE r <= 3 AND k >= 3),
+spot AS (SELECT doc_id, item_id, t, p FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d) JOIN term USING (t)),
+near AS (SELECT DISTINCT doc_id, item_id FROM (SELECT x.doc_id, x.item_id, x.p FROM spot x JOIN spot y ON y.doc_id = x.doc_id AND y.item_id = x.item_id AND y.p BETWEEN x.p AND x.p + 11
+         GROUP BY 1, 2, 3 HAVING count(DISTINCT y.t) = 3)),
+nears AS (SELECT doc_id, count(*) AS n_near FROM near GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
        sha256(array_to_string(coalesce(ids, []), ',')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nears USING (doc_id)
 """
 
 OP4_SQL = f"""

@@ -303,7 +303,7 @@ def brute_contamination(rows, items, size):
     words = lambda t: re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     out = []
     for i, text in rows:
-        w, hit, found = words(text), set(), set()
+        w, hit, found, near = words(text), set(), set(), set()
         for name, item in items:
             x = words(item)
             for s in range(max(1, len(x) - size + 1)) if x else ():
@@ -312,7 +312,10 @@ def brute_contamination(rows, items, size):
                     if w[p : p + len(g)] == g:
                         hit.update(range(p, p + len(g)))
                         found.add(str(name))
-        out.append((str(i), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+            terms = set(sorted(set(x), key=lambda t: (-len(t), t))[:3])
+            if len(terms) == 3 and any(terms <= set(w[p : p + 12]) for p in range(len(w))):
+                near.add(str(name))
+        out.append((str(i), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), len(near)))
     return sorted(out)
 
 
