@@ -59,51 +59,63 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: Colu
     return left.join(right, [*keys, "salt"], "left").drop("salt")
 
 
-def path_templates(
-    shapes: DataFrame, depth: int, *, many: int = 8, prevail: float = 0.5, z: float = 1.96, least: int = 5
-) -> DataFrame:
-    """shapes: host, s1..s{depth}, n, good, bad.  Adds t1..t{depth}, the template's segments.
+def path_templates(shapes: DataFrame, *, many: int = 8, prevail: float = 0.5, z: float = 1.96, least: int = 5) -> DataFrame:
+    """shapes: host, cells (segments), n, good, bad.  Adds t, the template's segments.
 
     A node with more than ``many`` children, none of them holding more than ``prevail`` of its pages, makes its children
     '*'.  Then a child with ``least`` labels or more whose bad rate is within z standard errors of its node's becomes
-    '*' as well.
+    '*' as well.  Level by level, as deep as the paths go; shapes that have a node of their own are done, as nothing can
+    vary or merge there.
     """
-    shape = F.struct(*(f"s{j}" for j in range(1, depth + 1)))
-    t = shapes.withColumns({f"t{k}": F.col(f"s{k}") for k in range(1, depth + 1)})
-    for k in range(1, depth + 1):
-        node = ["host", *(f"t{j}" for j in range(1, k))]
-        # An empty segment is the end of a path and stays one.
-        starred = F.when(F.col("star") & (F.col(f"t{k}") != ""), "*").otherwise(F.col(f"t{k}"))
+    node, child, salt = ["host", "node"], F.col("child"), F.col("cells")
+    rate = F.try_divide(F.col("all_bad"), F.col("all_bad") + F.col("all_good"))
+    own = F.col("good") + F.col("bad")
+    near = F.abs(F.try_divide(F.col("bad"), own) - rate) <= z * F.sqrt(F.try_divide(rate * (1 - rate), own))
+    # The end of a path is an empty child, and stays one.
+    starred = F.when(F.col("star") & (child != ""), "*").otherwise(child)
+    at, done, level = shapes.withColumn("t", F.col("cells")), [], 0
+    while True:
+        at = at.withColumns({"node": F.slice("t", 1, level), "child": F.coalesce(F.get("t", F.lit(level)), F.lit(""))})
         varied = (
-            t.where(F.col(f"t{k}") != "")
-            .groupBy(*node, f"t{k}")
+            at.where(child != "")
+            .groupBy(*node, "child")
             .agg(F.sum("n").alias("n"))
             .groupBy(*node)
             .agg(F.count("*").alias("kinds"), F.max("n").alias("top"), F.sum("n").alias("all"))
             .where((F.col("kinds") > many) & (F.col("top") <= prevail * F.col("all")))
             .select(*node, F.lit(True).alias("star"))
         )
-        t = salted_join(t, varied, node, shape).withColumn(f"t{k}", starred).drop("star")
-        child = t.groupBy(*node, f"t{k}").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        whole = child.groupBy(*node).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count("*").alias("kinds"))
-        rate = F.try_divide(F.col("all_bad"), F.col("all_bad") + F.col("all_good"))
-        own = F.col("good") + F.col("bad")
-        near = F.abs(F.try_divide(F.col("bad"), own) - rate) <= z * F.sqrt(F.try_divide(rate * (1 - rate), own))
+        at = salted_join(at, varied, node, salt).withColumn("child", starred).drop("star")
+        of = at.groupBy(*node, "child").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        whole = of.groupBy(*node).agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count("*").alias("kinds"))
         alike = (
-            child.where((own >= least) & (F.col(f"t{k}") != ""))
-            .join(whole.where("kinds > 1 AND all_good + all_bad > 0"), node)
+            salted_join(of.where((own >= least) & (child != "")), whole.where("kinds > 1 AND all_good + all_bad > 0"), node, child)
             .where(near)
-            .select(*node, f"t{k}", F.lit(True).alias("star"))
+            .select(*node, "child", F.lit(True).alias("star"))
         )
-        t = materialise(salted_join(t, alike, [*node, f"t{k}"], shape).withColumn(f"t{k}", starred).drop("star"), "tree")
-    return t
+        at = salted_join(at, alike, [*node, "child"], salt).withColumn("child", starred)
+        ahead = F.concat("node", F.array("child"))
+        after = F.slice("t", level + 2, F.greatest(F.size("t") - level - 1, F.lit(0)))
+        at = at.withColumn("t", F.when(F.size("t") > level, F.concat(ahead, after)).otherwise(F.col("t"))).select("host", "cells", "n", "good", "bad", "t")
+        level += 1
+        shared = at.where(F.size("t") >= level).groupBy("host", F.slice("t", 1, level).alias("node")).agg(F.count("*").alias("shapes")).where("shapes > 1")
+        next_node = F.when(F.size("t") >= level, F.slice("t", 1, level))
+        at = salted_join(at.withColumn("node", next_node), shared, node, salt).withColumn("open", F.col("shapes").isNotNull()).drop("shapes", "node")
+        at = materialise(at, "tree")
+        done.append(at.where("NOT open").drop("open"))
+        at = at.where("open").drop("open")
+        if at.isEmpty():
+            break
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return out
 
 
 def judge_urls(
     pages: DataFrame,
     rules: list[tuple[str, str, str]] | None = None,
     *,
-    depth: int = 12,
     prior_bad: float = 0.25,
     weight: float = 4.0,
     votes: float = 2.0,
@@ -117,36 +129,31 @@ def judge_urls(
     a host is (bad + weight * vote) / (labelled + weight).  Over ``reject``, its urls without a rule are blocked.
 
     Returns page_id, host, path, rule, verdict, template, bad_rate.  Null urls and urls without :// have an empty host
-    and path and are judged like any other; urls are taken whole, however long.  The tree is as deep as the deepest
-    path, up to ``depth`` levels; below, the rest of a path is one segment (its numbers are wildcards as well), which
-    varies or merges as any other.  Of rules of equal length that fit, the first by text decides.  Null ids and repeated
+    and path and are judged like any other; urls are taken whole, however long.  The tree is as deep as paths have
+    segments in common; slashes at a path's end make no segments.  Of rules of equal length that fit, the first by text decides.  Null ids and repeated
     rows stay row by row; an empty table gives an empty result.  Other columns are ignored.
     """
     rules = RULES if rules is None else rules
     host, path = url_parts(pages["url"].cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
-    cells = F.when(F.col("path") != "", F.split(F.substring("path", 2, 1_000_000_000), "/", -1)).otherwise(F.array().cast("array<string>"))
+    body = F.rtrim(F.substring("path", 2, 1_000_000_000), F.lit("/"))
+    cells = F.when(body != "", F.split(body, "/", -1)).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumns({"rule": rule, "said": said, "cells": F.transform(cells, lambda s: F.when(s.rlike(NUMBER), "*").otherwise(s))})
     shapes = materialise(rows.groupBy("host", "cells").agg(
         F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("good"), F.count_if(F.col("said") == "block").alias("bad")
     ), "shapes")
-    levels = min(depth, shapes.agg(F.coalesce(F.max(F.size("cells")), F.lit(0))).first()[0]) or 1
-    names, ends = ([f"{x}{k}" for k in range(1, levels + 1)] for x in "st")
-    rest = F.array_join(F.slice("cells", levels, F.greatest(F.size("cells"), F.lit(1))), "/")
-    segments = {s: F.coalesce(F.get("cells", F.lit(k)), F.lit("")) for k, s in enumerate(names[:-1])} | {names[-1]: rest}
-    shapes = shapes.withColumns(segments).groupBy("host", *names).agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")))
-    tree = path_templates(shapes, levels, **shape)
-    purity = tree.groupBy("host", *ends).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    tree = materialise(path_templates(shapes, **shape), "templates")
+    purity = tree.groupBy("host", "t").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     own = F.col("good") + F.col("bad")
-    elsewhere = purity.where(own > 0).groupBy(*ends).agg(
+    elsewhere = purity.where(own > 0).groupBy("t").agg(
         ((F.sum(F.try_divide(F.col("bad"), own)) + votes * prior_bad) / (F.count("*") + votes)).alias("vote")
     )
     vote = F.coalesce("vote", F.lit(prior_bad))
-    rated = salted_join(purity, elsewhere, ends, F.col("host")).select("host", *ends, ((F.col("bad") + weight * vote) / (own + weight)).alias("bad_rate"))
-    judged = salted_join(tree.select("host", *names, *ends), rated, ["host", *ends], F.struct(*names)).select(
-        "host", *names, F.concat(F.lit("/"), F.regexp_replace(F.concat_ws("/", *ends), "/+$", "")).alias("template"), "bad_rate"
+    rated = salted_join(purity, elsewhere, ["t"], F.col("host")).select("host", "t", ((F.col("bad") + weight * vote) / (own + weight)).alias("bad_rate"))
+    judged = salted_join(tree.select("host", "cells", "t"), rated, ["host", "t"], F.col("cells")).select(
+        "host", "cells", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), "bad_rate"
     )
-    out = salted_join(rows.withColumns(segments), materialise(judged, "judged"), ["host", *names], F.col("page_id"))
+    out = salted_join(rows, materialise(judged, "judged"), ["host", "cells"], F.col("page_id"))
     verdict = F.coalesce("said", F.when(F.col("bad_rate") > reject, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "bad_rate")

@@ -393,12 +393,15 @@ def test_url_templates_of_odd_urls(spark):
     deep = "http://d.net/" + "/".join(f"p{i}/{i}" for i in range(20))
     urls = ["http://s.t.net/a", "http://b.net/x/1", deep, "http://l.net/" + "q" * 200_000, "http://r.net/z", "http://r.net/z"]
     p = spark.createDataFrame(list(enumerate(urls)) + [(5, urls[5])], "page_id long, url string")
-    rows = url_templates.judge_urls(p, rules, depth=4).collect()
+    rows = url_templates.judge_urls(p, rules).collect()
     got = {r["page_id"]: r for r in rows}
     assert len(rows) == 7 and got[0]["rule"] == "s.t.net/" and got[1]["rule"] == "b.net/x/"
     assert got[2]["template"] == "/" + "/".join(f"p{i}/*" for i in range(20))
     assert len(got[3]["path"]) == 200_001 and got[4]["verdict"] == got[5]["verdict"] == "allow"
-    # Variable segments below the fourth become wildcards as any other.
+    # Variable segments at any depth become wildcards as any other.
+    down = "http://m.net/" + "/".join("abcdefghijklmnopqrstu")
+    below = spark.createDataFrame([(i, f"{down}/name{i}x/end/") for i in range(40)], "page_id long, url string")
+    assert {r["template"] for r in url_templates.judge_urls(below).collect()} == {"/" + "/".join("abcdefghijklmnopqrstu") + "/*/end"}
     many = spark.createDataFrame([(i, f"http://m.net/a/b/c/d/e/name{i}x") for i in range(40)], "page_id long, url string")
     assert {r["template"] for r in url_templates.judge_urls(many).collect()} == {"/a/b/c/d/e/*"}
 
