@@ -24,8 +24,10 @@ from dataclasses import dataclass, field
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -106,6 +108,10 @@ class KneserNey:
     contexts: dict[bytes, float]
     new: float
 
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """Its tables at every executor, where a worker unpacks them once for all its tasks; the training rows bound them."""
+        return spark.sparkContext.broadcast((self.bigrams, self.words, self.stems, self.contexts, self.new))
+
     def word(self, w: bytes) -> float:
         r = self.words.get(w)
         return self.stems.get(stem(w), self.new) if r is None else r
@@ -292,6 +298,23 @@ def labelled_sample(labels: DataFrame, folds: int, parts: tuple[int, ...], rows:
     return own.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share * 1_000_000)
 
 
+def own_ratios(train: DataFrame, model: KneserNey, span: int, names: list[str]) -> pd.DataFrame:
+    """Class, weight and features of training texts by a model that has not seen them."""
+
+    sent = model.sent(train.sparkSession)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = KneserNey(*sent.value)
+        for batch in rows:
+            got = [features(model, t.as_py().split(), span) for t in batch.column(0)]
+            cols = [*batch.columns[1:], *(pa.array([g[i] for g in got], pa.float64()) for i in range(3))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    out = train.select("text", "toxic", "stands_for").mapInArrow(run, "toxic int, stands_for double, whole double, top double, length double").toPandas()
+    sent.destroy()
+    return out
+
+
 def toxicity_scores(
     documents: DataFrame,
     labels: DataFrame,
@@ -330,26 +353,27 @@ def toxicity_scores(
         .select("text", "toxic", "part", "stands_for"),
         "train",
     )
-    *models, final = (c.model() if c else None for c in fit_kneser_ney(train, parts))
-    of_part = {p: m for p, m in zip(parts, models, strict=True) if m}
-
-    def own_ratios(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            text, toxic, part, weight = (c.to_pylist() for c in batch.columns)
-            got = [(y, n, *features(of_part[p], t.split(), span)) for t, y, p, n in zip(text, toxic, part, weight, strict=True) if p in of_part]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, g, strict=True)) for g in got], schema=pa.schema([("toxic", pa.int32()), *((x, pa.float64()) for x in names[1:])]))
-
     names = ["toxic", "stands_for", "whole", "top", "length"]
-    fit = train.mapInArrow(own_ratios, "toxic int, stands_for double, whole double, top double, length double").toPandas()
+    fit, final = pd.DataFrame(columns=names, dtype=float), None
+    # A model at a time, here and in the tasks.
+    for part, counts in zip([*parts, None], fit_kneser_ney(train, parts), strict=True):
+        final = counts.model() if counts else None
+        del counts
+        if part is not None and final:
+            fit = pd.concat([fit, own_ratios(train.where(F.col("part") == part), final, span, names)])
     discard(train)
     score = F.lit(0.0)
     if final and fit["toxic"].nunique() == 2:
         w = fit_logistic(fit[names[2:]].to_numpy(), fit["toxic"].to_numpy(float), rows=fit["stands_for"].to_numpy())
         score = 1 / (1 + F.exp(-sum((F.lit(float(x)) * F.col(c) for x, c in zip(w[1:], names[2:], strict=True)), F.lit(float(w[0])))))
 
+    sent = final.sent(documents.sparkSession) if final else None
+    del final
+
     def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = KneserNey(*sent.value) if sent else None
         for batch in rows:
-            got = [features(final, expressions(t.as_py()), span) if final else (0.0, 0.0, 0.0) for t in batch.column(0)]
+            got = [features(model, expressions(t.as_py()), span) if model else (0.0, 0.0, 0.0) for t in batch.column(0)]
             cols = [pa.array([g[i] for g in got], pa.float64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *names[2:]])
 
