@@ -556,7 +556,7 @@ UNIT = "(?:the|to|le|la|de|of|by)"
 )
 def t2_docs(spark: SparkSession, d: str) -> DataFrame:
     """Prose with numbers of any shape, ahead of small words in place of units."""
-    return T.extract_measurements(table(spark, d, "documents").select("doc_id", "text"), "text", [("COUNTED", rf"{UNIT}\b", "")]).select("doc_id", "label", "value")
+    return T.extract_measurements(table(spark, d, "documents").select("doc_id", "text"), "text", [("COUNTED", f"{UNIT}{T.END}", "")]).select("doc_id", "label", "value")
 
 
 @query(
