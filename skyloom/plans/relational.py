@@ -566,7 +566,7 @@ def t2_docs(spark: SparkSession, d: str) -> DataFrame:
     " SELECT doc_id, md5(array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(ahead[i] || format('{:,}', floor(replace(n[i], ',', '')::DOUBLE * 0.5::DOUBLE + 0.5::DOUBLE)::BIGINT) || ' pairs', '')), '')) AS text FROM q",
 )
 def t3_docs(spark: SparkSession, d: str) -> DataFrame:
-    text = T.convert_units_in_text("text", rf"{UNIT}\b", 0.5, " pairs")
+    text = T.convert_units_in_text("text", f"{UNIT}{T.END}", 0.5, " pairs")
     return table(spark, d, "documents").select("doc_id", F.md5(text).alias("text"))
 
 

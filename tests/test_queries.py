@@ -73,3 +73,10 @@ def test_measurements_in_odd_texts_as_in_sql(spark, odd_texts):
     name = "t2_measurements_in_documents"
     got = {tuple(r) for r in QUERIES[name](spark, path).select("doc_id", "label", "value").collect()}
     assert got == set(con.sql(f"SELECT doc_id, label, value FROM ({ORACLES[name]})").fetchall()) and len(got) >= 6
+
+
+def test_units_in_odd_texts_as_in_sql(spark, odd_texts):
+    path, con = odd_texts
+    name = "t3_convert_units_in_documents"
+    got = {tuple(r) for r in QUERIES[name](spark, path).select("doc_id", "text").collect()}
+    assert got == set(con.sql(f"SELECT doc_id, text FROM ({ORACLES[name]})").fetchall()) and len(got) == len(ODD_TEXTS)
