@@ -72,21 +72,22 @@ def pointer_replay(requests: DataFrame, key: str, order: list[str], ts: str, ttl
     ahead = F.when(F.col("_to") > F.col("_place"), F.col("_to"))
     jumps = settled(links.where("_place IS NOT NULL").select(*part, "_place", ahead.alias("_to")), links, "jumps")
 
+    # Merged by hint: by the size of their files many of these tables would be broadcast, each round anew through the driver.
     same = lambda a, b: F.col(f"{a}._key").eqNullSafe(F.col(f"{b}._key")) & (F.col(f"{a}._part") == F.col(f"{b}._part"))
     reached = saved(stores.groupBy(*part).agg(F.min("_place").alias("_place")), "reached")
     while True:
-        new = reached.alias("r").join(jumps.where("_to IS NOT NULL").alias("j"), same("r", "j") & (F.col("r._place") == F.col("j._place"))).select("r._key", "r._part", F.col("j._to").alias("_place"))
+        new = reached.alias("r").join(jumps.where("_to IS NOT NULL").alias("j").hint("merge"), same("r", "j") & (F.col("r._place") == F.col("j._place"))).select("r._key", "r._part", F.col("j._to").alias("_place"))
         new = saved(new, "reached")
         if new.isEmpty():
             break
         more = saved(reached.union(new), "reached")
-        farther = jumps.alias("a").join(jumps.alias("b"), same("a", "b") & (F.col("a._to") == F.col("b._place")), "left").select("a._key", "a._part", "a._place", "b._to")
+        farther = jumps.alias("a").join(jumps.alias("b").hint("merge"), same("a", "b") & (F.col("a._to") == F.col("b._place")), "left").select("a._key", "a._part", "a._place", "b._to")
         farther = saved(farther, "jumps")
         discard(reached, new, jumps)
         reached, jumps = more, farther
 
     marks = reached.select(F.col("_key").alias("_k"), F.col("_place").alias("_p"), F.lit(True).alias("_stores"))
-    marked = numbered.join(marks, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_place") == F.col("_p")), "left")
+    marked = numbered.join(marks.hint("merge"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_place") == F.col("_p")), "left")
     told = prefix_scan(marked, ["_key"], ["_place"], {"_stored": ("last", F.when(F.col("_stores"), F.col("_t")))}, inclusive=False, slices=slices)
     past = F.col("_t") - F.col("_stored")
     hit = F.coalesce(timed & (past >= 0) & (past < F.col("_life")), F.lit(False))

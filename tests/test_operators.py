@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import text as T
 from skyloom.operators import aggregates as A
-from skyloom.operators import colour, feeds
+from skyloom.operators import colour, feeds, scans
 from skyloom.operators import joins as J
 from skyloom.operators import predicates as P
 from skyloom.operators import sky as K
@@ -329,6 +329,22 @@ def test_one_hot_url_is_many_tasks(spark):
     assert out.exceptAll(whole).isEmpty() and out.count() == 200_000
 
 
+def test_pointers_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def noted(df, name="table", saved=feeds.saved, **options):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return saved(df, name, **options)
+
+    monkeypatch.setattr(feeds, "saved", noted)
+    monkeypatch.setattr(scans, "saved", noted)
+    df = spark.range(2_000).select((F.col("id") % 3).alias("k"), "id", F.col("id").cast("double").alias("t"), F.lit(10.0).alias("ttl"), F.lit(True).alias("ok"))
+    assert feeds.replay_cache(df, "k", ["t", "id"], "t", "ttl", "ok", hot_rows=0).count() == 2_000
+    joins = [p for name, p in plans if "Join" in p]
+    assert {"reached", "jumps", "slices"} <= {name for name, p in plans if "Join" in p}
+    assert not [p for p in joins if "Broadcast" in p]
+
+
 def test_a_generation_appears_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     from skyloom.sources import landed as S
 
