@@ -37,8 +37,8 @@ def groups_having_mean(df: DataFrame, group: str, value: str, over: float) -> Da
 
 
 def collect_ordered_nested(df: DataFrame, ident: str, seg: str, pos: str, values: list[str]) -> DataFrame:
-    """id -> segments -> points, both in order."""
-    points = df.groupBy(ident, seg).agg(F.array_sort(F.collect_list(F.struct(pos, *values))).alias("p"))
+    """id -> segments -> points, both in order.  Rows are dealt by id once, for both groupings."""
+    points = df.repartition(ident).groupBy(ident, seg).agg(F.array_sort(F.collect_list(F.struct(pos, *values))).alias("p"))
     lines = points.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct(seg, "p"))).alias("s"))
     return lines.select(ident, F.transform("s", lambda s: F.transform(s["p"], lambda p: F.array(*(p[v] for v in values)))).alias("lines"))
 

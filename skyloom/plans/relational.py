@@ -53,6 +53,10 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return S.scan_geojson_points(spark, f"{path}/*").select(F.col("id").cast("long").alias("id"), "lon", "lat", "mag")
 
 
+#: Ids whose lines are landed in one file, of about a megabyte.
+LINES_A_FILE = 10_000
+
+
 @query(
     "s3_geojson_lines",
     "WITH p AS (SELECT l_orderkey AS id, (l_orderkey % 2) * (l_linenumber % 2) AS seg, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_tax FROM lineitem)"
@@ -71,7 +75,7 @@ def s3_lines(spark: SparkSession, d: str) -> DataFrame:
     segs = F.transform("lines", lambda s: F.transform(s, lambda p: p[0]))
     shape = F.struct(F.when(F.col("id") % 2 == 1, "MultiLineString").otherwise("LineString").alias("type"), F.when(F.col("id") % 2 == 1, F.to_json(segs)).otherwise(F.to_json(F.get(segs, F.lit(0)))).alias("coordinates"))
     text = F.format_string('{"id":"%s","geometry":{"type":"%s","coordinates":%s}}', F.col("id").cast("string"), shape["type"], shape["coordinates"])
-    files = nested.select(text.alias("f"), F.floor(F.col("id") / 1000).alias("k")).groupBy("k").agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    files = nested.select(text.alias("f"), F.floor(F.col("id") / LINES_A_FILE).alias("k")).groupBy("k").agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
     files.write.partitionBy("k").text(path)
     return S.scan_geojson_lines(spark, f"{path}/*").select(F.col("id").cast("long").alias("id"), "seg", "pos", "lon", "lat")
 

@@ -57,8 +57,13 @@ def scan_geojson_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A FeatureCollection of (multi-)lines, one row per vertex: id, seg, pos, lon, lat.  A line is one segment."""
-    f = spark.read.schema(LINES).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    """A FeatureCollection of (multi-)lines, one row per vertex: id, seg, pos, lon, lat.  A line is one segment.
+
+    Files are read as texts and parsed then: the JSON source goes back to the file for every value that it takes as it
+    stands, here the coordinates of each feature.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", LINES).alias("c"))
+    f = whole.select(F.explode("c.features").alias("f"))
     one = F.from_json("f.geometry.coordinates", "array<array<double>>")
     many = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     segs = F.when(F.col("f.geometry.type") == "LineString", F.array(one)).otherwise(many)

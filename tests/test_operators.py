@@ -442,3 +442,22 @@ def test_forgotten_values_leave_no_state(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(rows)
     left = spark.read.format("statestore").option("stateVarName", "good").load(f"{tmp_path}/c").selectExpr("key.key AS key").collect()
     assert [r["key"] for r in left] == [3]
+
+
+def test_lines_are_read_without_going_back_to_the_file(spark, tmp_path):
+    from skyloom.sources import landed as S
+
+    one = '{"id":"a","geometry":{"type":"LineString","coordinates":[[1,2],[3.5,4]]}}'
+    many = '{"id":"é","geometry":{"type":"MultiLineString","coordinates":[[[5,6]],[],[[7,8],[9,10]]]}}'
+    (tmp_path / "a.json").write_text(f'{{"type":"FeatureCollection",\n "features":[{one},\n{many}]}}')
+    (tmp_path / "b.json").write_text("no json")
+    got = S.scan_geojson_lines(spark, str(tmp_path))
+    assert "Format: JSON" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(rows(got)) == [("a", 0, 0, 1.0, 2.0), ("a", 0, 1, 3.5, 4.0), ("é", 0, 0, 5.0, 6.0), ("é", 2, 0, 7.0, 8.0), ("é", 2, 1, 9.0, 10.0)]
+
+
+def test_nested_lines_are_dealt_once(spark):
+    df = spark.range(20).selectExpr("id % 3 AS id", "id % 2 AS seg", "id AS pos", "id * 2 AS x")
+    out = A.collect_ordered_nested(df, "id", "seg", "pos", ["x"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["id"]: r["lines"] for r in out.collect()}[0] == [[[0], [12], [24], [36]], [[6], [18], [30]]]
