@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -54,32 +54,36 @@ def tumbling_counts(rows: DataFrame, ts: str, width: str, by: list[str], delay:
 
 class LastGood(StatefulProcessor):
     """State: the last good value and its time, which a timer of the event time forgets.  A key's rows of a batch are taken
-    in time order, so they are held together: few, where batches are bounded by files."""
+    in time order, so they are held together: few, where batches are bounded by files.  A key has one timer at most: one that
+    finds a newer value sets itself anew, so that rows cost two calls to the state and no more."""
 
-    def __init__(self, keep_ms: int) -> None:
-        self.keep = keep_ms
+    def __init__(self, keep_us: int) -> None:
+        self.keep = keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.good = handle.getValueState("good", "value double, at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        value, at = self.good.get() if self.good.exists() else (None, None)
-        was, out = at, []
-        for r in pd.concat(list(rows)).sort_values(["at", "id"]).itertuples():
-            if r.ok and not pd.isna(r.value):
-                value, at = float(r.value), int(r.at)
-            out.append((key[0], r.id, value if at is not None and r.at - at < self.keep else None))
-        if at is not None and at != was:
-            if was is not None:
-                self.handle.deleteTimer(was + self.keep)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        value, at = was = self.good.get() or (None, None)
+        out = []
+        for r in sorted(rows, key=lambda r: (r.at, r.id)):
+            if r.ok and r.value is not None:
+                value, at = r.value, r.at
+            out.append(Row(key=key[0], id=r.id, served=value if at is not None and r.at - at < self.keep else None))
+        if (value, at) != tuple(was):
             self.good.update((value, at))
-            self.handle.registerTimer(at + self.keep)
-        yield pd.DataFrame(out, columns=["key", "id", "served"]).astype({"served": "float64"})
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.good.clear()
-        yield pd.DataFrame({"key": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "served": pd.Series(dtype="float64")})
+            if was[1] is None:
+                self.handle.registerTimer((at + self.keep) // 1000 + 1)  # timers are of milliseconds
+        return iter(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
+        ends = (self.good.get()[1] + self.keep) // 1000 + 1
+        if ends <= timerValues.getCurrentWatermarkInMs():
+            self.good.clear()
+        else:
+            self.handle.registerTimer(ends)
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -89,8 +93,8 @@ def last_good_value_stream(rows: DataFrame, keep_seconds: int, delay: str) -> Da
     """rows: key long, id long, ts timestamp, value double, ok boolean.  Each row with the last good value of its key of less
     than ``keep_seconds`` before, as rows come in time order; state of keys that fall silent goes when the watermark passes
     its time.  Rows behind the watermark are dropped.  Needs the RocksDB state store."""
-    timed = rows.withColumn("at", F.unix_millis("ts")).withWatermark("ts", delay)
-    return timed.groupBy("key").transformWithStateInPandas(LastGood(keep_seconds * 1000), "key long, id long, served double", "Append", "EventTime")
+    timed = rows.withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
+    return timed.groupBy("key").transformWithState(LastGood(keep_seconds * 1_000_000), "key long, id long, served double", "Append", "EventTime")
 
 
 class CacheReplay(StatefulProcessor):

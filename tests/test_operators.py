@@ -461,3 +461,42 @@ def test_nested_lines_are_dealt_once(spark):
     out = A.collect_ordered_nested(df, "id", "seg", "pos", ["x"])
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {r["id"]: r["lines"] for r in out.collect()}[0] == [[[0], [12], [24], [36]], [[6], [18], [30]]]
+
+
+def test_a_key_has_one_timer_and_its_rows_go_by_their_time():
+    from pyspark.sql import Row
+
+    from skyloom.streaming.feeds import LastGood
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = None, []
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.mark
+
+        def get(self):
+            return self.state
+
+        def update(self, new):
+            self.state = new
+
+        def clear(self):
+            self.state = None
+
+    h, p = Handle(), LastGood(10_000)  # microseconds
+    p.init(h)
+    batch = lambda *rows: [(r["id"], r["served"]) for r in p.handleInputRows((1,), iter([Row(id=i, at=at, value=v, ok=ok) for i, at, v, ok in rows]), h)]
+    assert batch((1, 1_002, 2.0, True), (2, 1_001, 1.0, True)) == [(2, 1.0), (1, 2.0)]  # within one millisecond
+    assert batch((3, 5_000, None, True), (4, 6_000, 3.0, False), (5, 9_000, 4.0, True)) == [(3, 2.0), (4, 2.0), (5, 4.0)]
+    assert h.timers == [12]
+    h.mark = 12
+    assert list(p.handleExpiredTimer((1,), h, None)) == [] and h.state == (4.0, 9_000) and h.timers == [12, 20]
+    h.mark = 20
+    assert list(p.handleExpiredTimer((1,), h, None)) == [] and h.state is None and h.timers == [12, 20]
