@@ -126,3 +126,29 @@ def test_facts_stay_where_they_are(spark, large_facts, name):
 
 def test_elements_are_a_table_of_known_size(spark):
     assert K.elements_table(spark).count() == len(K.ELEMENTS)
+
+
+def test_fan_out_is_the_join_by_place(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 7)
+    monkeypatch.setattr(J, "CELL_ALERTS", 50)
+    monkeypatch.setattr(J, "TASK_ROWS", 1_000)
+    rng = random.Random(3)
+    spot = lambda: (rng.choice([None, 1, 1, 1, 1, 2, 3]), rng.choice(["n", "n", "n", "s"]))
+    alerts = spark.createDataFrame([(*spot(), rng.choice([None, *range(90)])) for _ in range(400)] + [(9, "n", 1)], "lat int, lon string, alert int")
+    subs = spark.createDataFrame([(*spot(), rng.choice([None, "a", "a", "a", "b", str(i)])) for i in range(900)] + [(8, "n", "a")], "lat int, lon string, sub string")
+    place = ["lat", "lon"]
+    out, whole = J.fan_out(alerts, subs, place), alerts.join(subs, place)
+    assert out.schema.names == whole.schema.names
+    assert out.exceptAll(whole).isEmpty() and whole.exceptAll(out).isEmpty()
+    assert J.fan_out(alerts, subs.where("lat = 8"), place).isEmpty()
+
+
+def test_fan_out_of_one_hot_place(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "TASK_ROWS", 1 << 17)
+    alerts = spark.range(1_500).select(F.xxhash64("id").alias("alert"), F.lit(1).alias("place"))
+    subs = spark.range(2_000).select(F.xxhash64(F.col("id") + 5_000).alias("sub"), F.lit(1).alias("place"))
+    out = J.fan_out(alerts, subs, ["place"]).select("alert", "sub")
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3_000_000 and max(sizes) < 2_000_000
+    out.write.parquet(f"{tmp_path}/out")
+    assert sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < 1_000_000
