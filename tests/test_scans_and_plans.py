@@ -152,3 +152,10 @@ def test_fan_out_of_one_hot_place(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 3_000_000 and max(sizes) < 2_000_000
     out.write.parquet(f"{tmp_path}/out")
     assert sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < 1_000_000
+
+
+def test_fan_out_of_maps(spark):
+    alerts = spark.range(40).select((F.col("id") % 3).alias("place"), F.create_map(F.lit("id"), "id").alias("alert"))
+    subs = spark.range(70).select((F.col("id") % 4).alias("place"), F.create_map(F.lit("key"), "id").alias("sub"))
+    got = sorted((r["place"], r["alert"]["id"], r["sub"]["key"]) for r in J.fan_out(alerts, subs, ["place"]).collect())
+    assert got == sorted((a % 3, a, s) for a in range(40) for s in range(70) if a % 3 == s % 4)
