@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
 from skyloom.catalogue import QUERIES
@@ -154,6 +155,24 @@ def test_fan_out_of_one_hot_place(spark, tmp_path, monkeypatch):
     assert sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < 1_000_000
 
 
+def test_fan_out_is_sent_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 63)
+    alerts = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("alert"), F.lit(1).alias("place"))  # one partition
+    subs = spark.range(630).select(F.col("id").alias("sub"), F.lit(1).alias("place"))
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+    first = spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    assert J.fan_out(alerts, subs, ["place"]).count() == 1_260_000
+    bus.waitUntilEmpty(30_000)
+    sent = []
+    for stage in range(first, spark.sparkContext._jsc.sc().dagScheduler().nextStageId()):
+        try:
+            tasks = store.taskList(stage, 0, 1_000)
+        except Py4JError:  # a stage that was skipped
+            continue
+        sent += [tasks.apply(i).taskMetrics().get().shuffleWriteMetrics().recordsWritten() for i in range(tasks.size())]
+    assert sum(sent) > 20_000 and max(sent) < 10_000
+
+
 def test_fan_out_of_maps(spark):
     alerts = spark.range(40).select((F.col("id") % 3).alias("place"), F.create_map(F.lit("id"), "id").alias("alert"))
     subs = spark.range(70).select((F.col("id") % 4).alias("place"), F.create_map(F.lit("key"), "id").alias("sub"))
